@@ -60,13 +60,18 @@ class SchemaCompileError(ValueError):
 # ---------------------------------------------------------------------------
 
 def _ty(v: Column) -> Column:
-    """Top-level type of a variant as a short text (OBJECT, ARRAY, STRING,
-    BOOLEAN, VOID, or a numeric type). Objects and arrays are recognised by a
-    cast to an empty struct / an array of variants, so the value is not
-    walked to print a full nested type."""
-    return (F.when(F.try_variant_get(v, "$", "struct<>").isNotNull(), F.lit("OBJECT"))
-            .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
-            .otherwise(F.schema_of_variant(v)))
+    """JSON type name of a variant: object, array, string, boolean, null or
+    number (NULL for a missing value). Objects and arrays are recognised by a
+    cast to an empty struct / an array of variants, so a container is not
+    walked to print its full nested type."""
+    scalar = F.schema_of_variant(v)
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(F.try_variant_get(v, "$", "struct<>").isNotNull(), F.lit("object"))
+            .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("array"))
+            .when(scalar == "STRING", F.lit("string"))
+            .when(scalar == "BOOLEAN", F.lit("boolean"))
+            .when(scalar == "VOID", F.lit("null"))
+            .otherwise(F.lit("number")))
 
 
 class _Node:
@@ -76,12 +81,12 @@ class _Node:
         self.v = v
         ty = _ty(v) if ty is None else ty
         self.ty = ty
-        self.is_object = ty.startswith("OBJECT")
-        self.is_array = ty.startswith("ARRAY")
-        self.is_string = ty == F.lit("STRING")
-        self.is_bool = ty == F.lit("BOOLEAN")
-        self.is_null = ty == F.lit("VOID")
-        self.is_number = ty.rlike(_NUMERIC)
+        self.is_object = ty == F.lit("object")
+        self.is_array = ty == F.lit("array")
+        self.is_string = ty == F.lit("string")
+        self.is_bool = ty == F.lit("boolean")
+        self.is_null = ty == F.lit("null")
+        self.is_number = ty == F.lit("number")
         self.num = F.try_variant_get(v, "$", "double")
         self.str = F.try_variant_get(v, "$", "string")
 
@@ -90,12 +95,7 @@ class _Node:
         return self.is_number & (self.num == F.floor(self.num))
 
     def type_name(self) -> Column:
-        return (F.when(self.is_object, F.lit("object"))
-                .when(self.is_array, F.lit("array"))
-                .when(self.is_string, F.lit("string"))
-                .when(self.is_bool, F.lit("boolean"))
-                .when(self.is_null, F.lit("null"))
-                .otherwise(F.lit("number")))
+        return self.ty
 
     def number_text(self) -> Column:
         """Canonical text of a number: plain decimal, no trailing zeros."""
@@ -152,17 +152,50 @@ def _msg(ptr: str, text: str | Column) -> Column:
     return F.concat(F.lit(f"{ptr}: "), text)
 
 
-def _one(cond: Column, ptr: str, text: str | Column) -> Column:
-    """An ARRAY<STRING> holding the message when cond is true, else empty."""
-    return F.when(cond, F.array(_msg(ptr, text))).otherwise(F.array().cast("array<string>"))
+_EMPTY = "array<string>"
 
 
-def _concat(parts: list[Column]) -> Column:
-    if not parts:
-        return F.array().cast("array<string>")
-    if len(parts) == 1:
-        return parts[0]
-    return F.concat(*parts)
+def _empty() -> Column:
+    return F.array().cast(_EMPTY)
+
+
+def _one(cond: Column, ptr: str, text: str | Column) -> tuple[str, Column]:
+    """A simple keyword's error: the message when cond holds, else NULL."""
+    return ("s", F.when(cond, _msg(ptr, text)))
+
+
+def _arr(col: Column) -> tuple[str, Column]:
+    return ("a", col)
+
+
+def _gate(parts: list, cond: Column) -> list:
+    """Apply ``cond`` to every part (messages become NULL, arrays empty)."""
+    out = []
+    for kind, c in parts:
+        out.append((kind, F.when(cond, c)) if kind == "s"
+                   else (kind, F.when(cond, c).otherwise(_empty())))
+    return out
+
+
+def _combine(parts: list) -> Column:
+    """Parts in order -> one ARRAY<STRING>. Runs of simple messages become
+    one ``array_compact(array(...))`` (small generated code); child arrays
+    are concatenated between them."""
+    groups: list[Column] = []
+    buf: list[Column] = []
+    for kind, c in parts:
+        if kind == "s":
+            buf.append(c)
+            continue
+        if buf:
+            groups.append(F.array_compact(F.array(*buf)))
+            buf = []
+        groups.append(c)
+    if buf:
+        groups.append(F.array_compact(F.array(*buf)))
+    if not groups:
+        return _empty()
+    return groups[0] if len(groups) == 1 else F.concat(*groups)
 
 
 def _equals_literal(node: _Node, value: Any) -> Column:
@@ -281,10 +314,9 @@ class _Compiler:
     # expression building
     def errors(self, s: Any, v: Column, ptr: str) -> Column:
         if s is True or s == {}:
-            return F.array().cast("array<string>")
+            return _empty()
         if s is False:
-            return F.when(v.isNotNull(), F.array(_msg(ptr, "not allowed"))).otherwise(
-                F.array().cast("array<string>"))
+            return F.when(v.isNotNull(), F.array(_msg(ptr, "not allowed"))).otherwise(_empty())
         if "$ref" in s:
             ref = s["$ref"]
             if ref in self._ref_stack:
@@ -295,7 +327,7 @@ class _Compiler:
             finally:
                 self._ref_stack.pop()
         n = self.node(v)
-        parts: list[Column] = []
+        parts: list = []
         # type first: a value of the wrong type gets only that error
         type_ok = F.lit(True)
         if "type" in s:
@@ -313,11 +345,11 @@ class _Compiler:
                 F.lit("must be " + " or ".join(types) + " (got "), n.type_name(), F.lit(")"))))
         rest = self._keywords(s, n, ptr)
         if rest:
-            parts.append(F.when(type_ok, _concat(rest)).otherwise(F.array().cast("array<string>")))
-        return _concat(parts)
+            parts.extend(_gate(rest, type_ok) if "type" in s else rest)
+        return _combine(parts)
 
-    def _keywords(self, s: dict, n: _Node, ptr: str) -> list[Column]:
-        out: list[Column] = []
+    def _keywords(self, s: dict, n: _Node, ptr: str) -> list:
+        out: list = []
         got_json = n.json_text()
         if "const" in s:
             out.append(_one(~_equals_literal(n, s["const"]), ptr, F.concat(
@@ -359,8 +391,8 @@ class _Compiler:
         out.extend(self._combinators(s, n, ptr))
         return out
 
-    def _object_keywords(self, s: dict, n: _Node, ptr: str) -> list[Column]:
-        out: list[Column] = []
+    def _object_keywords(self, s: dict, n: _Node, ptr: str) -> list:
+        out: list = []
         keys = ("required", "properties", "additionalProperties", "patternProperties",
                 "propertyNames", "minProperties", "maxProperties", "dependencies")
         if not any(k in s for k in keys):
@@ -372,8 +404,8 @@ class _Compiler:
         props = s.get("properties", {})
         for name, sub in props.items():
             cv = _child(n.v, name)
-            out.append(F.when(obj & cv.isNotNull(), self.errors(sub, cv, _ptr(ptr, name)))
-                       .otherwise(F.array().cast("array<string>")))
+            out.append(_arr(F.when(obj & cv.isNotNull(), self.errors(sub, cv, _ptr(ptr, name)))
+                            .otherwise(_empty())))
         as_map = F.try_variant_get(n.v, "$", "map<string,variant>")
         mkeys = F.map_keys(as_map)
         nkeys = F.size(mkeys)
@@ -400,10 +432,10 @@ class _Compiler:
                     F.lit("additional properties not allowed: "),
                     F.array_join(F.transform(extra, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", "))))
             elif isinstance(ap, dict) and ap:
-                out.append(self._each_entry(ap, as_map, extra, obj, ptr))
+                out.append(_arr(self._each_entry(ap, as_map, extra, obj, ptr)))
         for pat, sub in pprops.items():
             matching = F.array_sort(F.filter(mkeys, lambda k, p=pat: k.rlike(p)))
-            out.append(self._each_entry(sub, as_map, matching, obj, ptr))
+            out.append(_arr(self._each_entry(sub, as_map, matching, obj, ptr)))
         if "propertyNames" in s:
             sub = s["propertyNames"]
             self.lambda_depth += 1
@@ -421,8 +453,7 @@ class _Compiler:
                     out.append(_one(present & _child(n.v, need).isNull(), ptr,
                                     f"property '{need}' is required by '{dk}'"))
             else:
-                out.append(F.when(present, self.errors(dv, n.v, ptr))
-                           .otherwise(F.array().cast("array<string>")))
+                out.append(_arr(F.when(present, self.errors(dv, n.v, ptr)).otherwise(_empty())))
         return out
 
     def _each_entry(self, sub: Any, as_map: Column, keys: Column, gate: Column, ptr: str) -> Column:
@@ -431,7 +462,7 @@ class _Compiler:
             per_key = F.transform(keys, lambda k: self._errors_dynamic(sub, F.element_at(as_map, k), ptr, k))
         finally:
             self.lambda_depth -= 1
-        return F.when(gate, F.flatten(per_key)).otherwise(F.array().cast("array<string>"))
+        return F.when(gate, F.flatten(per_key)).otherwise(_empty())
 
     def _errors_dynamic(self, sub: Any, v: Column, ptr: str, token: Column) -> Column:
         """Errors for a child whose name is only known at run time."""
@@ -441,8 +472,8 @@ class _Compiler:
                              F.replace(F.replace(token, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
         return F.transform(errs, lambda e: F.replace(e, F.lit(marker), child_ptr))
 
-    def _array_keywords(self, s: dict, n: _Node, ptr: str) -> list[Column]:
-        out: list[Column] = []
+    def _array_keywords(self, s: dict, n: _Node, ptr: str) -> list:
+        out: list = []
         keys = ("items", "additionalItems", "minItems", "maxItems", "uniqueItems", "contains")
         if not any(k in s for k in keys):
             return out
@@ -470,12 +501,12 @@ class _Compiler:
         items = s.get("items")
         if isinstance(items, dict) or isinstance(items, bool):
             per = F.transform(elems, lambda e, i: self._errors_dynamic(items, e, ptr, i.cast("string")))
-            out.append(F.when(arr, F.flatten(per)).otherwise(F.array().cast("array<string>")))
+            out.append(_arr(F.when(arr, F.flatten(per)).otherwise(_empty())))
         elif isinstance(items, list):
             for i, sub in enumerate(items):
                 e = F.try_element_at(elems, F.lit(i + 1))
-                out.append(F.when(arr & (size > i), self.errors(sub, e, _ptr(ptr, str(i))))
-                           .otherwise(F.array().cast("array<string>")))
+                out.append(_arr(F.when(arr & (size > i), self.errors(sub, e, _ptr(ptr, str(i))))
+                                .otherwise(_empty())))
             ai = s.get("additionalItems")
             if ai is False:
                 out.append(_one(arr & (size > len(items)), ptr, F.concat(
@@ -484,35 +515,35 @@ class _Compiler:
                 k0 = len(items)
                 per = F.transform(elems, lambda e, i: F.when(
                     i >= k0, self._errors_dynamic(ai, e, ptr, i.cast("string")))
-                    .otherwise(F.array().cast("array<string>")))
-                out.append(F.when(arr, F.flatten(per)).otherwise(F.array().cast("array<string>")))
+                    .otherwise(_empty()))
+                out.append(_arr(F.when(arr, F.flatten(per)).otherwise(_empty())))
         if "contains" in s:
             sub = s["contains"]
             any_ok = F.exists(elems, lambda e: F.size(self.errors(sub, e, ptr)) == 0)
             out.append(_one(arr & ~F.coalesce(any_ok, F.lit(False)), ptr,
                             "must contain at least one matching item"))
 
-    def _combinators(self, s: dict, n: _Node, ptr: str) -> list[Column]:
-        out: list[Column] = []
+    def _combinators(self, s: dict, n: _Node, ptr: str) -> list:
+        out: list = []
         if "allOf" in s:
             for sub in s["allOf"]:
-                out.append(self.errors(sub, n.v, ptr))
+                out.append(_arr(self.errors(sub, n.v, ptr)))
         if "anyOf" in s:
             subs = [self.errors(sub, n.v, ptr) for sub in s["anyOf"]]
             ok = F.lit(False)
             for e in subs:
                 ok = ok | (F.size(e) == 0)
-            out.append(F.when(ok, F.array().cast("array<string>")).otherwise(
-                F.concat(F.array(_msg(ptr, "must match at least one schema in anyOf")), *subs)))
+            out.append(_arr(F.when(ok, _empty()).otherwise(
+                F.concat(F.array(_msg(ptr, "must match at least one schema in anyOf")), *subs))))
         if "oneOf" in s:
             subs = [self.errors(sub, n.v, ptr) for sub in s["oneOf"]]
             count = F.lit(0)
             for e in subs:
                 count = count + (F.size(e) == 0).cast("int")
-            out.append(F.when(count == 1, F.array().cast("array<string>"))
-                       .when(count == 0, F.concat(F.array(_msg(ptr, "must match exactly one schema in oneOf (got 0)")), *subs))
-                       .otherwise(F.array(F.concat(F.lit(f"{ptr}: must match exactly one schema in oneOf (got "),
-                                                   count.cast("string"), F.lit(")")))))
+            out.append(_arr(F.when(count == 1, _empty())
+                            .when(count == 0, F.concat(F.array(_msg(ptr, "must match exactly one schema in oneOf (got 0)")), *subs))
+                            .otherwise(F.array(F.concat(F.lit(f"{ptr}: must match exactly one schema in oneOf (got "),
+                                                        count.cast("string"), F.lit(")"))))))
         if "not" in s:
             e = self.errors(s["not"], n.v, ptr)
             out.append(_one(F.size(e) == 0, ptr, "must not match the schema in not"))
@@ -520,7 +551,7 @@ class _Compiler:
             cond_ok = F.size(self.errors(s["if"], n.v, ptr)) == 0
             then_e = self.errors(s.get("then", True), n.v, ptr)
             else_e = self.errors(s.get("else", True), n.v, ptr)
-            out.append(F.when(cond_ok, then_e).otherwise(else_e))
+            out.append(_arr(F.when(cond_ok, then_e).otherwise(else_e)))
         return out
 
 

@@ -99,7 +99,17 @@ class Validator:
         is_valid = F.when(F.col("system_error").isNotNull(), F.lit(None).cast("boolean")).when(
             sidc.isNull(), F.lit(True)).when(parsed.isNull(), F.lit(False)).otherwise(
             F.size(F.col("errors")) == 0)
-        return df.withColumns({"is_valid": is_valid, "schema_id": F.coalesce(sidc, F.lit(""))}).drop(*temps)
+        out = df.withColumns({"is_valid": is_valid, "schema_id": F.coalesce(sidc, F.lit(""))}).drop(*temps)
+        # Validation metrics (valid / invalid / no-schema counts per run).
+        # The observation node also keeps later filters on the validation
+        # result (e.g. route = 'dlq') from being pushed below it, which would
+        # inline the per-node intermediate columns into the filter.
+        return out.observe(
+            f"pw_validation_{uuid.uuid4().hex[:12]}",
+            F.count(F.lit(1)).alias("events"),
+            F.count_if(F.col("is_valid")).alias("valid"),
+            F.count_if(~F.col("is_valid")).alias("invalid"),
+            F.count_if(F.col("schema_id") == "").alias("no_schema"))
 
 
 def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
@@ -201,13 +211,13 @@ def publish_results(routed: DataFrame, position: str = "event_id",
 Sink = Callable[[DataFrame], None]
 
 
-def parquet_sink(path: str, batch_id: int | None = None) -> Sink:
-    """A topic-log sink: Parquet partitioned by topic; with a batch id the
-    output goes to ``batch_id=N`` and a rerun overwrites it (idempotent)."""
+def parquet_sink(path: str, batch_id: int | None = None, partition_by: str = "topic") -> Sink:
+    """A log sink: Parquet partitioned by topic; with a batch id the output
+    goes to ``batch_id=N`` and a rerun overwrites it (idempotent)."""
     def write(df: DataFrame) -> None:
         target = path if batch_id is None else f"{path}/batch_id={batch_id}"
         mode = "append" if batch_id is None else "overwrite"
-        df.write.mode(mode).partitionBy("topic").parquet(target)
+        df.write.mode(mode).partitionBy(partition_by).parquet(target)
     return write
 
 
