@@ -224,19 +224,22 @@ class _Compiler:
         # Intermediate columns ("lets") keep each generated method small:
         # every schema node's value and type are computed once, in an earlier
         # projection, instead of being inlined into every keyword's test.
-        self.lets: list[tuple[str, Column]] = []
+        self.lets: list[tuple[str, Column, int]] = []
         self.prefix = prefix
         self.gate = gate
         self.lambda_depth = 0
 
-    def node(self, v: Column) -> _Node:
+    def node(self, v: Column, depth: int = 0) -> _Node:
+        """A schema node's value and type as intermediate columns. Values of
+        nesting depth d form level 2d, their types level 2d + 1, so all
+        columns of one level can be added in one projection."""
         if self.lambda_depth:
             return _Node(v)
         i = len(self.lets)
         vn, tn = f"{self.prefix}{i}", f"{self.prefix}{i + 1}"
         expr = v if self.gate is None else F.when(self.gate, v)
-        self.lets.append((vn, expr))
-        self.lets.append((tn, _ty(F.col(vn))))
+        self.lets.append((vn, expr, 2 * depth))
+        self.lets.append((tn, _ty(F.col(vn)), 2 * depth + 1))
         return _Node(F.col(vn), F.col(tn))
 
     # validation of the document itself (registration-time errors)
@@ -312,7 +315,7 @@ class _Compiler:
         return self.defs[name]
 
     # expression building
-    def errors(self, s: Any, v: Column, ptr: str) -> Column:
+    def errors(self, s: Any, v: Column, ptr: str, depth: int = 0) -> Column:
         if s is True or s == {}:
             return _empty()
         if s is False:
@@ -323,10 +326,11 @@ class _Compiler:
                 raise SchemaCompileError(f"recursive $ref '{ref}' is not supported")
             self._ref_stack.append(ref)
             try:
-                return self.errors(self._resolve(ref), v, ptr)
+                return self.errors(self._resolve(ref), v, ptr, depth)
             finally:
                 self._ref_stack.pop()
-        n = self.node(v)
+        n = self.node(v, depth)
+        n.depth = depth
         parts: list = []
         # type first: a value of the wrong type gets only that error
         type_ok = F.lit(True)
@@ -404,7 +408,7 @@ class _Compiler:
         props = s.get("properties", {})
         for name, sub in props.items():
             cv = _child(n.v, name)
-            out.append(_arr(F.when(obj & cv.isNotNull(), self.errors(sub, cv, _ptr(ptr, name)))
+            out.append(_arr(F.when(obj & cv.isNotNull(), self.errors(sub, cv, _ptr(ptr, name), n.depth + 1))
                             .otherwise(_empty())))
         as_map = F.try_variant_get(n.v, "$", "map<string,variant>")
         mkeys = F.map_keys(as_map)
@@ -434,7 +438,7 @@ class _Compiler:
             elif isinstance(ap, dict) and ap:
                 out.append(_arr(self._each_entry(ap, as_map, extra, obj, ptr)))
         for pat, sub in pprops.items():
-            matching = F.array_sort(F.filter(mkeys, lambda k, p=pat: k.rlike(p)))
+            matching = F.array_sort(F.filter(mkeys, _matches(pat)))
             out.append(_arr(self._each_entry(sub, as_map, matching, obj, ptr)))
         if "propertyNames" in s:
             sub = s["propertyNames"]
@@ -453,7 +457,7 @@ class _Compiler:
                     out.append(_one(present & _child(n.v, need).isNull(), ptr,
                                     f"property '{need}' is required by '{dk}'"))
             else:
-                out.append(_arr(F.when(present, self.errors(dv, n.v, ptr)).otherwise(_empty())))
+                out.append(_arr(F.when(present, self.errors(dv, n.v, ptr, n.depth)).otherwise(_empty())))
         return out
 
     def _each_entry(self, sub: Any, as_map: Column, keys: Column, gate: Column, ptr: str) -> Column:
@@ -527,16 +531,16 @@ class _Compiler:
         out: list = []
         if "allOf" in s:
             for sub in s["allOf"]:
-                out.append(_arr(self.errors(sub, n.v, ptr)))
+                out.append(_arr(self.errors(sub, n.v, ptr, n.depth)))
         if "anyOf" in s:
-            subs = [self.errors(sub, n.v, ptr) for sub in s["anyOf"]]
+            subs = [self.errors(sub, n.v, ptr, n.depth) for sub in s["anyOf"]]
             ok = F.lit(False)
             for e in subs:
                 ok = ok | (F.size(e) == 0)
             out.append(_arr(F.when(ok, _empty()).otherwise(
                 F.concat(F.array(_msg(ptr, "must match at least one schema in anyOf")), *subs))))
         if "oneOf" in s:
-            subs = [self.errors(sub, n.v, ptr) for sub in s["oneOf"]]
+            subs = [self.errors(sub, n.v, ptr, n.depth) for sub in s["oneOf"]]
             count = F.lit(0)
             for e in subs:
                 count = count + (F.size(e) == 0).cast("int")
@@ -545,16 +549,22 @@ class _Compiler:
                             .otherwise(F.array(F.concat(F.lit(f"{ptr}: must match exactly one schema in oneOf (got "),
                                                         count.cast("string"), F.lit(")"))))))
         if "not" in s:
-            e = self.errors(s["not"], n.v, ptr)
+            e = self.errors(s["not"], n.v, ptr, n.depth)
             out.append(_one(F.size(e) == 0, ptr, "must not match the schema in not"))
         if "if" in s and ("then" in s or "else" in s):
-            cond_ok = F.size(self.errors(s["if"], n.v, ptr)) == 0
-            then_e = self.errors(s.get("then", True), n.v, ptr)
-            else_e = self.errors(s.get("else", True), n.v, ptr)
+            cond_ok = F.size(self.errors(s["if"], n.v, ptr, n.depth)) == 0
+            then_e = self.errors(s.get("then", True), n.v, ptr, n.depth)
+            else_e = self.errors(s.get("else", True), n.v, ptr, n.depth)
             out.append(_arr(F.when(cond_ok, then_e).otherwise(else_e)))
         return out
 
 
+def _matches(pattern: str):
+    """A one-argument predicate for ``F.filter`` (a two-argument lambda
+    would be called with the element index)."""
+    return lambda k: k.rlike(pattern)
+
+
 def _check_regex(p: str, where: str) -> None:
     try:
         re.compile(p)
@@ -576,12 +586,12 @@ def parse_schema(schema: Any) -> Any:
 
 
 def compile_errors(schema: Any, v: Column, prefix: str = "_pw_n",
-                   gate: Column | None = None) -> tuple[list[tuple[str, Column]], Column]:
+                   gate: Column | None = None) -> tuple[list[tuple[str, Column, int]], Column]:
     """Compile ``schema`` against ``v`` (a VARIANT column).
 
-    Returns ``(lets, errors)``: intermediate columns to add first, in order
-    (``gate`` limits them to the rows the schema applies to), and the
-    ARRAY<STRING> of error messages over them.
+    Returns ``(lets, errors)``: intermediate columns ``(name, expr, level)``
+    to add first, level by level (``gate`` limits them to the rows the
+    schema applies to), and the ARRAY<STRING> of error messages over them.
     """
     schema = parse_schema(schema)
     comp = _Compiler(schema if isinstance(schema, dict) else {}, prefix, gate)
@@ -592,9 +602,15 @@ def compile_errors(schema: Any, v: Column, prefix: str = "_pw_n",
 def errors_column(df, schema: Any, v: Column, out: str = "errors"):
     """Convenience: add the error array of ``v`` against ``schema`` as ``out``."""
     lets, errs = compile_errors(schema, v)
-    for name, expr in lets:
-        df = df.withColumn(name, expr)
-    return df.withColumn(out, errs).drop(*[n for n, _ in lets])
+    df = add_lets(df, lets)
+    return df.withColumn(out, errs).drop(*[n for n, _, _ in lets])
+
+
+def add_lets(df, lets: list[tuple[str, Column, int]]):
+    """Add intermediate columns with one projection per level."""
+    for level in sorted({lv for _, _, lv in lets}):
+        df = df.withColumns({n: e for n, e, lv in lets if lv == level})
+    return df
 
 
 def strict_parse(payload: Column, token: str | None = None) -> Column:

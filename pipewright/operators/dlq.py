@@ -106,7 +106,7 @@ def discard(dlq: DataFrame, ids: DataFrame, now) -> DataFrame:
 def _replay_verdicts(state: DataFrame, schemas: DataFrame) -> DataFrame:
     """Re-validate each DLQ payload with the schema active *now*."""
     v = Validator.from_registry(schemas)
-    out = v.apply(state, F.col("topic_name"), F.col("payload"))
+    out = v.apply(state, "topic_name", "payload")
     return out.withColumns({
         "_pass": F.coalesce(F.col("is_valid"), F.lit(False)),
         "_err": F.when(F.col("system_error").isNotNull(),

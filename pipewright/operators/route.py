@@ -56,50 +56,77 @@ class Validator:
         if len(self.groups) > MAX_DISTINCT_SCHEMAS:
             raise ValueError(f"{len(self.groups)} distinct active schemas exceed the "
                              f"plan-size guard of {MAX_DISTINCT_SCHEMAS}")
-        self.token = token
+        self.token = token or ("pw" + uuid.uuid4().hex)
+        self._compiled: dict = {}
 
     @classmethod
     def from_registry(cls, schemas: DataFrame) -> "Validator":
+        """The validator of the registry's current active schemas.
+
+        One bounded fetch (at most one row per topic reaches the driver).
+        Compiled validators are cached per registry content, so a stream's
+        micro-batches recompile only when a schema was registered.
+        """
         active = schemas.filter(F.col("is_active")).select("topic_name", "id", "schema_json")
-        # size check before anything reaches the driver: one row per topic
-        n = active.limit(MAX_DISTINCT_SCHEMAS * 64 + 1).count()
-        if n > MAX_DISTINCT_SCHEMAS * 64:
+        cap = MAX_DISTINCT_SCHEMAS * 64
+        rows = active.limit(cap + 1).collect()
+        if len(rows) > cap:
             raise ValueError("too many active schemas to compile into one plan")
-        return cls([(r[0], r[1], r[2]) for r in active.collect()])
+        key = tuple(sorted((r[0], r[1], r[2]) for r in rows))
+        v = _CACHE.get(key)
+        if v is None:
+            v = cls(list(key))
+            if len(_CACHE) >= _CACHE_SIZE:
+                _CACHE.pop(next(iter(_CACHE)))
+            _CACHE[key] = v
+        return v
 
     def _topic_map(self, d: dict[str, str]) -> Column:
         if not d:
             return F.create_map().cast("map<string,string>")
         return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv])
 
-    def apply(self, df: DataFrame, topic: Column, payload: Column) -> DataFrame:
-        """Add is_valid, errors, schema_id and system_error to ``df``."""
+    def _plan(self, topic_name: str, payload_name: str):
+        """Compiled columns for the given input column names (cached)."""
+        key = (topic_name, payload_name)
+        if key in self._compiled:
+            return self._compiled[key]
+        topic, payload = F.col(topic_name), F.col(payload_name)
         sid = F.element_at(self._topic_map(self.schema_id), topic) if self.schema_id else F.lit(None).cast("string")
         broken = F.element_at(self._topic_map(self.broken), topic) if self.broken else F.lit(None).cast("string")
-        token = self.token or ("pw" + uuid.uuid4().hex)
-        df = df.withColumns({"schema_id": sid, "system_error": broken,
-                             "_pw_w": F.when(sid.isNotNull(), JS.wrap_for_parse(payload, token))})
-        df = df.withColumn("_pw_v", JS.strict_unwrap(F.col("_pw_w"), token))
+        first = {"schema_id": sid, "system_error": broken,
+                 "_pw_w": F.when(sid.isNotNull(), JS.wrap_for_parse(payload, self.token))}
+        second = {"_pw_v": JS.strict_unwrap(F.col("_pw_w"), self.token)}
         errs = None
         temps = ["_pw_w", "_pw_v"]
+        all_lets = []
         for gi, (doc, topics) in enumerate(self.groups.values()):
             gate = topic.isin(topics)
             lets, e = JS.compile_errors(doc, F.col("_pw_v"), prefix=f"_pw_g{gi}_", gate=gate)
-            for name, expr in lets:
-                df = df.withColumn(name, expr)
-            temps += [n for n, _ in lets]
+            all_lets += lets
+            temps += [n for n, _, _ in lets]
             errs = F.when(gate, e) if errs is None else errs.when(gate, e)
         if errs is None:
             errs = F.array().cast("array<string>")
         parsed = F.col("_pw_v")
         sidc = F.col("schema_id")
-        df = df.withColumn("errors", F.when(sidc.isNull(), F.array(F.lit(M.NO_SCHEMA_MESSAGE)))
-                           .when(parsed.isNull(), F.array(F.lit(M.NOT_JSON_MESSAGE)))
-                           .otherwise(errs))
+        errors = (F.when(sidc.isNull(), F.array(F.lit(M.NO_SCHEMA_MESSAGE)))
+                  .when(parsed.isNull(), F.array(F.lit(M.NOT_JSON_MESSAGE)))
+                  .otherwise(errs))
         is_valid = F.when(F.col("system_error").isNotNull(), F.lit(None).cast("boolean")).when(
             sidc.isNull(), F.lit(True)).when(parsed.isNull(), F.lit(False)).otherwise(
             F.size(F.col("errors")) == 0)
-        out = df.withColumns({"is_valid": is_valid, "schema_id": F.coalesce(sidc, F.lit(""))}).drop(*temps)
+        plan = (first, second, all_lets, errors,
+                {"is_valid": is_valid, "schema_id": F.coalesce(sidc, F.lit(""))}, temps)
+        self._compiled[key] = plan
+        return plan
+
+    def apply(self, df: DataFrame, topic: str, payload: str) -> DataFrame:
+        """Add is_valid, errors, schema_id and system_error to ``df``."""
+        first, second, lets, errors, last, temps = self._plan(topic, payload)
+        df = df.withColumns(first).withColumns(second)
+        df = JS.add_lets(df, lets)
+        out = df.withColumn("errors", errors).withColumns(last).drop(*temps)
         # Validation metrics (valid / invalid / no-schema counts per run).
         # The observation node also keeps later filters on the validation
         # result (e.g. route = 'dlq') from being pushed below it, which would
@@ -112,6 +139,10 @@ class Validator:
             F.count_if(F.col("schema_id") == "").alias("no_schema"))
 
 
+_CACHE: dict = {}
+_CACHE_SIZE = 16
+
+
 def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
              payload: str = "payload", enabled: bool = True,
              validator: Validator | None = None) -> DataFrame:
@@ -121,7 +152,7 @@ def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
     valid and keeps the topic's schema id.
     """
     v = validator or Validator.from_registry(schemas)
-    out = v.apply(spread(events), F.col(topic), F.col(payload))
+    out = v.apply(spread(events), topic, payload)
     if not enabled:
         out = out.withColumns({"is_valid": F.lit(True), "errors": F.array().cast("array<string>"),
                                "system_error": F.lit(None).cast("string")})
