@@ -219,6 +219,28 @@ def fold(actions: DataFrame) -> DataFrame:
     return j.select("id", status.alias("status"), retry_count.cast("bigint").alias("retry_count"))
 
 
+TRACKED = ["status", "retry_count", "error_message", "last_retry_at", "updated_at"]
+
+
+def transitions(before: DataFrame, after: DataFrame, seq: int) -> DataFrame:
+    """The rows of ``after`` whose tracked fields differ from ``before``, as
+    append-only transition records (id, seq, tracked fields)."""
+    b = before.select("id", *[F.col(c).alias(f"_b_{c}") for c in TRACKED])
+    j = after.select("id", *TRACKED).join(b, "id", "left")
+    changed = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in TRACKED])
+    return j.filter(changed).select("id", F.lit(int(seq)).cast("bigint").alias("seq"), *TRACKED)
+
+
+def current_state(log: DataFrame, trans: DataFrame) -> DataFrame:
+    """The DLQ's current state at read time: the newest transition per id
+    (a partial + final ``max_by`` aggregate, no per-id collect) applied to
+    the append-only log rows."""
+    last = trans.groupBy("id").agg(F.max_by(F.struct(*TRACKED), "seq").alias("_t"))
+    j = log.join(last, "id", "left")
+    return j.select(*[F.when(F.col("_t").isNotNull(), F.col(f"_t.{c}")).otherwise(F.col(c)).alias(c)
+                      if c in TRACKED else F.col(c) for c in log.columns])
+
+
 def replay_success(actions: DataFrame) -> DataFrame:
     """DOC-5: replay success rate = successes / attempts."""
     a = F.col("action")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.scalars import clamp_lag, hms_label
-from .skew import bounded_broadcast, previous_within, running_max_within, top_k_within
+from .skew import (bounded_broadcast, prefix_sum_within, previous_within, running_max_within,
+                   top_k_within)
 
 SERIES = ["topic", "consumer_group"]
 
@@ -204,9 +205,28 @@ def alert_state(totals: DataFrame, threshold: int) -> DataFrame:
     return t.groupBy(*SERIES).agg(F.max_by("is_alert", F.struct("ts_sec", "total_lag")).alias("is_alert"))
 
 
-def lag_p95(readings: DataFrame, exact: bool = True) -> DataFrame:
-    """DOC-4: 95th percentile of lag per series; exact (a counts map per
-    series, merged map-side) or approximate (bounded sketch) at scale."""
-    p = (F.percentile(F.col("lag"), F.lit(0.95)) if exact
-         else F.percentile_approx(F.col("lag"), 0.95, 10000).cast("double"))
-    return readings.groupBy(*SERIES).agg(p.alias("lag_p95"))
+def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFrame:
+    """DOC-4: the q-quantile of lag per series, linear interpolation between
+    the values at ranks floor/ceil of q x (n - 1).
+
+    Exact form without holding a series in one task: counts per (series,
+    lag value) are a partial aggregate; their running sums (bucketed prefix
+    sums) locate the two ranks; one join picks the values. The approximate
+    form is ``percentile_approx`` (a bounded sketch)."""
+    if not exact:
+        return readings.groupBy(*SERIES).agg(
+            F.percentile_approx(F.col("lag"), q, 10000).cast("double").alias("lag_p95"))
+    counts = readings.groupBy(*SERIES, "lag").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sum_within(counts, SERIES, "lag", "_c", width=1024, out="_before")
+    n = counts.groupBy(*SERIES).agg(F.sum("_c").alias("_n"))
+    pos = F.lit(q) * (F.col("_n") - 1)
+    ranks = n.select(*SERIES, F.floor(pos).cast("bigint").alias("_lo"), F.ceil(pos).cast("bigint").alias("_hi"),
+                     (pos - F.floor(pos)).alias("_frac"))
+    j = cum.join(ranks, SERIES)
+    holds = lambda r: (F.col("_before") <= F.col(r)) & (F.col(r) < F.col("_before") + F.col("_c"))
+    picked = j.groupBy(*SERIES).agg(
+        F.max(F.when(holds("_lo"), F.col("lag"))).alias("_vlo"),
+        F.max(F.when(holds("_hi"), F.col("lag"))).alias("_vhi"),
+        F.first("_frac").alias("_frac"))
+    return picked.select(*SERIES, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
+                         .cast("double").alias("lag_p95"))

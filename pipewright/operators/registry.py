@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonschema as JS
-from .skew import bounded_broadcast
+from .skew import bounded_broadcast, ordinal_within
 
 MAX_DISTINCT_REQUEST_SCHEMAS = 100_000
 
@@ -55,10 +55,10 @@ def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> Dat
     if check:
         check_requests(requests)
     current_max = schemas.groupBy("topic_name").agg(F.max("version").alias("_max_v"))
-    numbered = (requests
+    per_topic = requests.groupBy("topic_name").agg(F.count(F.lit(1)).alias("_cnt"))
+    numbered = (ordinal_within(requests, ["topic_name"], "seq", out="_n")
                 .join(bounded_broadcast(current_max), "topic_name", "left")
-                .withColumn("_n", F.row_number().over(Window.partitionBy("topic_name").orderBy("seq")))
-                .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy("topic_name")))
+                .join(per_topic, "topic_name", "inner")
                 .withColumn("version", (F.coalesce(F.col("_max_v"), F.lit(0)) + F.col("_n")).cast("int")))
     new_rows = numbered.select(
         F.concat(F.lit("sch-"), F.col("topic_name"), F.lit("-v"), F.col("version").cast("string")).alias("id"),

@@ -49,6 +49,24 @@ def ordinal_within(df: DataFrame, keys: Sequence[str], order: str, width: int =
             .drop(b, "_pw_local", "_pw_base"))
 
 
+def prefix_sum_within(df: DataFrame, keys: Sequence[str], order: str, value: str,
+                      width: int = 4096, out: str = "prefix") -> DataFrame:
+    """``sum(value) over (partition by keys order by order rows between
+    unbounded preceding and 1 preceding)`` (0 for the first row); ``order``
+    numeric and unique within the key."""
+    keys = list(keys)
+    b = "_pw_b"
+    d = df.withColumn(b, _bucket(F.col(order), width))
+    local = d.withColumn("_pw_local", F.coalesce(F.sum(value).over(
+        Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = d.groupBy(*keys, b).agg(F.sum(value).alias("_pw_s"))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("_pw_base", F.coalesce(F.sum("_pw_s").over(before), F.lit(0))).drop("_pw_s")
+    return (local.join(base, keys + [b], "inner")
+            .withColumn(out, F.col("_pw_base") + F.col("_pw_local"))
+            .drop(b, "_pw_local", "_pw_base"))
+
+
 def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_col: str,
                        value: str, width: int, out: str = "running_max") -> DataFrame:
     """``max(value) over (partition by keys order by order rows unbounded

@@ -244,6 +244,8 @@ def oracle() -> dict[str, str]:
   list_filter(list_transform(string_split(payload, ','), lambda x: trim(x)), lambda x: x <> '')[1] as first_item
   from event_log"""
 
+    q["jsonschema_extended"] = extended_sql()
+
     # registry
     R = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, TOPICS)
     q["register_schemas"] = R + "select id, topic_name, version, schema_json, is_active, created_at from registered"
@@ -432,3 +434,45 @@ _NODES = """nodes as (
     select distinct producer_id as id, producer_id as label, 'producer' as type from event_log
     union all select distinct topic, topic, 'topic' from (select topic from event_log union select topic from committed) t
     union all select distinct 'cg-' || consumer_group, consumer_group, 'consumer_group' from committed) u)"""
+
+
+def extended_sql() -> str:
+    """The EXTENDED fixture schema (tier-B keywords) restated in SQL."""
+    canon_a = _canon("cast(json_extract_string(p, '$.amount') as double)")
+    extra = "list_filter(ks, lambda k: k not in ('order_id', 'amount', 'currency'))"
+    quoted = "list_transform(list_sort(" + extra + "), lambda k: chr(39) || k || chr(39))"
+    checks = [
+        f"case when ok and rt <> 'OBJECT' then '/: must be object (got ' || {_tn('rt')} || ')' end",
+        f"case when t_o is not null and t_o <> 'VARCHAR' then '/order_id: must be string (got ' || {_tn('t_o')} || ')' end",
+        "case when length(s_o) < 2 then '/order_id: length must be >= 2 (got ' || cast(length(s_o) as varchar) || ')' end",
+        "case when length(s_o) > 3 then '/order_id: length must be <= 3 (got ' || cast(length(s_o) as varchar) || ')' end",
+        "case when s_o is not null and not regexp_matches(s_o, '^[0-9]+$') "
+        "then '/order_id: must match pattern \"^[0-9]+$\"' end",
+        f"case when t_a is not null and t_a not in {NUM} then '/amount: must be number (got ' || {_tn('t_a')} || ')' end",
+        f"case when d_a > 400 then '/amount: must be <= 400 (got ' || {canon_a} || ')' end",
+        f"case when d_a <= 0 then '/amount: must be > 0 (got ' || {canon_a} || ')' end",
+        f"case when m_a * 20 <> floor(m_a * 20) then '/amount: must be a multiple of 0.05 (got ' || {canon_a} || ')' end",
+        f"case when t_c is not null and t_c <> 'VARCHAR' then '/currency: must be string (got ' || {_tn('t_c')} || ')' end",
+        "case when s_c = 'GBP' then '/currency: must not match the schema in not' end",
+        "case when obj and len(ks) < 3 then '/: must have at least 3 properties (got ' || cast(len(ks) as varchar) || ')' end",
+        f"case when obj and len({extra}) > 0 then '/: additional properties not allowed: ' || array_to_string({quoted}, ', ') end",
+        "case when obj and t_c is not null and t_a is null then '/: property ' || chr(39) || 'amount' || chr(39) "
+        "|| ' is required by ' || chr(39) || 'currency' || chr(39) end",
+    ]
+    return with_(
+        EVENT_LOG,
+        "x0 as (select event_id, payload as p, json_valid(payload) as ok from event_log)",
+        "x1 as (select *, case when ok then json_type(p) end as rt from x0)",
+        """x2 as (select *, coalesce(rt = 'OBJECT', false) as obj,
+    case when rt = 'OBJECT' then json_type(p, '$.order_id') end as t_o,
+    case when rt = 'OBJECT' then json_type(p, '$.amount') end as t_a,
+    case when rt = 'OBJECT' then json_type(p, '$.currency') end as t_c,
+    case when rt = 'OBJECT' then json_keys(p) end as ks from x1)""",
+        f"""x3 as (select *,
+    case when t_o = 'VARCHAR' then json_extract_string(p, '$.order_id') end as s_o,
+    case when t_a in {NUM} then cast(json_extract_string(p, '$.amount') as double) end as d_a,
+    case when t_a in {NUM} then cast(json_extract_string(p, '$.amount') as decimal(38, 9)) end as m_a,
+    case when t_c = 'VARCHAR' then json_extract_string(p, '$.currency') end as s_c from x2)""",
+        "x4 as (select *, list_filter([\n    " + ",\n    ".join(checks) + "\n  ], lambda x: x is not null) as l from x3)",
+    ) + """select event_id, ok as is_json, cast(case when ok then len(l) else 0 end as bigint) as n_errors,
+  case when ok then array_to_string(l, '; ') end as error_message from x4"""
