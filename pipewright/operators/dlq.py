@@ -19,7 +19,7 @@ from .. import model as M
 from ..functions import jsonschema as JS
 from ..functions.scalars import join_errors, stable_id
 from .route import Validator
-from .skew import bounded_broadcast, ordinal_within
+from .skew import ordinal_within
 
 DEFAULT_LIMIT = 50
 PAGE_SIZE = 20
@@ -257,4 +257,4 @@ def depth(dlq: DataFrame) -> DataFrame:
 
 
 __all__ = ["list_events", "page", "by_id", "payload_view", "stats", "mark_retrying", "discard",
-           "retry", "fold", "replay_success", "depth", "bounded_broadcast"]
+           "retry", "fold", "replay_success", "depth"]

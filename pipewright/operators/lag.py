@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.scalars import clamp_lag, hms_label
-from .skew import (bounded_broadcast, prefix_sum_within, previous_within, running_max_within,
-                   top_k_within)
+from .skew import prefix_sum_within, previous_within, running_max_within, top_k_within
 
 SERIES = ["topic", "consumer_group"]
 
@@ -61,7 +60,8 @@ def partition_lag(latest: DataFrame, committed: DataFrame, groups: DataFrame | N
     that has commits. Joined to partitions on topic (an equi-join).
     """
     pairs = groups if groups is not None else committed.select("consumer_group", "topic").distinct()
-    grid = latest.join(bounded_broadcast(pairs), "topic", "inner")
+    # pairs and partitions are metadata-sized; AQE broadcasts them at run time
+    grid = latest.join(pairs, "topic", "inner")
     j = grid.join(committed, ["consumer_group", "topic", "partition_id"], "left")
     c = F.coalesce(F.col("committed_offset"), F.lit(0)).cast("bigint")
     return j.select("topic", "consumer_group", "partition_id", "latest_offset",
@@ -123,8 +123,10 @@ def expiry(readings: DataFrame, now, ttl_hours: int = M.LAG_TTL_HOURS) -> DataFr
     vanishes. Visible points: ts > last_write - TTL, while now < last_write
     + TTL. The per-series last write is a small aggregate joined back."""
     ttl = F.lit(int(ttl_hours) * 3600)
+    # one row per series; AQE turns this into a broadcast join at run time
+    # when the aggregate is small (no second pass over the readings to size it)
     last = readings.groupBy(*SERIES).agg(F.max("ts_sec").alias("_last"))
-    j = readings.join(bounded_broadcast(last), SERIES, "inner")
+    j = readings.join(last, SERIES, "inner")
     return j.filter((F.col("ts_sec") > F.col("_last") - ttl) & (_secs(now) < F.col("_last") + ttl)) \
         .drop("_last")
 

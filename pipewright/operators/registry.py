@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonschema as JS
-from .skew import bounded_broadcast, ordinal_within
+from .skew import ordinal_within
 
 MAX_DISTINCT_REQUEST_SCHEMAS = 100_000
 
@@ -36,11 +36,10 @@ def schema_history(schemas: DataFrame, topic: str | None = None) -> DataFrame:
 def check_requests(requests: DataFrame) -> None:
     """Compile every distinct schema document of a registration batch on the
     driver; any failure rejects the whole batch (all or nothing)."""
-    docs = requests.select("schema_json").distinct()
-    n = docs.limit(MAX_DISTINCT_REQUEST_SCHEMAS + 1).count()
-    if n > MAX_DISTINCT_REQUEST_SCHEMAS:
+    docs = requests.select("schema_json").distinct().limit(MAX_DISTINCT_REQUEST_SCHEMAS + 1).collect()
+    if len(docs) > MAX_DISTINCT_REQUEST_SCHEMAS:
         raise ValueError("too many distinct schema documents in one registration batch")
-    for (text,) in docs.collect():
+    for (text,) in docs:
         JS.parse_schema(text)
 
 
@@ -57,7 +56,7 @@ def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> Dat
     current_max = schemas.groupBy("topic_name").agg(F.max("version").alias("_max_v"))
     per_topic = requests.groupBy("topic_name").agg(F.count(F.lit(1)).alias("_cnt"))
     numbered = (ordinal_within(requests, ["topic_name"], "seq", out="_n")
-                .join(bounded_broadcast(current_max), "topic_name", "left")
+                .join(current_max, "topic_name", "left")
                 .join(per_topic, "topic_name", "inner")
                 .withColumn("version", (F.coalesce(F.col("_max_v"), F.lit(0)) + F.col("_n")).cast("int")))
     new_rows = numbered.select(
@@ -66,7 +65,7 @@ def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> Dat
         (F.col("_n") == F.col("_cnt")).alias("is_active"),
         F.col("requested_at").cast("timestamp_ntz").alias("created_at"))
     touched = requests.select("topic_name").distinct().withColumn("_touched", F.lit(True))
-    old = (schemas.join(bounded_broadcast(touched), "topic_name", "left")
+    old = (schemas.join(touched, "topic_name", "left")
            .withColumn("is_active", F.col("is_active") & F.col("_touched").isNull())
            .select(*schemas.columns))
     return old.unionByName(new_rows)
@@ -91,14 +90,12 @@ def upsert_topics(topics: DataFrame, names: DataFrame, now) -> DataFrame:
 
 def orphans(schemas: DataFrame, topics: DataFrame) -> DataFrame:
     """JON-6: schema rows whose topic does not exist (anti join)."""
-    return schemas.join(bounded_broadcast(topics.select(F.col("name").alias("topic_name"))),
-                        "topic_name", "left_anti")
+    return schemas.join(topics.select(F.col("name").alias("topic_name")), "topic_name", "left_anti")
 
 
 def cascade_delete(schemas: DataFrame, surviving_topics: DataFrame) -> DataFrame:
     """JON-6: deleting a topic deletes its schemas (semi join on survivors)."""
-    return schemas.join(bounded_broadcast(surviving_topics.select(F.col("name").alias("topic_name"))),
-                        "topic_name", "left_semi")
+    return schemas.join(surviving_topics.select(F.col("name").alias("topic_name")), "topic_name", "left_semi")
 
 
 def validity(schemas: DataFrame) -> DataFrame:
@@ -113,12 +110,13 @@ def as_of(df: DataFrame, schemas: DataFrame, topic: str = "topic_name",
     """JON-7: the schema version in force when each row happened.
 
     An as-of join: equi-join on topic plus a range condition on the validity
-    interval. The version table is bounded (topics x versions) and is
-    broadcast after a size check, so the big side is never shuffled.
+    interval. The version table is bounded (topics x versions): AQE sees its
+    shuffled size and plans a broadcast hash join at run time, so the big
+    side is not sorted; past the threshold it stays a sort-merge join on
+    topic with skewed partitions split.
     """
     v = validity(schemas).select(F.col("topic_name").alias("_t"), F.col("id").alias("schema_id"),
                                  F.col("version").alias("schema_version"), "valid_from", "valid_to")
-    v = bounded_broadcast(v)
     cond = ((F.col(topic) == F.col("_t")) & (F.col(ts) >= F.col("valid_from"))
             & (F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to"))))
     return df.join(v, cond, "left").drop("_t", "valid_from", "valid_to")

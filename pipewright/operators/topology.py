@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions.scalars import group_node_id, producer_node_id, producer_node_label
-from .skew import bounded_broadcast
 
 
 def nodes_from_config(spark: SparkSession, topics: list[str], group: str) -> DataFrame:
@@ -58,7 +57,7 @@ def with_alerts(nodes_df: DataFrame, alert_topics: DataFrame) -> DataFrame:
     """TOP-3 / JON-5: alert flag on topic nodes (topics with any series in
     alert); other nodes are never flagged."""
     a = alert_topics.select(F.col("topic").alias("id")).distinct().withColumn("_a", F.lit(True))
-    j = nodes_df.join(bounded_broadcast(a), "id", "left")
+    j = nodes_df.join(a, "id", "left")  # both sides are graph-sized; AQE picks broadcast at run time
     return j.select(*nodes_df.columns, ((F.col("type") == M.NODE_TOPIC) & F.col("_a").isNotNull()).alias("is_alert"))
 
 
@@ -78,7 +77,7 @@ def node_metadata(nodes_df: DataFrame, topic_meta: DataFrame, totals: DataFrame)
     tm = topic_meta.select(F.col("topic").alias("id"), F.col("partitions").cast("string").alias("_p"))
     gl = totals.groupBy("consumer_group").agg(F.sum("total_lag").alias("_l")).select(
         group_node_id(F.col("consumer_group")).alias("id"), F.col("_l").cast("string").alias("_l"))
-    j = nodes_df.join(bounded_broadcast(tm), "id", "left").join(bounded_broadcast(gl), "id", "left")
+    j = nodes_df.join(tm, "id", "left").join(gl, "id", "left")
     meta = (F.when(F.col("_p").isNotNull(), F.create_map(F.lit("partitions"), F.col("_p")))
             .when(F.col("_l").isNotNull(), F.create_map(F.lit("total_lag"), F.col("_l")))
             .otherwise(F.create_map().cast("map<string,string>")))
@@ -90,7 +89,7 @@ def topic_metadata(topic_partitions: DataFrame, managed: DataFrame) -> DataFrame
     replica count of the lowest partition (1 if it has none); topics not
     found are skipped."""
     m = managed.select(F.col("name").alias("topic")).distinct()
-    tp = topic_partitions.join(bounded_broadcast(m), "topic", "left_semi")
+    tp = topic_partitions.join(m, "topic", "left_semi")
     return tp.groupBy("topic").agg(
         F.count(F.lit(1)).alias("partitions"),
         F.coalesce(F.size(F.min_by("replicas", "partition_id")), F.lit(1)).cast("int").alias("replication_factor"))
