@@ -232,3 +232,45 @@ def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFra
         F.first("_frac").alias("_frac"))
     return picked.select(*SERIES, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
                          .cast("double").alias("lag_p95"))
+
+
+# -- STR-6: a date-partitioned readings store ----------------------------------
+
+def _day(ts_sec: Column) -> Column:
+    return F.to_date(F.timestamp_seconds(ts_sec))
+
+
+def write_readings(readings: DataFrame, root: str) -> None:
+    """Append readings to a table partitioned by day (``dt``), so range reads
+    prune whole days and retention drops whole folders."""
+    readings.withColumn("dt", _day(F.col("ts_sec"))).write.mode("append").partitionBy("dt").parquet(root)
+
+
+def read_history(spark, root: str, now, minutes: int) -> DataFrame:
+    """LAG-4 over the store: the day filter derived from the ts range lets
+    Spark prune partitions; the exact second filter is then applied."""
+    hi = _secs(now)
+    lo = hi - F.lit(int(minutes) * 60)
+    df = spark.read.parquet(root)
+    df = df.filter(F.col("dt").between(_day(lo), _day(hi)))
+    return history(df.drop("dt"), now, minutes)
+
+
+def drop_expired_days(spark, root: str, now, ttl_hours: int = M.LAG_TTL_HOURS) -> list[str]:
+    """STR-6 compaction: delete day folders entirely before the TTL cutoff's
+    day (the cutoff day itself is trimmed at read time by ``prune``).
+    Returns the dropped folder names."""
+    import datetime as _dt
+    cutoff = (now if isinstance(now, _dt.datetime) else _dt.datetime.fromisoformat(str(now))) \
+        - _dt.timedelta(hours=int(ttl_hours))
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("dt="):
+            if _dt.date.fromisoformat(name[3:]) < cutoff.date():
+                fs.delete(st.getPath(), True)
+                dropped.append(name)
+    return sorted(dropped)

@@ -23,6 +23,7 @@ from .. import model as M
 from ..functions import jsonschema as JS
 from ..functions.scalars import join_errors, rfc3339, stable_id
 from ..session import spread
+from .skew import ordinal_within
 
 log = logging.getLogger(__name__)
 
@@ -229,14 +230,35 @@ def dlq_rows(routed: DataFrame, now, topic: str = "topic", payload: str = "paylo
 
 
 def publish_results(routed: DataFrame, position: str = "event_id",
-                    topic: str = "topic") -> DataFrame:
-    """SET-1: one result per input event, ordered by input position."""
-    return routed.select(
+                    topic: str = "topic", log: DataFrame | None = None) -> DataFrame:
+    """SET-1: one result per input event, ordered by input position.
+
+    With ``log`` (the file-based topic log being appended to), published
+    events also get their landing partition and offset: the partition's
+    next offset plus the event's ordinal among this batch's events for that
+    partition (skew-safe ordinal, no window over a whole partition). Left
+    null for Kafka, which assigns offsets itself.
+    """
+    res = routed.select(
         F.col(position).alias("pos"), F.col(topic).alias("topic"),
         (F.col("route") == ROUTE_PUBLISHED).alias("success"),
         F.col("dlq_event_id"),
         F.when(F.col("route") != ROUTE_PUBLISHED, F.col("error_message")).alias("error"),
-    ).orderBy("pos")
+        F.col("partition_id").alias("_part"))
+    if log is not None:
+        # one pass: rank every row inside (topic, partition, published) and
+        # keep the rank only for published rows
+        nxt = log.groupBy(F.col("topic"), F.col("partition_id").alias("_part")).agg(
+            (F.max("kafka_offset") + 1).alias("_next"))
+        ranked = ordinal_within(res, ["topic", "_part", "success"], "pos", out="_k")
+        res = ranked.join(nxt, ["topic", "_part"], "left").withColumn(
+            "kafka_offset", F.when(F.col("success"), (F.coalesce(F.col("_next"), F.lit(0))
+                                                      + F.col("_k") - 1).cast("bigint")))
+    else:
+        res = res.withColumn("kafka_offset", F.lit(None).cast("bigint"))
+    res = res.select("pos", "topic", "success", "dlq_event_id", "error",
+                     F.when(F.col("success"), F.col("_part")).alias("partition_id"), "kafka_offset")
+    return res.orderBy("pos")
 
 
 Sink = Callable[[DataFrame], None]

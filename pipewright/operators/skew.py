@@ -36,6 +36,15 @@ def _bucket(order: Column, width: int) -> Column:
     return F.floor(order / F.lit(width)).cast("bigint")
 
 
+def _join_back(local: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame:
+    """Null-safe equi-join of the per-bucket table back onto the rows (a
+    NULL key is a key like any other; no row is lost)."""
+    s = small.select(*[F.col(c).alias(f"_pw_r_{c}") for c in cols],
+                     *[c for c in small.columns if c not in cols])
+    cond = [local[c].eqNullSafe(s[f"_pw_r_{c}"]) for c in cols]
+    return local.join(s, cond, "inner").drop(*[f"_pw_r_{c}" for c in cols])
+
+
 def ordinal_within(df: DataFrame, keys: Sequence[str], order: str, width: int = 4096,
                    out: str = "ordinal") -> DataFrame:
     """1-based position of each row inside its key by ``order`` (a numeric
@@ -46,10 +55,12 @@ def ordinal_within(df: DataFrame, keys: Sequence[str], order: str, width: int =
     d = df.withColumn(b, _bucket(F.col(order), width))
     local = d.withColumn("_pw_local", F.row_number().over(
         Window.partitionBy(*keys, b).orderBy(order)))
-    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_pw_n"))
+    # per-bucket counts come from the windowed rows, so both branches share
+    # the one shuffle by (keys, bucket) and the input is computed once
+    counts = local.groupBy(*keys, b).agg(F.max("_pw_local").alias("_pw_n"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("_pw_base", F.coalesce(F.sum("_pw_n").over(before), F.lit(0))).drop("_pw_n")
-    return (local.join(base, keys + [b], "inner")
+    return (_join_back(local, base, keys + [b])
             .withColumn(out, (F.col("_pw_base") + F.col("_pw_local")).cast("bigint"))
             .drop(b, "_pw_local", "_pw_base"))
 
@@ -64,10 +75,10 @@ def prefix_sum_within(df: DataFrame, keys: Sequence[str], order: str, value: str
     d = df.withColumn(b, _bucket(F.col(order), width))
     local = d.withColumn("_pw_local", F.coalesce(F.sum(value).over(
         Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = d.groupBy(*keys, b).agg(F.sum(value).alias("_pw_s"))
+    sums = local.groupBy(*keys, b).agg(F.sum(value).alias("_pw_s"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("_pw_base", F.coalesce(F.sum("_pw_s").over(before), F.lit(0))).drop("_pw_s")
-    return (local.join(base, keys + [b], "inner")
+    return (_join_back(local, base, keys + [b])
             .withColumn(out, F.col("_pw_base") + F.col("_pw_local"))
             .drop(b, "_pw_local", "_pw_base"))
 
@@ -82,10 +93,10 @@ def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     d = df.withColumn(b, _bucket(F.col(bucket_col), width))
     local = d.withColumn("_pw_local", F.max(value).over(
         Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    per_bucket = d.groupBy(*keys, b).agg(F.max(value).alias("_pw_m"))
+    per_bucket = local.groupBy(*keys, b).agg(F.max(value).alias("_pw_m"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     prev = per_bucket.withColumn("_pw_prev", F.max("_pw_m").over(before)).drop("_pw_m")
-    return (local.join(prev, keys + [b], "inner")
+    return (_join_back(local, prev, keys + [b])
             .withColumn(out, F.greatest(F.col("_pw_local"), F.col("_pw_prev")))
             .drop(b, "_pw_local", "_pw_prev"))
 
@@ -101,10 +112,10 @@ def previous_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     w = Window.partitionBy(*keys, b).orderBy(*order)
     local = d.withColumn("_pw_lag", F.lag(value).over(w)).withColumn(
         "_pw_first", F.row_number().over(w) == 1)
-    last = d.groupBy(*keys, b).agg(F.max_by(F.col(value), F.struct(*order)).alias("_pw_last"))
+    last = local.groupBy(*keys, b).agg(F.max_by(F.col(value), F.struct(*order)).alias("_pw_last"))
     prev = last.withColumn("_pw_carry", F.lag("_pw_last").over(
         Window.partitionBy(*keys).orderBy(b))).drop("_pw_last")
-    return (local.join(prev, keys + [b], "inner")
+    return (_join_back(local, prev, keys + [b])
             .withColumn(out, F.when(F.col("_pw_first"), F.col("_pw_carry")).otherwise(F.col("_pw_lag")))
             .drop(b, "_pw_lag", "_pw_first", "_pw_carry"))
 

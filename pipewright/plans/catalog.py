@@ -77,7 +77,7 @@ def route_events(spark, sf):
 
 @query("publish_results")
 def publish_results(spark, sf):
-    return R.publish_results(_routed(spark, sf))
+    return R.publish_results(_routed(spark, sf), log=FX.event_log(spark, sf))
 
 
 @query("published_messages")

@@ -227,8 +227,14 @@ def oracle() -> dict[str, str]:
     q["validation_errors"] = V + """select topic, e as error, count(*) as n
   from (select topic, unnest(errs) as e from routed where not is_valid) x group by topic, e"""
     q["route_events"] = V + """select topic, route, error_type, count(*) as n from routed group by topic, route, error_type"""
-    q["publish_results"] = V + """select event_id as pos, topic, route = 'published' as success, dlq_event_id,
-  case when route <> 'published' then error_message end as error from routed"""
+    q["publish_results"] = V + """, nxt as (select topic as t, partition_id as p, max(kafka_offset) + 1 as n
+    from event_log group by topic, partition_id)
+  select event_id as pos, topic, route = 'published' as success, dlq_event_id,
+  case when route <> 'published' then error_message end as error,
+  case when route = 'published' then partition_id end as partition_id,
+  case when route = 'published' then cast(nxt.n + row_number() over (
+    partition by topic, partition_id, route = 'published' order by event_id) - 1 as bigint) end as kafka_offset
+  from routed left join nxt on nxt.t = routed.topic and nxt.p = routed.partition_id"""
     q["published_messages"] = V + """select topic, msg_key as key, payload as value,
   producer_id as h_producer_id, schema_id as h_schema_id, '2024-01-31T00:00:00Z' as h_published_at
   from routed where route = 'published'"""

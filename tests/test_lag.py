@@ -95,3 +95,19 @@ def test_running_peak_and_transitions_skew_helpers(spark):
     flags = [lag > 5 for (_, _, _, lag) in rows]
     exp_tr = [rows[i][2] for i in range(len(rows)) if flags[i] != (flags[i - 1] if i else False)]
     assert sorted(x.ts_sec for x in tr.collect()) == exp_tr
+
+
+def test_store_pruning_and_day_drop(spark):
+    import os
+    import uuid
+    from pipewright.session import checkpoint_dir
+    root = os.path.join(checkpoint_dir(spark), "lagstore-" + uuid.uuid4().hex[:8])
+    rows = [("t", "g", NOW_S - k * 3600, k) for k in range(0, 24 * 5, 3)]
+    r = readings(spark, rows)
+    L.write_readings(r, root)
+    got = [(x.ts_sec, x.lag) for x in L.read_history(spark, root, NOW, 600).collect()]
+    assert got == [(x.ts_sec, x.lag) for x in L.history(r, NOW, 600).collect()]
+    dropped = L.drop_expired_days(spark, root, NOW, 48)
+    assert dropped and all(d < "dt=2024-01-29" for d in dropped)
+    left = spark.read.parquet(root).drop("dt")
+    assert L.prune(left, NOW, 48).count() == L.prune(r, NOW, 48).count()
