@@ -144,6 +144,26 @@ _CACHE: dict = {}
 _CACHE_SIZE = 16
 
 
+class SnapshotRegistry:
+    """A registry kept with ``storage.write_snapshot``. Each call reads only
+    the pointer file; the active schemas are fetched and compiled again only
+    when a new version was registered, so a stream's micro-batches see a new
+    schema at the next batch without a Spark job per batch."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root
+        self._version = None
+        self._validator: Validator | None = None
+
+    def __call__(self) -> Validator:
+        from ..sources.storage import current_version, read_snapshot
+        v = current_version(self.spark, self.root)
+        if v != self._version or self._validator is None:
+            self._validator = Validator.from_registry(read_snapshot(self.spark, self.root, v))
+            self._version = v
+        return self._validator
+
+
 def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
              payload: str = "payload", enabled: bool = True,
              validator: Validator | None = None) -> DataFrame:

@@ -67,7 +67,11 @@ def spread(df: DataFrame) -> DataFrame:
     cores (a small file read as one split), so CPU-heavy projections use
     every core. At scale the input already has many splits and this is a
     no-op; the check only plans the frame, it runs no job."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session (no RDD API)
+        return df
+    if n < target:
         return df.repartition(target)
     return df

@@ -41,12 +41,17 @@ def _stage(df: DataFrame, path: str, files: int = STAGE_FILES) -> str:
 
 def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out: str,
                  checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None):
-    """STR-1: validate and route every micro-batch. The registry is re-read
-    in each batch, so a newly registered schema takes effect at the next
-    batch. Outputs go to ``batch_id=N`` folders (overwritten on a rerun of
+    """STR-1: validate and route every micro-batch. ``schemas_reader``
+    returns the registry (a DataFrame) or a compiled ``Validator`` (e.g. a
+    ``SnapshotRegistry``) and is called per batch, so a newly registered
+    schema takes effect at the next batch. Outputs go to ``batch_id=N`` folders (overwritten on a rerun of
     the same batch), and DLQ ids are deterministic: reruns are idempotent."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        routed = R.route(batch, schemas_reader(), now)
+        reg = schemas_reader()
+        if isinstance(reg, R.Validator):
+            routed = R.route(batch, None, now, validator=reg)
+        else:
+            routed = R.route(batch, reg, now)
         R.publish(routed, now, R.parquet_sink(topic_out, batch_id),
                   R.parquet_sink(dlq_out, batch_id, partition_by="topic_name"))
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -59,7 +64,9 @@ def stream_route_result(spark: SparkSession, sf: str) -> DataFrame:
     wd = _workdir(spark, "route")
     src = _stage(FX.event_log(spark, sf), os.path.join(wd, "in"))
     stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=1)
-    q = route_stream(stream, lambda: FX.schemas(spark), M.FIXED_NOW,
+    from ..sources.storage import write_snapshot
+    write_snapshot(FX.schemas(spark), os.path.join(wd, "registry"))
+    q = route_stream(stream, R.SnapshotRegistry(spark, os.path.join(wd, "registry")), M.FIXED_NOW,
                      os.path.join(wd, "topics"), os.path.join(wd, "dlq"), os.path.join(wd, "ckpt"))
     q.awaitTermination()
     pub = spark.read.parquet(os.path.join(wd, "topics")).groupBy("topic").agg(

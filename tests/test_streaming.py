@@ -49,3 +49,21 @@ def test_schema_change_takes_effect_next_batch(spark):
     strict = R.route(FX.event_log(spark, SF), base, M.FIXED_NOW).filter(F.col("route") == "dlq").count()
     loose = R.route(FX.event_log(spark, SF), lenient, M.FIXED_NOW).filter(F.col("route") == "dlq").count()
     assert loose < strict
+
+
+def test_snapshot_registry_recompiles_only_on_new_version(spark):
+    from pipewright.sources.fixtures import LENIENT_JSON
+    from pipewright.sources.storage import write_snapshot
+    root = os.path.join(checkpoint_dir(spark), "reg-" + uuid.uuid4().hex[:8])
+    write_snapshot(FX.schemas(spark), root)
+    reg = R.SnapshotRegistry(spark, root)
+    v1 = reg()
+    assert reg() is v1
+    lenient = spark.createDataFrame(
+        [(f"x-{t}", t, 9, LENIENT_JSON, True, FX.D0) for t in ("click", "error", "purchase", "view")], M.SCHEMAS)
+    write_snapshot(lenient, root)
+    v2 = reg()
+    assert v2 is not v1
+    strict = R.route(FX.event_log(spark, SF), None, M.FIXED_NOW, validator=v1).filter(F.col("route") == "dlq").count()
+    loose = R.route(FX.event_log(spark, SF), None, M.FIXED_NOW, validator=v2).filter(F.col("route") == "dlq").count()
+    assert loose < strict
