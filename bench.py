@@ -16,8 +16,6 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from pipewright import model as M  # noqa: E402
 from pipewright.operators import route as R  # noqa: E402
 from pipewright.plans import catalog as C  # noqa: E402
@@ -45,7 +43,6 @@ def main() -> None:
                   R.parquet_sink(os.path.join(out, "dlq"), partition_by="topic_name"))
 
     def stream_route():
-        spark.read.parquet  # noqa: B018 - keep the session warm
         C.queries()["stream_route"](spark, sf_dir).count()
 
     def q(name):
@@ -95,5 +92,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    _ = F
     main()

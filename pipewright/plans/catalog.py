@@ -7,7 +7,6 @@ match the oracle SQL in ``sql.py`` one to one.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -472,5 +471,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice: events -> validate -> route -> counts."""
     return queries()["route_events"](spark, sf_dir)
 
-
-_ = _dt  # datetime kept for callers building their own `now`
