@@ -180,7 +180,7 @@ def chart(readings: DataFrame, now, minutes: int = 30, points: int = M.CHART_POI
         h = h.filter(F.col("topic") == topic)
     h = h.withColumn("_lag_txt", F.col("lag").cast("string"))
     kept = top_k_within(h, SERIES, [F.desc("ts_sec"), F.desc("_lag_txt")], points, out="_rank",
-                        salt=F.abs(F.xxhash64("ts_sec", "lag")) % F.lit(64))
+                        salt=F.abs(F.xxhash64("ts_sec", "lag")) % F.lit(256))
     w = Window.partitionBy(*SERIES).orderBy("ts_sec", "_lag_txt").rowsBetween(Window.unboundedPreceding, 0)
     return kept.select(
         *SERIES, "ts_sec", "lag",
