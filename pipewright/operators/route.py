@@ -73,10 +73,12 @@ class Validator:
         rows = active.limit(cap + 1).collect()
         if len(rows) > cap:
             raise ValueError("too many active schemas to compile into one plan")
-        key = tuple(sorted((r[0], r[1], r[2]) for r in rows))
+        content = tuple(sorted((r[0], r[1], r[2]) for r in rows))
+        # compiled Columns belong to one application's JVM gateway
+        key = (schemas.sparkSession.sparkContext.applicationId, content)
         v = _CACHE.get(key)
         if v is None:
-            v = cls(list(key))
+            v = cls(list(content))
             if len(_CACHE) >= _CACHE_SIZE:
                 _CACHE.pop(next(iter(_CACHE)))
             _CACHE[key] = v
