@@ -310,15 +310,27 @@ def kafka_sink(bootstrap: str, **options) -> Sink:
 
 
 def publish(routed: DataFrame, now, topic_sink: Sink, dlq_sink: Sink,
-            batch: bool = True, **cols) -> dict:
+            batch: bool = True, materialize: str = "persist", **cols) -> dict:
     """Write one routed frame to its two sinks.
 
-    The routed frame is persisted so validation runs once for both writes.
+    Validation must run once for both writes. ``materialize="persist"``
+    (micro-batches) keeps the routed rows in executor storage;
+    ``"stage"`` (large batches) writes them once to the shared checkpoint
+    folder partitioned by route and reads that back, so each sink reads only
+    its own route's folder and a lost executor costs no recomputation.
     A failing topic write sends every valid event of the batch to the DLQ as
     ``publish_error`` (SNK-3); a failing DLQ write is logged and never hides
     the original outcome.
     """
-    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    staged = None
+    if materialize == "stage":
+        from ..session import checkpoint_dir
+        staged = f"{checkpoint_dir(routed.sparkSession)}/pw-stage/{uuid.uuid4().hex}"
+        keep = [c for c in routed.columns if c not in ("errors",)]
+        routed.select(*keep).write.partitionBy("route").parquet(staged)
+        routed = routed.sparkSession.read.parquet(staged)
+    else:
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         status = {"published": True, "error": None}
         try:
@@ -340,4 +352,5 @@ def publish(routed: DataFrame, now, topic_sink: Sink, dlq_sink: Sink,
             status["dlq_error"] = str(exc)
         return status
     finally:
-        routed.unpersist()
+        if staged is None:
+            routed.unpersist()
