@@ -161,11 +161,12 @@ def peak(readings: DataFrame) -> DataFrame:
     return readings.groupBy(*SERIES).agg(F.greatest(F.max("lag"), F.lit(0)).cast("bigint").alias("peak_lag"))
 
 
-def running_peak(readings: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def running_peak(readings: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """WIN-2: running maximum per series in time order (ties by lag text),
-    skew-safe: window inside hour buckets plus a carried bucket maximum."""
+    skew-safe: windows inside time buckets of each series plus a carried
+    bucket maximum."""
     r = readings.withColumn("_lag_txt", F.col("lag").cast("string"))
-    out = running_max_within(r, SERIES, ["ts_sec", "_lag_txt"], "ts_sec", "lag", bucket_seconds,
+    out = running_max_within(r, SERIES, ["ts_sec", "_lag_txt"], "lag", bucket_seconds, "ts_sec",
                              out="running_peak")
     return out.drop("_lag_txt")
 
@@ -188,13 +189,13 @@ def chart(readings: DataFrame, now, minutes: int = 30, points: int = M.CHART_POI
         F.greatest(F.max("lag").over(w), F.lit(0)).cast("bigint").alias("running_peak"))
 
 
-def alert_transitions(totals: DataFrame, threshold: int, bucket_seconds: int = 86400) -> DataFrame:
+def alert_transitions(totals: DataFrame, threshold: int, bucket_seconds: int = 60) -> DataFrame:
     """WIN-6: raise/clear events of a topic's alert flag over a series of
     updates (topic, consumer_group, ts_sec, total_lag): a row whose flag
     differs from the previous update's (the first update counts when it
     raises)."""
     t = totals.withColumn("is_alert", F.col("total_lag") > F.lit(threshold))
-    t = previous_within(t, SERIES, ["ts_sec", "total_lag"], "ts_sec", "is_alert", bucket_seconds,
+    t = previous_within(t, SERIES, ["ts_sec", "total_lag"], "is_alert", bucket_seconds, "ts_sec",
                         out="_prev")
     return t.filter(F.col("is_alert") != F.coalesce(F.col("_prev"), F.lit(False))).select(
         *SERIES, "ts_sec", "total_lag", "is_alert",
@@ -219,7 +220,7 @@ def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFra
         return readings.groupBy(*SERIES).agg(
             F.percentile_approx(F.col("lag"), q, 10000).cast("double").alias("lag_p95"))
     counts = readings.groupBy(*SERIES, "lag").agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sum_within(counts, SERIES, "lag", "_c", width=1024, out="_before")
+    cum = prefix_sum_within(counts, SERIES, "lag", "_c", out="_before")
     n = counts.groupBy(*SERIES).agg(F.sum("_c").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
     ranks = n.select(*SERIES, F.floor(pos).cast("bigint").alias("_lo"), F.ceil(pos).cast("bigint").alias("_hi"),

@@ -3,10 +3,19 @@
 A plain ``Window.partitionBy(key)`` sends every row of one key to one task.
 When one key (a DLQ id, a lag series, a topic) can hold a third of all rows,
 that task is the whole job. The helpers below split each key's rows into
-bounded buckets of the ordering column, do the window work inside
-``(key, bucket)`` (bounded groups), and stitch buckets together through a
-small per-(key, bucket) aggregate whose window runs over at most one row per
-occupied bucket. Results are exact; nothing is sampled or capped.
+buckets along the ordering, do the window work inside ``(key, bucket)``,
+and stitch buckets together through a small per-(key, bucket) aggregate
+whose window runs over at most one row per occupied bucket.
+
+Buckets are value ranges of the ordering column, a pure function of each
+row (so every branch of a plan, and every retry of a task, puts a row in
+the same bucket). When the ordering is a unique integer within the key (an
+input position, an offset, a distinct value) a bucket of width w holds at
+most w rows however hot the key is; for timestamps a bucket holds at most
+rate x width rows. (Range partitions would balance clumpy orderings, but
+their sampled boundaries depend on row arrival order, so two branches of
+one plan could disagree; we do not use them.) Results are exact; nothing
+is sampled away or capped.
 """
 
 from __future__ import annotations
@@ -45,6 +54,11 @@ def _join_back(local: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame
     return local.join(s, cond, "inner").drop(*[f"_pw_r_{c}" for c in cols])
 
 
+def _with_buckets(df: DataFrame, order_col: str, width: int) -> DataFrame:
+    """Add the bucket column ``_pw_b`` = floor(order / width)."""
+    return df.withColumn("_pw_b", _bucket(F.col(order_col), width))
+
+
 def ordinal_within(df: DataFrame, keys: Sequence[str], order: str, width: int = 4096,
                    out: str = "ordinal") -> DataFrame:
     """1-based position of each row inside its key by ``order`` (a numeric
@@ -52,7 +66,7 @@ def ordinal_within(df: DataFrame, keys: Sequence[str], order: str, width: int =
     order by order)`` without a window over the whole key."""
     keys = list(keys)
     b = "_pw_b"
-    d = df.withColumn(b, _bucket(F.col(order), width))
+    d = _with_buckets(df, order, width)
     local = d.withColumn("_pw_local", F.row_number().over(
         Window.partitionBy(*keys, b).orderBy(order)))
     # per-bucket counts come from the windowed rows, so both branches share
@@ -72,7 +86,7 @@ def prefix_sum_within(df: DataFrame, keys: Sequence[str], order: str, value: str
     numeric and unique within the key."""
     keys = list(keys)
     b = "_pw_b"
-    d = df.withColumn(b, _bucket(F.col(order), width))
+    d = _with_buckets(df, order, width)
     local = d.withColumn("_pw_local", F.coalesce(F.sum(value).over(
         Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sums = local.groupBy(*keys, b).agg(F.sum(value).alias("_pw_s"))
@@ -83,14 +97,15 @@ def prefix_sum_within(df: DataFrame, keys: Sequence[str], order: str, value: str
             .drop(b, "_pw_local", "_pw_base"))
 
 
-def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_col: str,
-                       value: str, width: int, out: str = "running_max") -> DataFrame:
+def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                       width: int = 60, bucket_col: str | None = None,
+                       out: str = "running_max") -> DataFrame:
     """``max(value) over (partition by keys order by order rows unbounded
-    preceding)`` with ``bucket_col`` (numeric, first ordering column) cut
-    into buckets of ``width``."""
+    preceding)``; ``order`` is a total order within the key whose first
+    column (or ``bucket_col``) is numeric."""
     keys = list(keys)
     b = "_pw_b"
-    d = df.withColumn(b, _bucket(F.col(bucket_col), width))
+    d = _with_buckets(df, bucket_col or order[0], width)
     local = d.withColumn("_pw_local", F.max(value).over(
         Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     per_bucket = local.groupBy(*keys, b).agg(F.max(value).alias("_pw_m"))
@@ -101,14 +116,15 @@ def running_max_within(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             .drop(b, "_pw_local", "_pw_prev"))
 
 
-def previous_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_col: str,
-                    value: str, width: int, out: str = "previous") -> DataFrame:
+def previous_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                    width: int = 60, bucket_col: str | None = None,
+                    out: str = "previous") -> DataFrame:
     """``lag(value) over (partition by keys order by order)``: inside a
     bucket a plain ``lag``; the first row of a bucket takes the last value
     of the nearest earlier occupied bucket."""
     keys = list(keys)
     b = "_pw_b"
-    d = df.withColumn(b, _bucket(F.col(bucket_col), width))
+    d = _with_buckets(df, bucket_col or order[0], width)
     w = Window.partitionBy(*keys, b).orderBy(*order)
     local = d.withColumn("_pw_lag", F.lag(value).over(w)).withColumn(
         "_pw_first", F.row_number().over(w) == 1)
