@@ -315,7 +315,7 @@ class _Compiler:
         return self.defs[name]
 
     # expression building
-    def errors(self, s: Any, v: Column, ptr: str, depth: int = 0) -> Column:
+    def errors(self, s: Any, v: Column, ptr: str, depth: int = 0, node: _Node | None = None) -> Column:
         if s is True or s == {}:
             return _empty()
         if s is False:
@@ -329,7 +329,7 @@ class _Compiler:
                 return self.errors(self._resolve(ref), v, ptr, depth)
             finally:
                 self._ref_stack.pop()
-        n = self.node(v, depth)
+        n = node if node is not None else self.node(v, depth)
         n.depth = depth
         parts: list = []
         # type first: a value of the wrong type gets only that error
@@ -402,14 +402,22 @@ class _Compiler:
         if not any(k in s for k in keys):
             return out
         obj = n.is_object
-        for name in s.get("required", []):
-            out.append(_one(obj & _child(n.v, name).isNull(), ptr,
-                            f"missing required property '{name}'"))
         props = s.get("properties", {})
+        # a property with a schema of its own gets its value as an
+        # intermediate column once; the required check and the property's
+        # own keywords then read that column instead of extracting it again
+        children: dict[str, _Node] = {}
+        for name, sub in props.items():
+            if isinstance(sub, dict) and sub and "$ref" not in sub and not self.lambda_depth:
+                children[name] = self.node(_child(n.v, name), n.depth + 1)
+        for name in s.get("required", []):
+            value = children[name].v if name in children else _child(n.v, name)
+            out.append(_one(obj & value.isNull(), ptr, f"missing required property '{name}'"))
         for name, sub in props.items():
-            cv = _child(n.v, name)
-            out.append(_arr(F.when(obj & cv.isNotNull(), self.errors(sub, cv, _ptr(ptr, name), n.depth + 1))
-                            .otherwise(_empty())))
+            cn = children.get(name)
+            cv = cn.v if cn is not None else _child(n.v, name)
+            errs = self.errors(sub, cv, _ptr(ptr, name), n.depth + 1, node=cn)
+            out.append(_arr(F.when(obj & cv.isNotNull(), errs).otherwise(_empty())))
         as_map = F.try_variant_get(n.v, "$", "map<string,variant>")
         mkeys = F.map_keys(as_map)
         nkeys = F.size(mkeys)
