@@ -35,6 +35,15 @@ from pyspark.sql import functions as F
 # Fixed message catalogue (ours; the documented shape is
 # "/amount: must be >= 0 (got -99.99)").
 ROOT_POINTER = "/"
+# Placed in the error array when a numeric check meets a non-finite number;
+# callers turn an array holding it into the single "not valid JSON" error.
+NOT_JSON_MARK = "\u0000not-json"
+
+
+def finalize(errors: Column, not_json_message: str = "payload is not valid JSON") -> Column:
+    """Errors as reported: the not-JSON mark replaces the whole array."""
+    return F.when(F.array_contains(errors, F.lit(NOT_JSON_MARK)),
+                  F.array(F.lit(not_json_message))).otherwise(errors)
 
 ANNOTATIONS = {"title", "description", "default", "examples", "$schema", "$id",
                "$comment", "definitions", "readOnly", "writeOnly", "format",
@@ -89,6 +98,8 @@ class _Node:
         self.is_number = ty == F.lit("number")
         self.num = F.try_variant_get(v, "$", "double")
         self.str = F.try_variant_get(v, "$", "string")
+        # 1e400 parses to Infinity here; a strict JSON decoder rejects it
+        self.is_inf = self.is_number & (F.abs(self.num) == F.lit(float("inf")))
 
     @property
     def is_integer(self) -> Column:
@@ -355,6 +366,13 @@ class _Compiler:
     def _keywords(self, s: dict, n: _Node, ptr: str) -> list:
         out: list = []
         got_json = n.json_text()
+        numeric = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf")
+        types = s.get("type", [])
+        types = types if isinstance(types, list) else [types]
+        if any(k in s for k in numeric) or "number" in types or "integer" in types:
+            # a non-finite number seen by a numeric check: the event counts
+            # as invalid JSON (see NOT_JSON_MARK); numeric checks skip it
+            out.append(("s", F.when(n.is_inf, F.lit(NOT_JSON_MARK))))
         if "const" in s:
             out.append(_one(~_equals_literal(n, s["const"]), ptr, F.concat(
                 F.lit(f"must be {_lit_display(s['const'])} (got "), got_json, F.lit(")"))))
@@ -372,12 +390,12 @@ class _Compiler:
                              ("exclusiveMaximum", lambda a, b: a >= b, "<")):
             if key in s:
                 bound = float(s[key])
-                out.append(_one(n.is_number & op(n.num, F.lit(bound)), ptr,
+                out.append(_one(n.is_number & ~n.is_inf & op(n.num, F.lit(bound)), ptr,
                                 F.concat(F.lit(f"must be {sym} {_fmt_num(s[key])}"), got_num)))
         if "multipleOf" in s:
             m = F.lit(str(s["multipleOf"])).cast("decimal(38,18)")
             d = F.try_variant_get(n.v, "$", "decimal(38,18)")
-            bad = n.is_number & (F.coalesce(F.try_mod(d, m), F.lit(1)) != F.lit(0))
+            bad = n.is_number & ~n.is_inf & (F.coalesce(F.try_mod(d, m), F.lit(1)) != F.lit(0))
             out.append(_one(bad, ptr, F.concat(
                 F.lit(f"must be a multiple of {_fmt_num(s['multipleOf'])}"), got_num)))
         length = F.char_length(n.str)
@@ -611,7 +629,7 @@ def errors_column(df, schema: Any, v: Column, out: str = "errors"):
     """Convenience: add the error array of ``v`` against ``schema`` as ``out``."""
     lets, errs = compile_errors(schema, v)
     df = add_lets(df, lets)
-    return df.withColumn(out, errs).drop(*[n for n, _, _ in lets])
+    return df.withColumn(out, finalize(errs)).drop(*[n for n, _, _ in lets])
 
 
 def add_lets(df, lets: list[tuple[str, Column, int]]):

@@ -111,6 +111,7 @@ class Validator:
             errs = F.when(gate, e) if errs is None else errs.when(gate, e)
         if errs is None:
             errs = F.array().cast("array<string>")
+        errs = JS.finalize(errs, M.NOT_JSON_MESSAGE)
         parsed = F.col("_pw_v")
         sidc = F.col("schema_id")
         errors = (F.when(sidc.isNull(), F.array(F.lit(M.NO_SCHEMA_MESSAGE)))

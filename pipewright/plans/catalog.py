@@ -111,7 +111,8 @@ def jsonschema_extended(spark, sf):
     dependencies) over every event payload. Checked by pytest against
     hand-computed cases; rows-only at the driver."""
     from ..functions.jsonschema import errors_column, strict_parse
-    log = FX.event_log(spark, sf).withColumn("_v", strict_parse(F.col("payload")))
+    from ..session import spread
+    log = spread(FX.event_log(spark, sf)).withColumn("_v", strict_parse(F.col("payload")))
     out = errors_column(log, FX.EXTENDED_SCHEMA, F.col("_v"))
     return out.select("event_id", F.col("_v").isNotNull().alias("is_json"),
                       F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.size("errors")).cast("bigint").alias("n_errors"),

@@ -142,3 +142,10 @@ def test_recursive_ref_rejected(spark):
 
 def test_annotations_ignored():
     JS.parse_schema(json.dumps({"title": "t", "description": "d", "$schema": "x", "type": "object"}))
+
+
+def test_non_finite_number_is_not_json(spark):
+    got = errors(spark, FULL_SCHEMA, ['{"order_id":"1","amount":1e400,"currency":"USD"}',
+                                      '{"order_id":"1","amount":-1e400,"currency":"USD"}',
+                                      '{"order_id":"1","amount":1e300,"currency":"USD"}'])
+    assert got == [["payload is not valid JSON"], ["payload is not valid JSON"], []]
