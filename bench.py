@@ -52,6 +52,8 @@ def main() -> None:
         "route_batch": route_batch,
         "stream_route": stream_route,
         "validate_events": q("validate_events"),
+        "publish_results": q("publish_results"),
+        "jsonschema_extended": q("jsonschema_extended"),
         "partition_lag": q("partition_lag"),
         "lag_update": q("lag_update"),
         "lag_history": q("lag_history"),
