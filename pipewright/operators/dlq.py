@@ -198,11 +198,16 @@ def fold(actions: DataFrame) -> DataFrame:
     Two partial aggregations and one join on id.
     """
     a = F.col("action")
+    # the terminal action as a small int keeps every buffer fixed-width, so
+    # the partial aggregates are hash aggregates (a string value would force
+    # a sort-based aggregate on the map side)
+    code = F.when(a == "discard", F.lit(1)).when(a == "retry_ok", F.lit(2))
     first = (actions.groupBy("id").agg(
-        F.min(F.when(a.isin("discard", "retry_ok"), F.col("seq"))).alias("_t"),
-        F.min_by(F.when(a.isin("discard", "retry_ok"), a),
-                 F.when(a.isin("discard", "retry_ok"), F.col("seq"))).alias("_ta"),
-        F.max(F.when(a == "discard", F.col("seq"))).alias("_d")))
+        F.min(F.when(code.isNotNull(), F.col("seq"))).alias("_t"),
+        F.min_by(code, F.when(code.isNotNull(), F.col("seq"))).alias("_tc"),
+        F.max(F.when(a == "discard", F.col("seq"))).alias("_d"))
+        .withColumn("_ta", F.when(F.col("_tc") == 1, F.lit("discard")).when(F.col("_tc") == 2, F.lit("retry_ok")))
+        .drop("_tc"))
     fails = (actions.filter(a == "retry_fail").select("id", "seq")
              .join(first.select("id", "_t"), "id", "left")
              .filter(F.col("_t").isNull() | (F.col("seq") < F.col("_t")))
