@@ -193,7 +193,9 @@ def latest_offsets(spark, sf):
 
 @query("topic_latest_offsets")
 def topic_latest_offsets(spark, sf):
-    return L.topic_latest_offsets(_latest(spark, sf))
+    """SRC-3; the nested list is compared as its JSON text."""
+    t = L.topic_latest_offsets(_latest(spark, sf))
+    return t.select("topic", F.to_json("latest_offsets").alias("latest_offsets_json"))
 
 
 @query("committed_offsets")
@@ -214,7 +216,10 @@ def lag_total(spark, sf):
 
 @query("lag_update")
 def lag_update(spark, sf):
-    return L.lag_update(_plag(spark, sf), LAG_ALERT, NOW)
+    """LAG-2 / AGG-4; the nested per-partition list is compared as JSON text."""
+    u = L.lag_update(_plag(spark, sf), LAG_ALERT, NOW)
+    return u.select("topic", "consumer_group", "total_lag", "is_alert", "ts",
+                    F.to_json("partitions").alias("partitions_json"))
 
 
 @query("lag_alerts")
@@ -434,7 +439,8 @@ def topology_event_rate(spark, sf):
 @query("topology_metadata")
 def topology_metadata(spark, sf):
     nodes = TP.nodes(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
-    return TP.node_metadata(nodes, _topic_meta(spark, sf), L.lag_total(_plag(spark, sf)))
+    m = TP.node_metadata(nodes, _topic_meta(spark, sf), L.lag_total(_plag(spark, sf)))
+    return m.select("id", "label", "type", F.to_json("metadata").alias("metadata_json"))
 
 
 @query("metric_event_rate")

@@ -284,6 +284,14 @@ select d.id, d.topic_name, d.created_at, vv.schema_id, vv.schema_version
     q["committed_offsets"] = O + "select consumer_group, topic, partition_id, committed_offset from committed"
     q["partition_lag"] = O + "select topic, consumer_group, partition_id, latest_offset, committed_offset, lag from plag"
     q["lag_total"] = O + "select topic, consumer_group, cast(sum(lag) as bigint) as total_lag from plag group by topic, consumer_group"
+    q["topic_latest_offsets"] = O + """select topic, cast(to_json(list_sort(list(struct_pack(
+    partition_id := partition_id, latest_offset := latest_offset)))) as varchar) as latest_offsets_json
+  from latest group by topic"""
+    q["lag_update"] = O + f"""select topic, consumer_group, cast(sum(lag) as bigint) as total_lag,
+  sum(lag) > 5000 as is_alert, {NOW} as ts,
+  cast(to_json(list_sort(list(struct_pack(partition_id := partition_id, latest_offset := latest_offset,
+    committed_offset := committed_offset, lag := lag)))) as varchar) as partitions_json
+  from plag group by topic, consumer_group"""
     q["lag_alerts"] = O + """select * from (select topic, consumer_group, cast(sum(lag) as bigint) as total_lag
   from plag group by topic, consumer_group) t where total_lag > 5000"""
     q["topology_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES, """al as (
@@ -430,6 +438,14 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
     q["topology_event_rate"] = with_(EVENT_LOG) + f"""select producer_id as source, topic as target, count(*) as events,
   cast(count(*) as double) / 86400.0 as event_rate
   from event_log where ts >= {NOW} - INTERVAL 86400 SECOND and ts < {NOW} group by producer_id, topic"""
+    q["topology_metadata"] = with_(
+        EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES,
+        """tm as (select topic as id, cast(count(*) as varchar) as p from topic_partitions
+    where topic in (select distinct topic_name from registered) group by topic)""",
+        """gl as (select 'cg-' || consumer_group as id, cast(sum(lag) as varchar) as l from plag group by consumer_group)""") + """
+select n.id, n.label, n.type, cast(to_json(case when tm.p is not null then map(['partitions'], [tm.p])
+    when gl.l is not null then map(['total_lag'], [gl.l]) else map([]::varchar[], []::varchar[]) end) as varchar) as metadata_json
+  from nodes n left join tm on tm.id = n.id left join gl on gl.id = n.id"""
     q["metric_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic, count(*) as events,
   cast(count(*) as double) / 60.0 as rate from event_log group by date_trunc('minute', ts), topic"""
     return q
