@@ -446,6 +446,25 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
 select n.id, n.label, n.type, cast(to_json(case when tm.p is not null then map(['partitions'], [tm.p])
     when gl.l is not null then map(['total_lag'], [gl.l]) else map([]::varchar[], []::varchar[]) end) as varchar) as metadata_json
   from nodes n left join tm on tm.id = n.id left join gl on gl.id = n.id"""
+    # streams: one trigger over the staged input, so the emitted windows are
+    # exactly those the final watermark (max event time - delay) has passed
+    q["stream_route"] = V + """select topic, count(*) as n, route from routed group by topic, route"""
+    q["stream_alert_state"] = q["alert_state"]
+    q["stream_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic,
+  count(*) as events, cast(count(*) as double) / 60.0 as rate
+  from event_log group by date_trunc('minute', ts), topic
+  having date_trunc('minute', ts) + INTERVAL 1 MINUTE
+         <= (select max(ts) from event_log) - INTERVAL 10 MINUTE"""
+    q["stream_lag"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, """grid as (
+    select tp.topic, tp.partition_id, p.consumer_group, cast(coalesce(c.committed_offset, 0) as bigint) as committed_offset
+    from topic_partitions tp join (select distinct consumer_group, topic from committed) p on p.topic = tp.topic
+    left join committed c on c.consumer_group = p.consumer_group and c.topic = tp.topic and c.partition_id = tp.partition_id)""",
+        """per as (select date_trunc('hour', ts) as poll_start, topic, partition_id, max(kafka_offset + 1) as latest_offset
+    from event_log group by date_trunc('hour', ts), topic, partition_id)""") + """select per.poll_start, per.topic, g.consumer_group,
+  cast(sum(greatest(per.latest_offset - g.committed_offset, 0)) as bigint) as total_lag
+  from per join grid g on g.topic = per.topic and g.partition_id = per.partition_id
+  where per.poll_start + INTERVAL 1 HOUR <= (select max(ts) from event_log) - INTERVAL 1 HOUR
+  group by per.poll_start, per.topic, g.consumer_group"""
     q["metric_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic, count(*) as events,
   cast(count(*) as double) / 60.0 as rate from event_log group by date_trunc('minute', ts), topic"""
     return q

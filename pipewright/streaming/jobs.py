@@ -116,8 +116,9 @@ def stream_lag_result(spark: SparkSession, sf: str, period: str = "1 hour",
     q = (lag_stream(stream, grid, period, delay).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", os.path.join(wd, "ckpt")).trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.schema("poll_start timestamp, topic string, consumer_group string, total_lag bigint") \
+    res = spark.read.schema("poll_start timestamp, topic string, consumer_group string, total_lag bigint") \
         .parquet(out)
+    return res.withColumn("poll_start", F.col("poll_start").cast("timestamp_ntz"))
 
 
 # -- STR-4: alert state kept between updates ----------------------------------
@@ -167,4 +168,5 @@ def stream_event_rate_result(spark: SparkSession, sf: str) -> DataFrame:
     q = (event_rate_stream(stream).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", os.path.join(wd, "ckpt")).trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.schema("window_start timestamp, topic string, events bigint, rate double").parquet(out)
+    res = spark.read.schema("window_start timestamp, topic string, events bigint, rate double").parquet(out)
+    return res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
