@@ -24,6 +24,14 @@ from ..sources import fixtures as FX
 from ..sources.tables import read_event_stream
 
 STAGE_FILES = 4
+DEFAULT_POLL_SECONDS = 5
+
+
+def poll_trigger(seconds: int = DEFAULT_POLL_SECONDS) -> dict:
+    """STR-2: the poll period as a processing-time trigger (at least 1 s;
+    checked before any job starts). The first trigger fires immediately."""
+    M.check_params(poll_seconds=seconds)
+    return {"processingTime": f"{int(seconds)} seconds"}
 
 
 def _workdir(spark: SparkSession, job: str) -> str:

@@ -124,3 +124,10 @@ def test_publish_stage_mode_equals_persist_mode(spark):
         a, b = load("persist"), load("stage")
         assert a.count() == b.count() > 0
         assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_poll_trigger_checks_period():
+    import pytest
+    assert jobs.poll_trigger() == {"processingTime": "5 seconds"}
+    with pytest.raises(ValueError):
+        jobs.poll_trigger(0)
