@@ -1,11 +1,12 @@
 """Validate-and-route (RTE-1..3) and the sinks around it (SNK-1..3).
 
 The active schemas are a registry table with one row per topic. They are
-collected once per plan (after a size check) and compiled into one CASE
-expression over ``topic``; topics that share a schema document share one
-compiled expression, so the plan grows with distinct schemas, not topics.
-Validation is then a single projection: no shuffle, no join, no Python per
-row -- it partitions exactly like the input.
+fetched with a bounded collect and compiled (cached per registry version)
+into one CASE expression over ``topic``; topics that share a schema
+document share one compiled expression, so the plan grows with distinct
+schemas, not topics. Validation is then a few narrow projections (one per
+schema nesting level): no shuffle, no join, no Python per row -- it
+partitions exactly like the input.
 """
 
 from __future__ import annotations
