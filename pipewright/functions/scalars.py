@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .. import model as M
 
 
+def ts_literal(now) -> Column:
+    """A clock value as a TIMESTAMP_NTZ literal (UTC wall time).
+
+    Built from its text: a naive ``datetime`` passed to ``F.lit`` would be
+    converted with the Python process's local time zone. Aware datetimes
+    are converted to UTC first; a Column is cast as is."""
+    import datetime as _dt
+    if isinstance(now, Column):
+        return now.cast("timestamp_ntz")
+    if isinstance(now, _dt.datetime):
+        if now.tzinfo is not None:
+            now = now.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(str(now)).cast("timestamp_ntz")
+
+
 def join_errors(errors: Column) -> Column:
     """SCL-3: errors joined with "; ", default text when there are none."""
     return F.when(F.coalesce(F.size(errors), F.lit(0)) <= 0, F.lit(M.NO_DETAILS_MESSAGE)).otherwise(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import jsonschema as JS
-from ..functions.scalars import join_errors, stable_id
+from ..functions.scalars import join_errors, stable_id, ts_literal
 from .route import Validator
 from .skew import ordinal_within
 
@@ -88,7 +88,7 @@ def mark_retrying(dlq: DataFrame, ids: DataFrame, now) -> DataFrame:
     ok = F.coalesce(F.col("status") == M.STATUS_PENDING, F.lit(False))
     return j.select("id", ok.alias("ok"),
                     F.when(ok, F.lit(M.STATUS_RETRYING)).otherwise(F.col("status")).alias("status"),
-                    F.when(ok, F.lit(now).cast("timestamp_ntz")).alias("updated_at"))
+                    F.when(ok, ts_literal(now)).alias("updated_at"))
 
 
 def discard(dlq: DataFrame, ids: DataFrame, now) -> DataFrame:
@@ -99,7 +99,7 @@ def discard(dlq: DataFrame, ids: DataFrame, now) -> DataFrame:
     h = F.col("_hit").isNotNull()
     return j.withColumns({
         "status": F.when(h, F.lit(M.STATUS_DISCARDED)).otherwise(F.col("status")),
-        "updated_at": F.when(h, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at")),
+        "updated_at": F.when(h, ts_literal(now)).otherwise(F.col("updated_at")),
     }).select(*dlq.columns)
 
 
@@ -123,7 +123,7 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now) -> dict[
     (the whole new DLQ state), ``replay_rows`` (the new DLQ rows each failing
     replay adds, producer ``conduit-dlq-replay``).
     """
-    nowc = F.lit(now).cast("timestamp_ntz")
+    nowc = ts_literal(now)
     req = ordinal_within(requests.select("pos", "id"), ["id"], "pos", out="k")
     per_id = requests.groupBy("id").agg(F.count(F.lit(1)).alias("attempts"))
     known = _replay_verdicts(dlq.join(per_id.select("id"), "id", "left_semi"), schemas)

@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..functions.scalars import clamp_lag, hms_label
+from ..functions.scalars import clamp_lag, hms_label, ts_literal
 from .skew import prefix_sum_within, previous_within, running_max_within, top_k_within
 
 SERIES = ["topic", "consumer_group"]
 
 
 def _secs(now) -> Column:
-    return F.unix_seconds(F.lit(now).cast("timestamp")).cast("bigint")
+    return F.unix_seconds(ts_literal(now).cast("timestamp")).cast("bigint")
 
 
 # -- offsets -----------------------------------------------------------------
@@ -82,7 +82,7 @@ def lag_update(plag: DataFrame, threshold: int, now) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("partition_id", "latest_offset", "committed_offset", "lag")))
     return plag.groupBy(*SERIES).agg(F.sum("lag").cast("bigint").alias("total_lag"), parts.alias("partitions")) \
         .withColumns({"is_alert": F.col("total_lag") > F.lit(threshold),
-                      "ts": F.lit(now).cast("timestamp_ntz")})
+                      "ts": ts_literal(now)})
 
 
 def lag_alerts(totals: DataFrame, threshold: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonschema as JS
+from ..functions.scalars import ts_literal
 from .skew import ordinal_within
 
 MAX_DISTINCT_REQUEST_SCHEMAS = 100_000
@@ -74,7 +75,7 @@ def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> Dat
 def upsert_topics(topics: DataFrame, names: DataFrame, now) -> DataFrame:
     """SNK-5: insert unknown topic names (1 partition, factor 1), bump
     ``updated_at`` of known ones; a full outer join plus coalesce."""
-    nowc = F.lit(now).cast("timestamp_ntz")
+    nowc = ts_literal(now)
     n = names.select(F.col("topic_name").alias("name")).distinct().withColumn("_req", F.lit(True))
     j = topics.join(n, "name", "full_outer")
     known = F.col("id").isNotNull()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import jsonschema as JS
-from ..functions.scalars import join_errors, rfc3339, stable_id
+from ..functions.scalars import join_errors, rfc3339, stable_id, ts_literal
 from ..session import spread
 from .skew import ordinal_within
 
@@ -220,7 +220,7 @@ def published_messages(routed: DataFrame, now=None, topic: str = "topic",
     entries = [F.lit(M.HEADER_PRODUCER), F.coalesce(F.col(producer), F.lit("")),
                F.lit(M.HEADER_SCHEMA), F.col("schema_id")]
     if now is not None:
-        entries += [F.lit(M.HEADER_PUBLISHED_AT), rfc3339(F.lit(now).cast("timestamp"))]
+        entries += [F.lit(M.HEADER_PUBLISHED_AT), rfc3339(ts_literal(now).cast("timestamp"))]
     return routed.filter(F.col("route") == ROUTE_PUBLISHED).select(
         F.col(topic).alias("topic"), F.col(key).alias("key"), F.col(payload).alias("value"),
         F.create_map(*entries).alias("headers"))
@@ -235,7 +235,7 @@ def dlq_rows(routed: DataFrame, now, topic: str = "topic", payload: str = "paylo
     df = routed if only_route is None else routed.filter(F.col("route") == only_route)
     rid = F.coalesce(F.col("dlq_event_id"), stable_id(F.col(position), F.col(topic), F.col(payload))) \
         if "dlq_event_id" in df.columns else stable_id(F.col(position), F.col(topic), F.col(payload))
-    nowc = F.lit(now).cast("timestamp_ntz")
+    nowc = ts_literal(now)
     prod = F.col(producer)
     return df.select(
         rid.alias("id"),

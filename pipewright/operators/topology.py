@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..functions.scalars import group_node_id, producer_node_id, producer_node_label
+from ..functions.scalars import group_node_id, producer_node_id, producer_node_label, ts_literal
 
 
 def nodes_from_config(spark: SparkSession, topics: list[str], group: str) -> DataFrame:
@@ -64,7 +64,7 @@ def with_alerts(nodes_df: DataFrame, alert_topics: DataFrame) -> DataFrame:
 def edge_event_rate(log: DataFrame, now, window_seconds: int) -> DataFrame:
     """TOP-4: events per second on each producer -> topic edge over the
     window [now - w, now)."""
-    hi = F.lit(now).cast("timestamp_ntz")
+    hi = ts_literal(now)
     lo = hi - F.make_interval(secs=F.lit(window_seconds))
     recent = log.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
     counts = recent.groupBy(F.col("producer_id").alias("source"), F.col("topic").alias("target")) \

@@ -254,7 +254,7 @@ def lag_decode(spark, sf):
 @query("lag_store")
 def lag_store(spark, sf):
     r = _readings(spark, sf)
-    cut = S.unix_seconds_ntz(F.lit(STORE_CUT))
+    cut = S.unix_seconds_ntz(S.ts_literal(STORE_CUT))
     existing = r.filter(F.col("ts_sec") < cut)
     new = r.filter(F.col("ts_sec") >= cut - F.lit(6 * 86400))
     return L.store(existing, new)

@@ -111,3 +111,20 @@ def test_store_pruning_and_day_drop(spark):
     assert dropped and all(d < "dt=2024-01-29" for d in dropped)
     left = spark.read.parquet(root).drop("dt")
     assert L.prune(left, NOW, 48).count() == L.prune(r, NOW, 48).count()
+
+
+def test_clock_literal_ignores_process_timezone(spark):
+    import os
+    import time
+    old = os.environ.get("TZ")
+    os.environ["TZ"] = "America/New_York"
+    time.tzset()
+    try:
+        got = spark.range(1).select(S.ts_literal(NOW).cast("string")).first()[0]
+    finally:
+        if old is None:
+            os.environ.pop("TZ")
+        else:
+            os.environ["TZ"] = old
+        time.tzset()
+    assert got == "2024-01-31 00:00:00"
