@@ -37,3 +37,11 @@ def test_state_from_transitions(spark):
     assert [r.id for r in tr.collect()] == ["a"]
     st = {r.id: r.status for r in D.current_state(log, tr).collect()}
     assert st == {"a": "discarded", "b": "pending"}
+
+
+def test_cut_lineage_uses_checkpoint_dir(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 as k").groupBy("k").count()
+    cut = ST.cut_lineage(df)
+    assert sorted(cut.collect()) == sorted(df.collect())
+    assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
+    assert spark.sparkContext.getCheckpointDir() is not None
