@@ -231,8 +231,9 @@ def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFra
         F.max(F.when(holds("_lo"), F.col("lag"))).alias("_vlo"),
         F.max(F.when(holds("_hi"), F.col("lag"))).alias("_vhi"),
         F.first("_frac").alias("_frac"))
-    return picked.select(*SERIES, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
-                         .cast("double").alias("lag_p95"))
+    # lo x (1 - d) + hi x d, the common SQL convention for continuous quantiles
+    lo, hi, d = F.col("_vlo").cast("double"), F.col("_vhi").cast("double"), F.col("_frac")
+    return picked.select(*SERIES, (lo * (F.lit(1.0) - d) + hi * d).alias("lag_p95"))
 
 
 # -- STR-6: a date-partitioned readings store ----------------------------------

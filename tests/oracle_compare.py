@@ -16,6 +16,8 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+EXACT = os.environ.get("PW_EXACT_FLOATS") == "1"
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -38,7 +40,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.10g}")
+        return v if EXACT else float(f"{v:.10g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.10g}")
     if isinstance(v, dt.datetime):
