@@ -17,7 +17,7 @@ import uuid
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -136,12 +136,15 @@ class Validator:
         # The observation node also keeps later filters on the validation
         # result (e.g. route = 'dlq') from being pushed below it, which would
         # inline the per-node intermediate columns into the filter.
-        return out.observe(
-            f"pw_validation_{uuid.uuid4().hex[:12]}",
+        obs = Observation(f"pw_validation_{uuid.uuid4().hex[:12]}")
+        out = out.observe(
+            obs,
             F.count(F.lit(1)).alias("events"),
             F.count_if(F.col("is_valid")).alias("valid"),
             F.count_if(~F.col("is_valid")).alias("invalid"),
             F.count_if(F.col("schema_id") == "").alias("no_schema"))
+        out._pw_observation = obs
+        return out
 
 
 _CACHE: dict = {}
@@ -178,9 +181,11 @@ def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
     """
     v = validator or Validator.from_registry(schemas)
     out = v.apply(spread(events), topic, payload)
+    obs = getattr(out, "_pw_observation", None)
     if not enabled:
         out = out.withColumns({"is_valid": F.lit(True), "errors": F.array().cast("array<string>"),
                                "system_error": F.lit(None).cast("string")})
+    out._pw_observation = obs
     return out
 
 
@@ -199,7 +204,7 @@ def route(events: DataFrame, schemas: DataFrame, now, topic: str = "topic",
     rt = (F.when(F.col("system_error").isNotNull(), F.lit(ROUTE_SYSTEM_ERROR))
           .when(F.col("is_valid"), F.lit(ROUTE_PUBLISHED)).otherwise(F.lit(ROUTE_DLQ)))
     dlq_id = stable_id(F.col(position), F.col(topic), F.col(payload))
-    return v.withColumns({
+    out = v.withColumns({
         "route": rt,
         "error_type": F.when(rt == ROUTE_DLQ, F.lit(M.ERROR_SCHEMA_VALIDATION)),
         "error_message": (F.when(rt == ROUTE_DLQ, join_errors(F.col("errors")))
@@ -207,6 +212,8 @@ def route(events: DataFrame, schemas: DataFrame, now, topic: str = "topic",
                               F.lit("schema validation system error: "), F.col("system_error")))),
         "dlq_event_id": F.when(rt == ROUTE_DLQ, dlq_id),
     })
+    out._pw_observation = getattr(v, "_pw_observation", None)
+    return out
 
 
 def published_messages(routed: DataFrame, now=None, topic: str = "topic",
@@ -324,6 +331,7 @@ def publish(routed: DataFrame, now, topic_sink: Sink, dlq_sink: Sink,
     ``publish_error`` (SNK-3); a failing DLQ write is logged and never hides
     the original outcome.
     """
+    observation = getattr(routed, "_pw_observation", None)
     staged = None
     if materialize == "stage":
         from ..session import checkpoint_dir
@@ -352,6 +360,9 @@ def publish(routed: DataFrame, now, topic_sink: Sink, dlq_sink: Sink,
         except Exception as exc:  # noqa: BLE001
             log.critical("failed to write events to the DLQ: %s", exc)
             status["dlq_error"] = str(exc)
+        if observation is not None:
+            # filled by the first write's job; no extra pass over the data
+            status["validation"] = dict(observation.get)
         return status
     finally:
         if staged is None:

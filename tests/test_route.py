@@ -44,3 +44,18 @@ def test_publish_results_offsets_follow_the_log(spark):
         assert r.kafka_offset == nxt[k] + per.get(k, 0)
         per[k] = per.get(k, 0) + 1
     assert res.filter(~F.col("success")).filter(F.col("kafka_offset").isNotNull()).count() == 0
+
+
+def test_publish_reports_validation_counts(spark):
+    import os
+    import uuid
+    from pipewright.session import checkpoint_dir
+    d = os.path.join(checkpoint_dir(spark), "obs-" + uuid.uuid4().hex[:8])
+    log = FX.event_log(spark, SF)
+    routed = R.route(log, FX.schemas(spark), M.FIXED_NOW)
+    status = R.publish(routed, M.FIXED_NOW, R.parquet_sink(f"{d}/t"),
+                       R.parquet_sink(f"{d}/d", partition_by="topic_name"))
+    v = status["validation"]
+    assert v["events"] == log.count()
+    assert v["invalid"] == spark.read.parquet(f"{d}/d").count()
+    assert v["valid"] + v["invalid"] == v["events"]
