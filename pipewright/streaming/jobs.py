@@ -48,7 +48,8 @@ def _stage(df: DataFrame, path: str, files: int = STAGE_FILES) -> str:
 # -- STR-1: continuous validate-and-route -------------------------------------
 
 def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out: str,
-                 checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None):
+                 checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None,
+                 metrics_out: str | None = None):
     """STR-1: validate and route every micro-batch. ``schemas_reader``
     returns the registry (a DataFrame) or a compiled ``Validator`` (e.g. a
     ``SnapshotRegistry``) and is called per batch, so a newly registered
@@ -60,8 +61,16 @@ def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out
             routed = R.route(batch, None, now, validator=reg)
         else:
             routed = R.route(batch, reg, now)
-        R.publish(routed, now, R.parquet_sink(topic_out, batch_id),
-                  R.parquet_sink(dlq_out, batch_id, partition_by="topic_name"))
+        status = R.publish(routed, now, R.parquet_sink(topic_out, batch_id),
+                           R.parquet_sink(dlq_out, batch_id, partition_by="topic_name"))
+        if metrics_out and "validation" in status:
+            # DOC-2 per batch: one row, idempotent per batch_id like the outputs
+            v = status["validation"]
+            row = [(int(batch_id), int(v["events"]), int(v["valid"]), int(v["invalid"]),
+                    int(v["no_schema"]), bool(status["published"]))]
+            m = batch.sparkSession.createDataFrame(
+                row, "batch_id long, events long, valid long, invalid long, no_schema long, published boolean")
+            m.write.mode("overwrite").parquet(f"{metrics_out}/batch_id={batch_id}")
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()

@@ -131,3 +131,19 @@ def test_poll_trigger_checks_period():
     assert jobs.poll_trigger() == {"processingTime": "5 seconds"}
     with pytest.raises(ValueError):
         jobs.poll_trigger(0)
+
+
+def test_route_stream_writes_per_batch_metrics(spark):
+    from pipewright.sources.storage import write_snapshot
+    from pipewright.sources.tables import read_event_stream
+    wd = os.path.join(checkpoint_dir(spark), "m-" + uuid.uuid4().hex[:8])
+    src = jobs._stage(FX.event_log(spark, SF), wd + "/in")
+    write_snapshot(FX.schemas(spark), wd + "/reg")
+    stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=1)
+    q = jobs.route_stream(stream, R.SnapshotRegistry(spark, wd + "/reg"), M.FIXED_NOW,
+                          wd + "/t", wd + "/d", wd + "/c", metrics_out=wd + "/metrics")
+    q.awaitTermination()
+    m = spark.read.parquet(wd + "/metrics")
+    tot = m.agg(F.sum("events"), F.sum("invalid")).first()
+    assert tot[0] == FX.event_log(spark, SF).count()
+    assert tot[1] == spark.read.parquet(wd + "/d").count()
