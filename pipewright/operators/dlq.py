@@ -103,6 +103,15 @@ def discard(dlq: DataFrame, ids: DataFrame, now) -> DataFrame:
     }).select(*dlq.columns)
 
 
+def discard_transitions(dlq: DataFrame, ids: DataFrame, now, seq: int = 0) -> DataFrame:
+    """DLQ-4 as append-only transition records: one per requested id that
+    exists (any status), nothing for unknown ids."""
+    hit = dlq.join(ids.select("id").distinct(), "id", "left_semi")
+    return hit.select("id", F.lit(int(seq)).cast("bigint").alias("seq"),
+                      F.lit(M.STATUS_DISCARDED).alias("status"), "retry_count", "error_message",
+                      "last_retry_at", ts_literal(now).alias("updated_at"))
+
+
 def _replay_verdicts(state: DataFrame, schemas: DataFrame) -> DataFrame:
     """Re-validate each DLQ payload with the schema active *now*."""
     v = Validator.from_registry(schemas)
@@ -115,20 +124,24 @@ def _replay_verdicts(state: DataFrame, schemas: DataFrame) -> DataFrame:
     }).drop("is_valid", "errors", "schema_id", "system_error")
 
 
-def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now) -> dict[str, DataFrame]:
+def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
+          seq: int = 0) -> dict[str, DataFrame]:
     """DLQ-5/6/8 (+ SRC-7, JON-3, WIN-5): replay a batch of requested ids.
 
-    ``requests``: (pos, id), duplicates allowed. Returns three frames:
-    ``results`` (one per request: pos, id, success, message), ``state``
-    (the whole new DLQ state), ``replay_rows`` (the new DLQ rows each failing
-    replay adds, producer ``conduit-dlq-replay``).
+    ``requests``: (pos, id), duplicates allowed. Returns:
+    ``results`` (one per request: pos, id, success, message);
+    ``transitions`` (only the ids whose state changed, stamped ``seq``: the
+    rows to append to the transitions log -- the scalable write path);
+    ``state`` (the whole new DLQ state, for small tables or snapshots);
+    ``replay_rows`` (the new DLQ rows each failing replay adds, producer
+    ``conduit-dlq-replay``).
     """
     nowc = ts_literal(now)
     req = ordinal_within(requests.select("pos", "id"), ["id"], "pos", out="k")
     per_id = requests.groupBy("id").agg(F.count(F.lit(1)).alias("attempts"))
     known = _replay_verdicts(dlq.join(per_id.select("id"), "id", "left_semi"), schemas)
     known = known.select("id", "topic_name", "payload", "producer_id", "status", "retry_count",
-                         "_pass", "_err")
+                         "error_message", "_pass", "_err")
     j = req.join(known, "id", "left")
     k, r, s = F.col("k"), F.col("retry_count"), F.col("status")
     found = s.isNotNull()
@@ -157,7 +170,14 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now) -> dict[
         .when(new_retry >= M.MAX_RETRIES, F.lit(M.STATUS_DISCARDED))
         .otherwise(F.lit(M.STATUS_PENDING)).alias("_status"),
         new_retry.alias("_retry"),
-        F.when(~F.col("_pass"), F.col("_err")).alias("_msg"))
+        F.when(~F.col("_pass"), F.col("_err")).alias("_msg"),
+        F.col("error_message").alias("_old_msg"))
+    trans = changes.select(
+        "id", F.lit(int(seq)).cast("bigint").alias("seq"), F.col("_status").alias("status"),
+        F.col("_retry").alias("retry_count"),
+        F.coalesce(F.col("_msg"), F.col("_old_msg")).alias("error_message"),
+        nowc.alias("last_retry_at"), nowc.alias("updated_at"))
+    changes = changes.drop("_old_msg")
     st = dlq.join(changes, "id", "left")
     chg = F.col("_chg").isNotNull()
     state = st.withColumns({
@@ -182,7 +202,7 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now) -> dict[
         nowc.alias("created_at"), nowc.alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("last_retry_at"), F.col("id").alias("replay_of"),
         "attempt")
-    return {"results": results, "state": state, "replay_rows": replay_rows}
+    return {"results": results, "transitions": trans, "state": state, "replay_rows": replay_rows}
 
 
 def fold(actions: DataFrame) -> DataFrame:

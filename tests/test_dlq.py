@@ -136,3 +136,17 @@ def test_payload_view(spark):
     assert rows["b"]["j"] is None
     assert rows["c"]["j"] == '{"raw":"not json"}'
     assert rows["a"]["producer_id"] is None
+
+
+def test_transitions_rebuild_the_state(spark):
+    from pipewright.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    dlq = FX.dlq_events(spark, sf)
+    out = D.retry(dlq, FX.retry_requests(spark, sf), FX.schemas(spark), NOW, seq=1)
+    rebuilt = D.current_state(dlq, out["transitions"])
+    cols = ["id", "status", "retry_count", "error_message", "last_retry_at", "updated_at"]
+    assert sorted(rebuilt.select(*cols).collect()) == sorted(out["state"].select(*cols).collect())
+    ids = dlq.filter(F.col("error_type") == "publish_error").select("id")
+    tr = D.discard_transitions(dlq, ids, NOW, seq=2)
+    rebuilt2 = D.current_state(dlq, tr)
+    assert sorted(rebuilt2.select(*cols).collect()) == sorted(D.discard(dlq, ids, NOW).select(*cols).collect())
