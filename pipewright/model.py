@@ -26,7 +26,6 @@ ERROR_PUBLISH = "publish_error"
 NO_SCHEMA_MESSAGE = "no schema registered for topic — validation skipped"
 NO_DETAILS_MESSAGE = "validation failed (no details)"
 NOT_JSON_MESSAGE = "payload is not valid JSON"
-REPLAY_PRODUCER = "conduit-dlq-replay"
 MSG_REPLAYED = "event replayed successfully"
 MSG_NOT_FOUND = "event not found: fetching DLQ event {id}: sql: no rows in result set"
 MSG_NOT_PENDING = "cannot retry: event {id} is not in pending status — cannot retry"
@@ -38,7 +37,9 @@ NODE_PRODUCER = "producer"
 NODE_TOPIC = "topic"
 NODE_GROUP = "consumer_group"
 
-# Our own header names for published messages (SNK-1).
+# Our own names (prefix pw-): published message headers (SNK-1) and the
+# producer id a DLQ replay publishes under (DLQ-5).
+REPLAY_PRODUCER = "pw-dlq-replay"
 HEADER_PRODUCER = "pw-producer-id"
 HEADER_SCHEMA = "pw-schema-id"
 HEADER_PUBLISHED_AT = "pw-published-at"

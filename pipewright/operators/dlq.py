@@ -134,7 +134,7 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
     rows to append to the transitions log -- the scalable write path);
     ``state`` (the whole new DLQ state, for small tables or snapshots);
     ``replay_rows`` (the new DLQ rows each failing replay adds, producer
-    ``conduit-dlq-replay``).
+    ``pw-dlq-replay``).
     """
     nowc = ts_literal(now)
     req = ordinal_within(requests.select("pos", "id"), ["id"], "pos", out="k")

@@ -413,7 +413,7 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
   from dlq d join verd v on v.id = d.id"""
     q["dlq_replay_rows"] = RV + f"""select sha256(concat_ws('|', id, cast(attempt as varchar), 'replay')) as id, id as replay_of,
   attempt, topic_name, payload, 'schema_validation' as error_type, err as error_message,
-  'conduit-dlq-replay' as producer_id, {NOW} as created_at
+  'pw-dlq-replay' as producer_id, {NOW} as created_at
   from (select *, unnest(range(1, n + 1)) as attempt from chg where not pass) x"""
     q["dlq_fold"] = with_(ACTIONS) + """select * from (
   with recursive o as (select id, action, row_number() over (partition by id order by seq) as k from dlq_actions),
