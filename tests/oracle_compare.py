@@ -1,6 +1,8 @@
 """Run a registered query in Spark and its oracle SQL in DuckDB; compare.
 
 Usage: python tests/oracle_compare.py [sf_dir] [name ...]
+Set PW_EXACT_FLOATS=1 to compare floating-point values bit for bit (by
+default they are rounded to 10 significant digits).
 """
 
 from __future__ import annotations
