@@ -7,7 +7,7 @@ A byte is removed if a `length`-byte string that covers it also starts earlier
    `GRAM`-byte strings in it. Equal windows have equal routes, and neighbouring
    windows mostly share theirs, so a document gives one row for a run of windows
    (about one for 35 bytes): (route, doc, start, windows). Routes that occur once are
-   dropped by an aggregation and a join.
+   dropped by an aggregation and a join, unless the run repeats itself.
 2. *Regions.* The runs left meet their texts. A run's region is the bytes its
    windows cover. Regions equal to an earlier one of the same batch are marked
    at once and not sent; the others go to the task of their route. A
@@ -70,10 +70,10 @@ def _window(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, start in it, windows, route) of each run of windows with one route."""
+    """(document, start in it, windows, route, whether two of them may be equal) of each run of windows with one route."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     up, down = _powers(n + 1, _BASE), _powers(n + 1, pow(_BASE, -1, 1 << 64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
     h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
@@ -88,15 +88,22 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRA
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new & ok)
     stop = np.flatnonzero(ok & np.concatenate([new[1:] | ~ok[1:], [True]])) + 1
-    return doc[first].astype(np.int64), first - at[doc[first]], stop - first, least[first].view(np.int64)
+    # equal windows of one run have its least hash at different places
+    span, many, route = np.arange(length - gram + 1), stop - first, least[first]
+    own = many > len(span)
+    for a in range(0, len(first), 20_000):
+        part = slice(a, a + 20_000)
+        front, back = (h[x[part, None] + span] == route[part, None] for x in (first, stop - 1))
+        own[part] |= (front.sum(1) > 1) | (back.sum(1) > 1) | (first[part] + front.argmax(1) != stop[part] - 1 + back.argmax(1))
+    return doc[first].astype(np.int64), first - at[doc[first]], many, route.view(np.int64), own
 
 
 def _routed(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, HASH_BYTES):
-            doc, start, many, route = runs(*flat_bytes(b["text"]), length, gram)
+            doc, start, many, route, own = runs(*flat_bytes(b["text"]), length, gram)
             did, part = b["_did"].to_numpy(), b["_part"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(did[doc]), pa.array(part[doc] << 32 | start), pa.array(many.astype(np.int32))], names=["route", "did", "start", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(did[doc]), pa.array(part[doc] << 32 | start), pa.array(many.astype(np.int32)), pa.array(own)], names=["route", "did", "start", "many", "own"])
 
     return run
 
@@ -339,10 +346,10 @@ def marks(keyed: DataFrame, on: list[str], length: int = LENGTH, gram: int = GRA
     if not 8 <= gram <= length:
         raise ValueError("a gram has 8 to `length` bytes")
     texts = keyed if len(on) == 1 else keyed.dropDuplicates(on)
-    routed = texts.select("_did", "_part", "text").mapInArrow(_routed(length, gram), "route bigint, did bigint, start bigint, many int")
-    twice = routed.groupBy("route").agg(F.count("*").alias("n")).where("n > 1").select("route", (F.col("n") > hot).alias("hot"))
+    routed = texts.select("_did", "_part", "text").mapInArrow(_routed(length, gram), "route bigint, did bigint, start bigint, many int, own boolean")
+    twice = routed.groupBy("route").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 or own").select("route", (F.col("n") > hot).alias("hot"))
     by = {"_did": F.col("did").alias("_did"), "_part": F.shiftright("start", 32).alias("_part")}
-    again = routed.join(twice, "route").groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("route", "start", "many", "hot")).alias("_runs"))
+    again = routed.drop("own").join(twice, "route").groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("route", "start", "many", "hot")).alias("_runs"))
     # all of `keyed`, so that this exchange of the texts is the one that `report` and `remove` read again
     regions = texts.join(again, on).mapInArrow(_sent(length), "route bigint, did bigint, start bigint, many int, region binary")
     marked = regions.repartition("route").sortWithinPartitions("route").mapInArrow(_marked(length), "did bigint, start bigint, stop bigint")
