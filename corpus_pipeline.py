@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm import packing, simhash, suffix_dedup
+from pipewright.llm import packing, quality, simhash, suffix_dedup
 from pipewright.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling doesn't draw go."""
+    return quality.resampled(docs, table(spark, sf_dir, "labels")).where("_kept").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: the one of smallest doc_id."""
     return simhash.keep_one(docs)
@@ -29,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack)]
 
 #: Fingerprints, suffix sorting and token ids can't be said in SQL: tests hold run() against brute force.
 ORACLE_SQL = None

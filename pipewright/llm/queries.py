@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pipewright.llm import id_store, packing, simhash, suffix_dedup, token_counts
+from pipewright.llm import id_store, packing, quality, simhash, suffix_dedup, token_counts
 from pipewright.llm.common import table
 from pipewright.session import checkpoint_dir
 
@@ -19,6 +20,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.round("_weight", 6).alias("weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_suffix_array_dedup, op6_simhash_near_dedup, op8_token_id_output, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op6_simhash_near_dedup, op8_token_id_output, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
