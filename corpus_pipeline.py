@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pipewright.llm import packing, quality, simhash, suffix_dedup
+from pipewright.llm import decontaminate, packing, quality, simhash, suffix_dedup
 from pipewright.llm.common import saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,6 +27,11 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return suffix_dedup.remove(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as pieces of token sequences."""
     import public_tokenizers
@@ -34,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontamination", decontaminated), ("packing", pack)]
 
 #: Fingerprints, suffix sorting and token ids can't be said in SQL: tests hold run() against brute force.
 ORACLE_SQL = None

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import id_store, packing, quality, simhash, suffix_dedup, token_counts
+from pipewright.llm import decontaminate, id_store, packing, quality, simhash, suffix_dedup, token_counts
 from pipewright.llm.common import table
 from pipewright.session import checkpoint_dir
 
@@ -33,6 +33,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
     id_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -44,7 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op6_simhash_near_dedup, op8_token_id_output, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
