@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import decontaminate, id_store, packing, quality, simhash, suffix_dedup, token_counts
+from pipewright.llm import decontaminate, id_store, packing, ppm, quality, simhash, suffix_dedup, token_counts
 from pipewright.llm.common import table
 from pipewright.session import checkpoint_dir
 
@@ -29,6 +29,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -48,7 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op5_lm_scoring, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
