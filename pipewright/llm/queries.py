@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import decontaminate, id_store, packing, ppm, quality, simhash, suffix_dedup, token_counts
+from pipewright.llm import decontaminate, id_store, packing, ppm, quality, rules, simhash, suffix_dedup, token_counts
 from pipewright.llm.common import table
 from pipewright.session import checkpoint_dir
 
@@ -51,8 +51,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op5_lm_scoring, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op5_lm_scoring, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
