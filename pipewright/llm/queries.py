@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.llm import decontaminate, id_store, packing, ppm, quality, rules, simhash, suffix_dedup, token_counts
+from pipewright.llm import decontaminate, id_store, licenses, packing, ppm, quality, rules, simhash, suffix_dedup, token_counts
 from pipewright.llm.common import table
 from pipewright.session import checkpoint_dir
 
@@ -25,6 +25,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.round("_weight", 6).alias("weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_suffix_array_dedup, op5_lm_scoring, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_license_scans, op4_suffix_array_dedup, op5_lm_scoring, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_token_id_output, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
