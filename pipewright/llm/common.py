@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +12,6 @@ from pyspark.sql import functions as F
 
 from pipewright.session import checkpoint_dir
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +43,13 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def apart(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs), with columns that `run` doesn't know out of the way of its own names; the columns of `docs`."""
+    known, names = {"doc_id", "text", "n_chars"}, docs.columns
+    aside = [c if c in known else f"_c{i}" for i, c in enumerate(names)]
+    return run(docs.toDF(*aside)).select(*aside).toDF(*names)
+
+
 def held_out(doc_id: str | Column = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     """crc32(doc_id as text) mod `folds` is `fold`; null ids aren't held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -88,7 +91,3 @@ def by_bytes(batches: Iterable[pa.RecordBatch], most: int, column: str = "text")
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def ceil_div(a: float, b: float) -> int:
-    return math.ceil(a / b)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipewright.llm.common import apart
+
 WIDTH = 10
 #: Benchmark words whose tables are sent to the tasks at once (about 300 bytes each).
 BLOCK_WORDS = 200_000
@@ -152,4 +154,4 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_word
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents of `docs` without any hit."""
-    return searched(docs, benchmark, width, block_words).where("_hits is null").select(*docs.columns)
+    return apart(docs, lambda d: searched(d, benchmark, width, block_words).where("_hits is null"))

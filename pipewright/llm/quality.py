@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import by_bytes, documents, saved
+from pipewright.llm.common import apart, by_bytes, documents, saved
 
 BUCKETS, ORDERS, PREFIX = 1 << 16, 2, 4
 FIT_ROWS = 50_000
@@ -134,3 +134,8 @@ def resampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, temp
                 break
             left -= n
     return scored.withColumn("_kept", F.col("_key") >= high).withColumn("_key", F.col("_key") * 2.0**-20)
+
+
+def drawn(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
+    """The documents drawn; the columns of `docs`."""
+    return apart(docs, lambda d: resampled(d, labels, **fit).where("_kept"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import documents, saved
+from pipewright.llm.common import apart, documents, saved
 from pipewright.llm.components import roots
 
 WIDTH, BITS, SEED = 3, 3, 42
@@ -218,9 +218,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One document of each component, the one of least id (rows that repeat it: one); the columns of `docs`."""
+    return apart(docs, lambda d: _kept(d, width))
+
+
+def _kept(docs: DataFrame, width: int) -> DataFrame:
     prints = saved(with_fingerprint(docs, width), "prints")
     of = components(prints.select(F.col("doc_id").cast("bigint").alias("doc_id"), FINGERPRINT))
-    stay = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(FINGERPRINT).alias("of"))
-    stay = stay.select(F.col("component_id").alias("_stays"), "of")
-    kept = prints.join(stay, (F.col(FINGERPRINT) == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("_stays")))
-    return kept.dropDuplicates([FINGERPRINT, "doc_id"]).select(*docs.columns)
+    stay = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(FINGERPRINT).alias("_of"))
+    stay = stay.select(F.col("component_id").alias("_stays"), "_of")
+    kept = prints.join(stay, (F.col(FINGERPRINT) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_stays")))
+    return kept.dropDuplicates([FINGERPRINT, "doc_id"])
