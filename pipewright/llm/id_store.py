@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import by_bytes, documents, input_parts
-from pipewright.llm.tokens import BATCH_BYTES, encoder, slices
+from pipewright.llm.common import by_bytes, documents, input_parts, sampled
+from pipewright.llm.tokens import BATCH_BYTES, encoder
 
 #: Documents the dictionary is trained on, and the ids taken of each (bounds of the fit).
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1_000, 2_000, 64 << 10
@@ -47,7 +47,7 @@ BLOCKS = "shard int, block int, dict_hash string, width int, payload binary, doc
 def _sampled(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, samples = encoder(tokenizer), []
-        for b in slices(batches):
+        for b in by_bytes(batches, BATCH_BYTES):
             ids, at = enc.encode(b["text"])
             samples += [ids[a : min(z, a + SAMPLE_IDS)].tobytes() for a, z in zip(at, at[1:]) if z > a]
         trained = b""
@@ -63,7 +63,7 @@ def _sampled(tokenizer: str, end_id: int):
 
 def train(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[str, bytes]:
     """(hash, dictionary) from the SAMPLE_DOCS documents of least hash: a bounded fit."""
-    sample = documents(docs).where("text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
+    sample = sampled(documents(docs).where("text is not null"), F.xxhash64("doc_id", "text"), SAMPLE_DOCS)
     got = sample.coalesce(1).mapInArrow(_sampled(tokenizer, end_id), "dict_hash string, dictionary binary").collect()
     return (got[0].dict_hash, bytes(got[0].dictionary)) if got else (hashlib.sha256(b"").hexdigest(), b"")
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import by_bytes, documents, flat_bytes, held_out, saved
+from pipewright.llm.common import by_bytes, compact, documents, flat_bytes, held_out, saved
 
 ORDER, NODES = 5, 32_768
 END, SYMBOLS = 256, 257
@@ -167,7 +167,7 @@ def _postings(counts):
         block = TaskContext.get().partitionId() << 24
         for whole in by_bytes(batches, BLOCK_BYTES):
             for at in range(0, whole.num_rows, BLOCK_DOCS):
-                b = whole.slice(at, BLOCK_DOCS)
+                b = compact(whole.slice(at, BLOCK_DOCS))
                 n = b.num_rows
                 scores = np.concatenate([_model(counts).score(b["text"].slice(k, 500)) for k in range(0, n, 500)])
                 lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(b["text"].cast(pa.large_string())), ""))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import apart, by_bytes, documents, saved
+from pipewright.llm.common import apart, by_bytes, documents, sampled, saved
 
 BUCKETS, ORDERS, PREFIX = 1 << 16, 2, 4
 FIT_ROWS = 50_000
@@ -101,7 +101,7 @@ def weighted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     """All columns of `docs` with `_weight` (null: no n-gram), and the target's share of the labelled documents."""
     judged = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     share = judged.agg(F.avg(F.col("good").cast("int"))).first()[0]
-    sample = judged.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id").collect()
+    sample = sampled(judged.where("good"), F.xxhash64("doc_id"), fit_rows).select("doc_id").collect()
     ids = np.array([r.doc_id for r in sample], np.int64)
     counted = documents(docs).mapInArrow(_counted(ids), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(ORDERS * BUCKETS), np.zeros(ORDERS * BUCKETS)

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import saved
+from pipewright.llm.common import sampled, saved
 
 FIT_ROWS = 20_000
 PRECISION, MOST_RULES, MOST_CONDITIONS, THRESHOLDS = 0.97, 12, 3, 24
@@ -172,7 +172,7 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, precisi
     """Statistics of every document, base_failed, kept, and the list that decided (rules)."""
     stats = saved(statistics(docs), "statistics")
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = stats.join(good, "doc_id").where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = known.select(*(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()), (F.col("quality") == 0).cast("int").alias("bad")).collect()
+    known = stats.join(good, "doc_id").where(~base_failed())
+    rows = sampled(known, F.xxhash64("doc_id"), fit_rows).select(*(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()), (F.col("quality") == 0).cast("int").alias("bad")).collect()
     case = as_case(learn([r.asDict() for r in rows], precision))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.expr(case)).withColumn("rules", F.lit(case))

@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -145,14 +144,3 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One for each Python worker and vocabulary file."""
     return Encoder(path)
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about `most` text bytes (a longer text stays whole)."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield b.slice(at, upto - at)
-            at = upto
