@@ -29,7 +29,8 @@ import re
 import uuid
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed message catalogue (ours; the documented shape is
@@ -46,15 +47,14 @@ def finalize(errors: Column, not_json_message: str = "payload is not valid JSON"
                   F.array(F.lit(not_json_message))).otherwise(errors)
 
 ANNOTATIONS = {"title", "description", "default", "examples", "$schema", "$id",
-               "$comment", "definitions", "readOnly", "writeOnly", "format",
-               "contentMediaType", "contentEncoding"}
+               "$comment", "readOnly", "writeOnly"}
 _ASSERTIONS = {"type", "required", "properties", "enum", "const", "minimum",
                "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
                "minLength", "maxLength", "pattern", "items", "additionalItems",
                "minItems", "maxItems", "uniqueItems", "contains",
                "additionalProperties", "patternProperties", "propertyNames",
                "minProperties", "maxProperties", "dependencies", "allOf",
-               "anyOf", "oneOf", "not", "if", "then", "else", "$ref"}
+               "anyOf", "oneOf", "not", "if", "then", "else", "$ref", "definitions"}
 _JSON_TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 _NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
 _SIMPLE_KEY = re.compile(r"^[A-Za-z0-9_\- .:@$]*$")
@@ -592,12 +592,35 @@ def _matches(pattern: str):
 
 
 def _check_regex(p: str, where: str) -> None:
+    """Patterns run as Java's, so Java says whether they compile."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise SchemaCompileError(f"{where}: patterns are checked by a running session")
     try:
-        re.compile(p)
-    except re.error as exc:
+        spark._jvm.java.util.regex.Pattern.compile(p)
+    except IllegalArgumentException as exc:
         raise SchemaCompileError(f"{where}: invalid pattern {p!r}: {exc}") from exc
 
 
+def _refs(s: Any) -> set[str]:
+    """Definitions that a schema names."""
+    if isinstance(s, dict):
+        own = {s["$ref"].rpartition("/")[2]} if isinstance(s.get("$ref"), str) else set()
+        return own.union(*(_refs(v) for k, v in s.items() if k not in ("enum", "const", "definitions")), set())
+    return set().union(*map(_refs, s)) if isinstance(s, list) else set()
+
+
+def _check_recursion(defs: dict[str, Any]) -> None:
+    """A definition that leads back to itself has no finite expression."""
+    left = {name: _refs(body) & defs.keys() for name, body in defs.items()}
+    while free := [name for name, to in left.items() if not to]:
+        for name in free:
+            del left[name]
+        left = {name: to - set(free) for name, to in left.items()}
+    if left:
+        raise SchemaCompileError(f"recursive $ref in definitions {sorted(left)}")
+
+
 def parse_schema(schema: Any) -> Any:
     """Accept a dict, a bool, or JSON text; reject anything not compilable."""
     if isinstance(schema, str):
@@ -607,7 +630,9 @@ def parse_schema(schema: Any) -> Any:
             raise SchemaCompileError(f"schema is not valid JSON: {exc}") from exc
     if not isinstance(schema, (dict, bool)):
         raise SchemaCompileError("a schema must be a JSON object or boolean")
-    _Compiler(schema if isinstance(schema, dict) else {}).check(schema)
+    comp = _Compiler(schema if isinstance(schema, dict) else {})
+    comp.check(schema)
+    _check_recursion(comp.defs)
     return schema
 
 

@@ -121,11 +121,13 @@ def _replay_verdicts(state: DataFrame, schemas: DataFrame) -> DataFrame:
         "_err": F.when(F.col("system_error").isNotNull(),
                        F.concat(F.lit("schema validation system error: "), F.col("system_error")))
         .otherwise(join_errors(F.col("errors"))),
+        "_system": F.col("system_error").isNotNull(),
+        "_sid": F.col("schema_id"),
     }).drop("is_valid", "errors", "schema_id", "system_error")
 
 
 def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
-          seq: int = 0) -> dict[str, DataFrame]:
+          seq: int = 0, failed: DataFrame | None = None) -> dict[str, DataFrame]:
     """DLQ-5/6/8 (+ SRC-7, JON-3, WIN-5): replay a batch of requested ids.
 
     ``requests``: (pos, id), duplicates allowed. Returns:
@@ -134,14 +136,31 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
     rows to append to the transitions log -- the scalable write path);
     ``state`` (the whole new DLQ state, for small tables or snapshots);
     ``replay_rows`` (the new DLQ rows each failing replay adds, producer
-    ``pw-dlq-replay``).
+    ``pw-dlq-replay``; none for a schema that doesn't compile, as RTE-2);
+    ``messages`` (what the passing replays publish: topic, a new key, value,
+    headers with the replay producer).
+
+    Publish ``messages`` first; if some couldn't be written, call again with
+    ``failed`` (id, error): those replays fail with that error and their
+    rows are of type ``publish_error``.
     """
     nowc = ts_literal(now)
     req = ordinal_within(requests.select("pos", "id"), ["id"], "pos", out="k")
     per_id = requests.groupBy("id").agg(F.count(F.lit(1)).alias("attempts"))
     known = _replay_verdicts(dlq.join(per_id.select("id"), "id", "left_semi"), schemas)
+    if failed is None:
+        known = known.withColumn("_publish", F.lit(None).cast("string"))
+    else:
+        known = known.join(failed.groupBy("id").agg(F.min("error").alias("_publish")), "id", "left")
+    unpublished = F.col("_pass") & F.col("_publish").isNotNull()
+    known = known.withColumns({
+        "_err": F.when(unpublished, F.concat(F.lit(M.KAFKA_WRITE_FAILED.format(error="")), F.col("_publish")))
+        .otherwise(F.col("_err")),
+        "_type": F.when(unpublished, F.lit(M.ERROR_PUBLISH)).when(~F.col("_system"), F.lit(M.ERROR_SCHEMA_VALIDATION)),
+        "_pass": F.col("_pass") & F.col("_publish").isNull(),
+    })
     known = known.select("id", "topic_name", "payload", "producer_id", "status", "retry_count",
-                         "error_message", "_pass", "_err")
+                         "error_message", "_pass", "_err", "_type", "_sid")
     j = req.join(known, "id", "left")
     k, r, s = F.col("k"), F.col("retry_count"), F.col("status")
     found = s.isNotNull()
@@ -189,20 +208,27 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
     }).select(*dlq.columns)
 
     # DLQ-8: every failing run of a schema-invalid replay inserts a new row
-    failing = att.filter(~F.col("_pass")).select(
-        "id", "topic_name", "payload", "_err", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("attempt"))
+    failing = att.filter(~F.col("_pass") & F.col("_type").isNotNull()).select(
+        "id", "topic_name", "payload", "_err", "_type", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("attempt"))
     rid = stable_id(F.col("id"), F.col("attempt"), F.lit("replay"))
     replay_rows = failing.select(
         rid.alias("id"), "topic_name",
         F.lit(M.DLQ_DEFAULT_PARTITION).cast("int").alias("partition_id"),
         F.lit(M.DLQ_DEFAULT_OFFSET).cast("bigint").alias("kafka_offset"),
-        "payload", F.lit(M.ERROR_SCHEMA_VALIDATION).alias("error_type"),
+        "payload", F.col("_type").alias("error_type"),
         F.col("_err").alias("error_message"), F.lit(0).cast("int").alias("retry_count"),
         F.lit(M.STATUS_PENDING).alias("status"), F.lit(M.REPLAY_PRODUCER).alias("producer_id"),
         nowc.alias("created_at"), nowc.alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("last_retry_at"), F.col("id").alias("replay_of"),
         "attempt")
-    return {"results": results, "transitions": trans, "state": state, "replay_rows": replay_rows}
+    # the replayed events themselves: one message for each id whose replay passes
+    messages = att.filter("_pass").select(
+        F.col("topic_name").alias("topic"), stable_id(F.col("id"), F.lit(int(seq)), F.lit("message")).alias("key"),
+        F.col("payload").alias("value"),
+        F.create_map(F.lit(M.HEADER_PRODUCER), F.lit(M.REPLAY_PRODUCER), F.lit(M.HEADER_SCHEMA), F.col("_sid")).alias("headers"),
+        F.col("id").alias("replay_of"))
+    return {"results": results, "transitions": trans, "state": state, "replay_rows": replay_rows,
+            "messages": messages}
 
 
 def fold(actions: DataFrame) -> DataFrame:

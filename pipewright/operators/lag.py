@@ -42,12 +42,10 @@ def topic_latest_offsets(latest: DataFrame) -> DataFrame:
         F.struct(F.col("partition_id"), F.col("latest_offset")))).alias("latest_offsets"))
 
 
-def committed_offsets(commits: DataFrame, seq: str | None = None) -> DataFrame:
-    """SRC-4: the committed offset per (group, topic, partition); with a
-    commit log (``seq`` = commit order) the newest commit wins."""
+def committed_offsets(commits: DataFrame, seq: str = "seq") -> DataFrame:
+    """SRC-4: the committed offset per (group, topic, partition): the newest
+    commit of the log (``seq`` = commit order), also after a rewind."""
     keys = ["consumer_group", "topic", "partition_id"]
-    if seq is None:
-        return commits.groupBy(*keys).agg(F.max("committed_offset").alias("committed_offset"))
     return commits.groupBy(*keys).agg(F.max_by("committed_offset", seq).alias("committed_offset"))
 
 
@@ -243,9 +241,17 @@ def _day(ts_sec: Column) -> Column:
 
 
 def write_readings(readings: DataFrame, root: str) -> None:
-    """Append readings to a table partitioned by day (``dt``), so range reads
-    prune whole days and retention drops whole folders."""
-    readings.withColumn("dt", _day(F.col("ts_sec"))).write.mode("append").partitionBy("dt").parquet(root)
+    """SNK-4: append readings to a table partitioned by day (``dt``), so range
+    reads prune whole days and retention drops whole folders. Readings the
+    table holds already are left out: the new ones meet only their own days."""
+    spark, key = readings.sparkSession, SERIES + ["ts_sec", "lag"]
+    new = readings.select(*key).dropDuplicates(key).withColumn("dt", _day(F.col("ts_sec")))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        span = new.agg(F.min("dt"), F.max("dt")).first()
+        held = spark.read.parquet(root).filter(F.col("dt").between(F.lit(span[0]), F.lit(span[1])))
+        new = new.join(held.select(*key, "dt"), key + ["dt"], "left_anti")
+    new.write.mode("append").partitionBy("dt").parquet(root)
 
 
 def read_history(spark, root: str, now, minutes: int) -> DataFrame:

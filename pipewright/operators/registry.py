@@ -100,24 +100,30 @@ def cascade_delete(schemas: DataFrame, surviving_topics: DataFrame) -> DataFrame
 
 
 def validity(schemas: DataFrame) -> DataFrame:
-    """Each version's validity interval [valid_from, valid_to)."""
-    w = Window.partitionBy("topic_name").orderBy("version")
+    """Each version's validity interval [valid_from, valid_to): until the next
+    created, the greater version at a tie (the others' intervals are empty)."""
+    w = Window.partitionBy("topic_name").orderBy("created_at", "version")
     return schemas.select("id", "topic_name", "version", F.col("created_at").alias("valid_from"),
                           F.lead("created_at").over(w).alias("valid_to"))
 
 
 def as_of(df: DataFrame, schemas: DataFrame, topic: str = "topic_name",
           ts: str = "created_at") -> DataFrame:
-    """JON-7: the schema version in force when each row happened.
+    """JON-7: the schema version in force when each row happened: the last
+    created up to then, the greater version at a tie; one row out for each in.
 
-    An as-of join: equi-join on topic plus a range condition on the validity
-    interval. The version table is bounded (topics x versions): AQE sees its
-    shuffled size and plans a broadcast hash join at run time, so the big
-    side is not sorted; past the threshold it stays a sort-merge join on
-    topic with skewed partitions split.
+    An as-of join by days: each version is listed under every day its
+    interval touches, up to the rows' last day, and rows join on (topic, day)
+    plus the interval. So a row meets the versions of one day, and a hot topic
+    is spread over its days. The versions are bounded by topics x (versions + days).
     """
-    v = validity(schemas).select(F.col("topic_name").alias("_t"), F.col("id").alias("schema_id"),
+    last = df.agg(F.max(ts)).first()[0]
+    day = lambda c: F.to_date(c)
+    end = F.least(F.coalesce(F.col("valid_to"), F.lit(last)), F.lit(last)).cast("timestamp_ntz")
+    v = validity(schemas).where(F.col("valid_from") <= F.lit(last).cast("timestamp_ntz"))
+    v = v.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    v = v.withColumn("_day", F.explode(F.sequence(day("valid_from"), day(end)))).select("_day", F.col("topic_name").alias("_t"), F.col("id").alias("schema_id"),
                                  F.col("version").alias("schema_version"), "valid_from", "valid_to")
-    cond = ((F.col(topic) == F.col("_t")) & (F.col(ts) >= F.col("valid_from"))
+    cond = ((F.col(topic) == F.col("_t")) & (day(F.col(ts)) == F.col("_day")) & (F.col(ts) >= F.col("valid_from"))
             & (F.col("valid_to").isNull() | (F.col(ts) < F.col("valid_to"))))
-    return df.join(v, cond, "left").drop("_t", "valid_from", "valid_to")
+    return df.join(v, cond, "left").drop("_t", "_day", "valid_from", "valid_to")

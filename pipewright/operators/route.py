@@ -12,22 +12,18 @@ partitions exactly like the input.
 from __future__ import annotations
 
 import json
-import logging
 import uuid
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import jsonschema as JS
 from ..functions.scalars import join_errors, rfc3339, stable_id, ts_literal
-from ..session import spread
+from ..session import checkpoint_dir, remove_path
 from .skew import ordinal_within
 
-log = logging.getLogger(__name__)
-
 # Plan-size guard: distinct active schema documents compiled into one plan.
 MAX_DISTINCT_SCHEMAS = 2048
 
@@ -96,6 +92,16 @@ class Validator:
         if key in self._compiled:
             return self._compiled[key]
         topic, payload = F.col(topic_name), F.col(payload_name)
+        # one schema that doesn't compile is its topics' error and nobody else's
+        compiled = []
+        for gi, (doc, topics) in enumerate(self.groups.values()):
+            gate = topic.isin(topics)
+            try:
+                compiled.append((gate, *JS.compile_errors(doc, F.col("_pw_v"), prefix=f"_pw_g{gi}_", gate=gate)))
+            except (JS.SchemaCompileError, KeyError, TypeError, RecursionError) as exc:
+                for t in topics:
+                    self.schema_id.pop(t, None)
+                    self.broken[t] = f"compiling schema: {exc}"
         sid = F.element_at(self._topic_map(self.schema_id), topic) if self.schema_id else F.lit(None).cast("string")
         broken = F.element_at(self._topic_map(self.broken), topic) if self.broken else F.lit(None).cast("string")
         first = {"schema_id": sid, "system_error": broken,
@@ -104,9 +110,7 @@ class Validator:
         errs = None
         temps = ["_pw_w", "_pw_v"]
         all_lets = []
-        for gi, (doc, topics) in enumerate(self.groups.values()):
-            gate = topic.isin(topics)
-            lets, e = JS.compile_errors(doc, F.col("_pw_v"), prefix=f"_pw_g{gi}_", gate=gate)
+        for gate, lets, e in compiled:
             all_lets += lets
             temps += [n for n, _, _ in lets]
             errs = F.when(gate, e) if errs is None else errs.when(gate, e)
@@ -180,7 +184,7 @@ def validate(events: DataFrame, schemas: DataFrame, topic: str = "topic",
     valid and keeps the topic's schema id.
     """
     v = validator or Validator.from_registry(schemas)
-    out = v.apply(spread(events), topic, payload)
+    out = v.apply(events, topic, payload)
     obs = getattr(out, "_pw_observation", None)
     if not enabled:
         out = out.withColumns({"is_valid": F.lit(True), "errors": F.array().cast("array<string>"),
@@ -319,51 +323,46 @@ def kafka_sink(bootstrap: str, **options) -> Sink:
 
 
 def publish(routed: DataFrame, now, topic_sink: Sink, dlq_sink: Sink,
-            batch: bool = True, materialize: str = "persist", **cols) -> dict:
+            batch: bool = True, **cols) -> dict:
     """Write one routed frame to its two sinks.
 
-    Validation must run once for both writes. ``materialize="persist"``
-    (micro-batches) keeps the routed rows in executor storage;
-    ``"stage"`` (large batches) writes them once to the shared checkpoint
-    folder partitioned by route and reads that back, so each sink reads only
-    its own route's folder and a lost executor costs no recomputation.
-    A failing topic write sends every valid event of the batch to the DLQ as
-    ``publish_error`` (SNK-3); a failing DLQ write is logged and never hides
-    the original outcome.
+    The routed rows are first written once to the shared checkpoint folder,
+    partitioned by route, so a read or validation failure raises here, before
+    any sink is tried, and each sink reads only its own route. A failing
+    topic write sends every valid event of the batch to the DLQ as
+    ``publish_error`` (SNK-3). A failing DLQ write raises: rejected events
+    are in no other place, so a stream must not commit the batch and a batch
+    caller must know. The stage folder is removed in either case.
+
+    ``cols`` names the input columns (topic, payload, producer, position,
+    and key for the message key).
     """
     observation = getattr(routed, "_pw_observation", None)
-    staged = None
-    if materialize == "stage":
-        from ..session import checkpoint_dir
-        staged = f"{checkpoint_dir(routed.sparkSession)}/pw-stage/{uuid.uuid4().hex}"
-        keep = [c for c in routed.columns if c not in ("errors",)]
-        routed.select(*keep).write.partitionBy("route").parquet(staged)
-        routed = routed.sparkSession.read.parquet(staged)
-    else:
-        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = routed.sparkSession
+    staged = f"{checkpoint_dir(spark)}/pw-stage/{uuid.uuid4().hex}"
+    keep = routed.select(*[c for c in routed.columns if c != "errors"])
+    message_cols = {k: v for k, v in cols.items() if k in ("topic", "key", "payload", "producer")}
+    dlq_cols = {k: v for k, v in cols.items() if k != "key"}
     try:
+        keep.write.partitionBy("route").parquet(staged)
+        routed = spark.read.schema(keep.schema).parquet(staged)
         status = {"published": True, "error": None}
         try:
-            topic_sink(published_messages(routed, None if batch else now))
+            topic_sink(published_messages(routed, None if batch else now, **message_cols))
         except Exception as exc:  # noqa: BLE001 - the sink's failure is data here
             msg = (M.BATCH_KAFKA_WRITE_FAILED if batch else M.KAFKA_WRITE_FAILED).format(
                 error=str(exc).splitlines()[0] if str(exc) else type(exc).__name__)
             status = {"published": False, "error": msg}
-        dlq = dlq_rows(routed, now, **cols)
+        dlq = dlq_rows(routed, now, **dlq_cols)
         if not status["published"]:
             failed = dlq_rows(routed, now, only_route=ROUTE_PUBLISHED,
                               error_type=F.lit(M.ERROR_PUBLISH),
-                              error_message=F.lit(status["error"]), **cols)
+                              error_message=F.lit(status["error"]), **dlq_cols)
             dlq = dlq.unionByName(failed)
-        try:
-            dlq_sink(dlq)
-        except Exception as exc:  # noqa: BLE001
-            log.critical("failed to write events to the DLQ: %s", exc)
-            status["dlq_error"] = str(exc)
+        dlq_sink(dlq)
         if observation is not None:
-            # filled by the first write's job; no extra pass over the data
+            # filled by the stage write's job; no extra pass over the data
             status["validation"] = dict(observation.get)
         return status
     finally:
-        if staged is None:
-            routed.unpersist()
+        remove_path(spark, staged)

@@ -25,21 +25,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows
-    (checked with a bounded count); otherwise leave the join to the planner
-    (sort-merge, with AQE splitting skewed partitions).
-
-    Meant for metadata-sized inputs that are cheap to count (registry
-    versions, topic lists, request ids). For an aggregate over a big table,
-    join plainly instead: AQE measures the shuffled aggregate and switches
-    to a broadcast join at run time, without computing it twice."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def _bucket(order: Column, width: int) -> Column:
     return F.floor(order / F.lit(width)).cast("bigint")

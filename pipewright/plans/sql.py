@@ -265,12 +265,13 @@ def oracle() -> dict[str, str]:
   case when t.id is not null then t.created_at else {NOW} end as created_at,
   case when n.name is not null then {NOW} else t.updated_at end as updated_at
   from topics t full outer join (select distinct topic_name as name from requests) n on n.name = t.name"""
-    q["schema_as_of"] = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, DLQ, """vv as (
-  select id as schema_id, topic_name as t, version as schema_version, created_at as valid_from,
-    lead(created_at) over (partition by topic_name order by version) as valid_to from registered)""") + """
-select d.id, d.topic_name, d.created_at, vv.schema_id, vv.schema_version
-  from dlq d left join vv on vv.t = d.topic_name and d.created_at >= vv.valid_from
-    and (vv.valid_to is null or d.created_at < vv.valid_to)"""
+    # from the statement: of the versions created up to then, the last created
+    q["schema_as_of"] = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, DLQ) + """
+select d.id, any_value(d.topic_name) as topic_name, any_value(d.created_at) as created_at,
+  arg_max(r.id, struct_pack(a := r.created_at, b := r.version)) as schema_id,
+  arg_max(r.version, struct_pack(a := r.created_at, b := r.version)) as schema_version
+  from dlq d left join registered r on r.topic_name = d.topic_name and r.created_at <= d.created_at
+  group by d.id"""
 
     # topics and offsets
     T = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, TOPIC_PARTITIONS)

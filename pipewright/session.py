@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,15 +46,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts and staged rows.
 
     On a cluster this is whatever `spark.checkpoint.dir` names (a shared
-    file system). Only when it is unset -- local tests -- do we pick a fresh
-    scratch folder and set it, so nothing is ever written to a
-    machine-local folder on a cluster that configured one.
+    file system); unset there, it is an error, because executors can't see a
+    folder of the driver's machine. A local master (tests) gets a fresh scratch
+    folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pw-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,16 +64,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than the cluster has
-    cores (a small file read as one split), so CPU-heavy projections use
-    every core. At scale the input already has many splits and this is a
-    no-op; the check only plans the frame, it runs no job."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session (no RDD API)
-        return df
-    if n < target:
-        return df.repartition(target)
-    return df
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop file system, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -95,7 +95,8 @@ def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     analytics: behind by 500 x partition id, no commit on partition 3;
     billing: partition 1 committed ahead of the log (lag clamps to 0),
-    every other partition committed at 0.
+    every other partition committed at 0. ``seq`` is the commit order: each
+    group first committed further on and was then rewound to these.
     """
     latest = (event_log(spark, sf_dir).groupBy("topic", "partition_id")
               .agg((F.max("kafka_offset") + 1).alias("next_offset")))
@@ -106,7 +107,9 @@ def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("billing").alias("consumer_group"), "topic", "partition_id",
         F.when(F.col("partition_id") == 1, F.col("next_offset") + 2).otherwise(F.lit(0))
         .cast("bigint").alias("committed_offset"))
-    return analytics.unionByName(billing)
+    final = analytics.unionByName(billing).withColumn("seq", F.lit(2).cast("bigint"))
+    first = final.withColumns({"committed_offset": F.col("committed_offset") + 1000, "seq": F.lit(1).cast("bigint")})
+    return final.unionByName(first)
 
 
 def epoch_seconds(ts: F.Column) -> F.Column:

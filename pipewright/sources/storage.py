@@ -41,25 +41,44 @@ def current_version(spark: SparkSession, root: str) -> int | None:
         line = reader.readLine()
     finally:
         stream.close()
-    return int(line.strip().split("=", 1)[1])
+    return int(line.strip().split("=", 1)[1].split("/")[0])
+
+
+def _current_folder(spark: SparkSession, root: str, version: int | None) -> str | None:
+    jvm, fs, p = _jvm_path(spark, f"{root}/{POINTER}{'' if version is None else f'.{version}'}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return line.strip()
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
     """Write ``df`` as the next version and switch the pointer to it.
 
-    The data is complete before the pointer moves; a failed write leaves
-    the previous version current (its folder is ignored and can be removed
-    by housekeeping). One writer per table is assumed.
+    Each write has a folder of its own, ``v=N/<unique name>``, and the pointer
+    names it, so a failed write leaves the previous version current and the
+    next attempt isn't in its way. One writer per table is assumed.
     """
     spark = df.sparkSession
     cur = current_version(spark, root)
     nxt = (cur or 0) + 1
-    df.write.mode("errorifexists").parquet(f"{root}/v={nxt}")
-    jvm, fs, final = _jvm_path(spark, f"{root}/{POINTER}")
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/.{POINTER}.{uuid.uuid4().hex}")
+    folder = f"v={nxt}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{root}/{folder}")
+    for name in (f"{POINTER}.{nxt}", POINTER):  # the version's own pointer, then the current one
+        _point(spark, f"{root}/{name}", f"{root}/.{POINTER}.{uuid.uuid4().hex}", folder)
+    return nxt
+
+
+def _point(spark: SparkSession, path: str, scratch: str, folder: str) -> None:
+    jvm, fs, final = _jvm_path(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(scratch)
     out = fs.create(tmp, True)
     try:
-        out.write(bytearray(f"v={nxt}\n", "utf-8"))
+        out.write(bytearray(f"{folder}\n", "utf-8"))
     finally:
         out.close()
     fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
@@ -67,28 +86,21 @@ def write_snapshot(df: DataFrame, root: str) -> int:
     opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     fc.rename(tmp, final, opts)
-    return nxt
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The current (or a given) version of a snapshot table."""
-    v = version if version is not None else current_version(spark, root)
-    if v is None:
+    folder = _current_folder(spark, root, version)
+    if folder is None:
         raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(f"{root}/v={v}")
+    return spark.read.parquet(f"{root}/{folder}")
 
 
 def append_batch(df: DataFrame, root: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
     """Append one micro-batch to a log; a rerun of the batch replaces only
     its own ``batch_id`` partition (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("batch_id", F.lit(int(batch_id)))
-         .write.mode("overwrite").partitionBy("batch_id", *partition_by).parquet(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn("batch_id", F.lit(int(batch_id))).write.option("partitionOverwriteMode", "dynamic")
+     .mode("overwrite").partitionBy("batch_id", *partition_by).parquet(root))
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

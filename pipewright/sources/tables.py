@@ -29,6 +29,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet",
     when the connector is on the classpath (``value`` is cast from BINARY).
     """
     configure(spark)
+    if fmt == "kafka":
+        options = {"includeHeaders": "true", **options}
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
@@ -42,6 +44,8 @@ def read_event_stream(spark: SparkSession, path: str, schema, fmt: str = "parque
                       max_files_per_trigger: int | None = None, **options) -> DataFrame:
     """SRC-9: streaming intake (file source by default, Kafka when present)."""
     configure(spark)
+    if fmt == "kafka":
+        options = {"includeHeaders": "true", **options}
     reader = spark.readStream.format(fmt).options(**options)
     if fmt != "kafka":
         reader = reader.schema(schema)
@@ -54,8 +58,16 @@ def read_event_stream(spark: SparkSession, path: str, schema, fmt: str = "parque
 
 
 def kafka_to_events(df: DataFrame) -> DataFrame:
-    """Kafka source rows -> the event_log shape (BINARY cast at the edge)."""
+    """Log source rows -> the event_log shape (BINARY cast at the edge).
+
+    ``event_id`` is the row's position, unique over partitions:
+    ``topic/partition/offset``. A header key that comes again keeps its last value.
+    """
+    headers = F.coalesce(F.col("headers"), F.array())
+    last = F.filter(headers, lambda h, i: ~F.exists(
+        F.slice(headers, i + 2, F.greatest(F.size(headers), F.lit(1))), lambda x: x["key"] == h["key"]))
     return df.select(
+        F.concat_ws("/", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("event_id"),
         F.col("topic"),
         F.col("partition").cast("int").alias("partition_id"),
         F.col("offset").cast("bigint").alias("kafka_offset"),
@@ -63,6 +75,6 @@ def kafka_to_events(df: DataFrame) -> DataFrame:
         F.col("value").cast("string").alias("payload"),
         F.col("timestamp").cast("timestamp_ntz").alias("ts"),
         F.map_from_entries(F.transform(
-            F.coalesce(F.col("headers"), F.array()),
+            F.filter(last, lambda h: h["key"].isNotNull()),
             lambda h: F.struct(h["key"], h["value"].cast("string")))).alias("headers"),
     ).withColumn("producer_id", F.col("headers")[F.lit("pw-producer-id")])

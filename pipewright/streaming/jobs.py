@@ -23,7 +23,6 @@ from ..session import checkpoint_dir, configure
 from ..sources import fixtures as FX
 from ..sources.tables import read_event_stream
 
-STAGE_FILES = 4
 DEFAULT_POLL_SECONDS = 5
 
 
@@ -39,30 +38,36 @@ def _workdir(spark: SparkSession, job: str) -> str:
     return d
 
 
-def _stage(df: DataFrame, path: str, files: int = STAGE_FILES) -> str:
-    """Write a frame as a few files, so a file stream sees several batches."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def _stage(df: DataFrame, path: str, rows_per_file: int = 0) -> str:
+    """Write a frame as files, one or more for each of its partitions."""
+    df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
     return path
 
 
 # -- STR-1: continuous validate-and-route -------------------------------------
 
 def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out: str,
-                 checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None,
-                 metrics_out: str | None = None):
+                 checkpoint: str, trigger: dict | None = None, metrics_out: str | None = None,
+                 topic_sink=None, dlq_sink=None):
     """STR-1: validate and route every micro-batch. ``schemas_reader``
     returns the registry (a DataFrame) or a compiled ``Validator`` (e.g. a
     ``SnapshotRegistry``) and is called per batch, so a newly registered
     schema takes effect at the next batch. Outputs go to ``batch_id=N`` folders (overwritten on a rerun of
-    the same batch), and DLQ ids are deterministic: reruns are idempotent."""
+    the same batch), and DLQ ids are deterministic: reruns are idempotent.
+
+    ``now`` is a fixed time or a function called for each batch. A batch
+    whose DLQ write fails isn't committed; the next start runs it again.
+    ``topic_sink`` and ``dlq_sink`` (batch id -> sink) replace the Parquet logs."""
     def each(batch: DataFrame, batch_id: int) -> None:
+        at = now() if callable(now) else now
         reg = schemas_reader()
         if isinstance(reg, R.Validator):
-            routed = R.route(batch, None, now, validator=reg)
+            routed = R.route(batch, None, at, validator=reg)
         else:
-            routed = R.route(batch, reg, now)
-        status = R.publish(routed, now, R.parquet_sink(topic_out, batch_id),
-                           R.parquet_sink(dlq_out, batch_id, partition_by="topic_name"))
+            routed = R.route(batch, reg, at)
+        to_topic = topic_sink(batch_id) if topic_sink else R.parquet_sink(topic_out, batch_id)
+        to_dlq = dlq_sink(batch_id) if dlq_sink else R.parquet_sink(dlq_out, batch_id, partition_by="topic_name")
+        status = R.publish(routed, at, to_topic, to_dlq)
         if metrics_out and "validation" in status:
             # DOC-2 per batch: one row, idempotent per batch_id like the outputs
             v = status["validation"]
@@ -79,8 +84,8 @@ def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out
 def stream_route_result(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     wd = _workdir(spark, "route")
-    src = _stage(FX.event_log(spark, sf), os.path.join(wd, "in"))
-    stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=1)
+    src = _stage(FX.event_log(spark, sf), os.path.join(wd, "in"), rows_per_file=50_000)
+    stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=16)
     from ..sources.storage import write_snapshot
     write_snapshot(FX.schemas(spark), os.path.join(wd, "registry"))
     q = route_stream(stream, R.SnapshotRegistry(spark, os.path.join(wd, "registry")), M.FIXED_NOW,

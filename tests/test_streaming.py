@@ -111,19 +111,56 @@ def test_stream_lag_windows_equal_batch(spark):
     assert _rows(s, cols) <= _rows(b, cols)
 
 
-def test_publish_stage_mode_equals_persist_mode(spark):
-    d = os.path.join(checkpoint_dir(spark), "s-" + uuid.uuid4().hex[:8])
+class _Broken(RuntimeError):
+    pass
+
+
+def _fails(_df):
+    raise _Broken("down")
+
+
+def test_failing_dlq_sink_raises_and_a_failing_input_reaches_no_sink(spark):
+    import pytest
     routed = R.route(FX.event_log(spark, SF), FX.schemas(spark), M.FIXED_NOW)
-    for mode in ("persist", "stage"):
-        R.publish(routed, M.FIXED_NOW, R.parquet_sink(f"{d}/{mode}/topics"),
-                  R.parquet_sink(f"{d}/{mode}/dlq", partition_by="topic_name"), materialize=mode)
-    for part in ("topics", "dlq"):
-        def load(mode):
-            df = spark.read.parquet(f"{d}/{mode}/{part}")
-            return df.withColumn("headers", F.to_json("headers")) if "headers" in df.columns else df
-        a, b = load("persist"), load("stage")
-        assert a.count() == b.count() > 0
-        assert a.exceptAll(b.select(*a.columns)).count() == 0
+    with pytest.raises(_Broken):
+        R.publish(routed, M.FIXED_NOW, lambda df: df.count(), _fails)
+    tried = []
+    bad = FX.event_log(spark, SF).withColumn("payload", F.when(F.rand() >= 0, F.raise_error(F.lit("no input"))).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="no input"):
+        R.publish(R.route(bad, FX.schemas(spark), M.FIXED_NOW), M.FIXED_NOW, tried.append, tried.append)
+    assert tried == []
+
+
+def test_stream_commits_no_batch_whose_dlq_write_failed(spark):
+    import pytest
+    from pipewright.sources.tables import read_event_stream
+    wd = os.path.join(checkpoint_dir(spark), "f-" + uuid.uuid4().hex[:8])
+    src = jobs._stage(FX.event_log(spark, SF), wd + "/in")
+    clock = []
+
+    def start(dlq_sink=None):
+        stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=1)
+        now = lambda: clock.append(1) or M.FIXED_NOW
+        return jobs.route_stream(stream, lambda: FX.schemas(spark), now, wd + "/t", wd + "/d", wd + "/c", dlq_sink=dlq_sink)
+    with pytest.raises(Exception, match="down"):
+        start(lambda batch_id: _fails).awaitTermination()
+    assert not os.path.exists(wd + "/d") and len(os.listdir(wd + "/c/commits")) == 0
+    start().awaitTermination()  # the sink is back: every rejected event once
+    want = R.route(FX.event_log(spark, SF), FX.schemas(spark), M.FIXED_NOW).filter(F.col("route") == "dlq")
+    got = spark.read.parquet(wd + "/d")
+    assert sorted(r[0] for r in got.select("id").collect()) == sorted(r[0] for r in want.select("dlq_event_id").collect())
+    assert clock
+
+
+def test_log_shaped_rows_can_be_routed(spark):
+    from pipewright.sources.tables import kafka_to_events
+    h = [("pw-producer-id", bytearray(b"a")), ("pw-producer-id", bytearray(b"b"))]
+    rows = [("click", p, o, bytearray(b"k"), bytearray(b'{"bad": 1}'), FX.D0, h if p else None) for p in (0, 1) for o in (5, 6)]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, key binary, value binary, timestamp timestamp, headers array<struct<key:string,value:binary>>")
+    ev = kafka_to_events(df)
+    routed = R.route(ev, FX.schemas(spark), M.FIXED_NOW).collect()
+    assert len({r.dlq_event_id for r in routed}) == 4 and {r.route for r in routed} == {"dlq"}
+    assert {(r.partition_id, r.producer_id) for r in ev.collect()} == {(0, None), (1, "b")}
 
 
 def test_poll_trigger_checks_period():
