@@ -206,6 +206,12 @@ def alert_state(totals: DataFrame, threshold: int) -> DataFrame:
     return t.groupBy(*SERIES).agg(F.max_by("is_alert", F.struct("ts_sec", "total_lag")).alias("is_alert"))
 
 
+def alert_topics(state: DataFrame) -> DataFrame:
+    """SET-3 by topic: a topic is alerting while any of its groups is."""
+    return state.groupBy("topic").agg(F.bool_or("is_alert").alias("is_alert"),
+                                      F.count_if("is_alert").alias("alerting_groups"))
+
+
 def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFrame:
     """DOC-4: the q-quantile of lag per series, linear interpolation between
     the values at ranks floor/ceil of q x (n - 1).

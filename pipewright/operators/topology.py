@@ -95,6 +95,16 @@ def topic_metadata(topic_partitions: DataFrame, managed: DataFrame) -> DataFrame
         F.coalesce(F.size(F.min_by("replicas", "partition_id")), F.lit(1)).cast("int").alias("replication_factor"))
 
 
+def topic_list(topic_meta: DataFrame, topics: DataFrame) -> DataFrame:
+    """SRC-5: the stored topics with the partitions the log has for them; a
+    topic the log doesn't have keeps its stored figures."""
+    m = topic_meta.select(F.col("topic").alias("name"), F.col("partitions").alias("_p"),
+                          F.col("replication_factor").alias("_r"))
+    return topics.join(m, "name", "left").select(
+        "id", "name", "description", F.coalesce("_p", "partitions").cast("bigint").alias("partitions"),
+        F.coalesce("_r", "replication_factor").cast("int").alias("replication_factor"), "created_at", "updated_at")
+
+
 def topic_by_name(topic_meta: DataFrame, name: str) -> DataFrame:
     """SRC-5: one topic by name (empty when absent)."""
     return topic_meta.filter(F.col("topic") == name)

@@ -172,6 +172,11 @@ def topic_metadata(spark, sf):
     return _topic_meta(spark, sf)
 
 
+@query("topic_list")
+def topic_list(spark, sf):
+    return TP.topic_list(_topic_meta(spark, sf), FX.topics(spark, sf))
+
+
 @query("topic_by_name")
 def topic_by_name(spark, sf):
     return TP.topic_by_name(_topic_meta(spark, sf), "click")
@@ -221,14 +226,28 @@ def lag_update(spark, sf):
                     F.to_json("partitions").alias("partitions_json"))
 
 
+def _series_threshold(totals) -> int:
+    """A threshold with series on both sides and one exactly on it: the
+    greatest total that isn't over their mean."""
+    mean = totals.agg(F.avg("total_lag")).first()[0]
+    return int(totals.filter(F.col("total_lag") <= mean).agg(F.max("total_lag")).first()[0] or 0)
+
+
 @query("lag_alerts")
 def lag_alerts(spark, sf):
-    return L.lag_alerts(L.lag_total(_plag(spark, sf)), LAG_ALERT)
+    totals = L.lag_total(_plag(spark, sf))
+    return L.lag_alerts(totals, _series_threshold(totals))
+
+
+@query("alert_topics")
+def alert_topics(spark, sf):
+    return L.alert_topics(L.alert_state(_totals_series(spark, sf), READING_ALERT))
 
 
 @query("topology_alerts")
 def topology_alerts(spark, sf):
-    alerts = L.lag_alerts(L.lag_total(_plag(spark, sf)), LAG_ALERT)
+    totals = L.lag_total(_plag(spark, sf)).filter("consumer_group = 'analytics' or topic = 'click'")
+    alerts = L.lag_alerts(totals, _series_threshold(totals))
     nodes = TP.nodes(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
     return TP.with_alerts(nodes, alerts)
 
@@ -299,6 +318,11 @@ def lag_chart(spark, sf):
     return L.chart(_readings(spark, sf), NOW, minutes=10080)
 
 
+@query("lag_chart_topic")
+def lag_chart_topic(spark, sf):
+    return L.chart(_readings(spark, sf), NOW, minutes=10080, topic="view")
+
+
 @query("lag_format")
 def lag_format(spark, sf):
     r = _readings(spark, sf)
@@ -408,6 +432,13 @@ def dlq_replay_rows(spark, sf):
                        "payload", "error_type", "error_message", "producer_id", "created_at")
 
 
+@query("dlq_replay_messages")
+def dlq_replay_messages(spark, sf):
+    m = _retry(spark, sf)["messages"]
+    return m.select("replay_of", "topic", "key", "value", F.element_at("headers", "pw-producer-id").alias("h_producer_id"),
+                    F.element_at("headers", "pw-schema-id").alias("h_schema_id"))
+
+
 @query("dlq_fold")
 def dlq_fold(spark, sf):
     return D.fold(FX.dlq_actions(spark, sf))

@@ -279,6 +279,10 @@ select d.id, any_value(d.topic_name) as topic_name, any_value(d.created_at) as c
   cast(coalesce(len(arg_min(replicas, partition_id)), 1) as integer) as replication_factor
   from topic_partitions where topic in (select distinct topic_name from registered) group by topic"""
     q["topic_metadata"] = T + tm
+    q["topic_list"] = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, TOPIC_PARTITIONS, TOPICS) + f"""
+select t.id, t.name, t.description, cast(coalesce(m.partitions, t.partitions) as bigint) as partitions,
+  cast(coalesce(m.replication_factor, t.replication_factor) as integer) as replication_factor,
+  t.created_at, t.updated_at from topics t left join ({tm}) m on m.topic = t.name"""
     q["topic_by_name"] = T + f"select * from ({tm}) m where topic = 'click'"
     O = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG)
     q["latest_offsets"] = O + "select topic, partition_id, latest_offset from latest"
@@ -293,11 +297,15 @@ select d.id, any_value(d.topic_name) as topic_name, any_value(d.created_at) as c
   cast(to_json(list_sort(list(struct_pack(partition_id := partition_id, latest_offset := latest_offset,
     committed_offset := committed_offset, lag := lag)))) as varchar) as partitions_json
   from plag group by topic, consumer_group"""
-    q["lag_alerts"] = O + """select * from (select topic, consumer_group, cast(sum(lag) as bigint) as total_lag
-  from plag group by topic, consumer_group) t where total_lag > 5000"""
-    q["topology_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES, """al as (
-  select distinct topic as id from (select topic, consumer_group, sum(lag) as tl
-    from plag group by topic, consumer_group) x where tl > 5000)""") + """
+    # alerts over the greatest total that isn't over the mean: some series are over it, one is on it
+    tot = """tot as (select topic, consumer_group, cast(sum(lag) as bigint) as total_lag from plag {where}
+    group by topic, consumer_group),
+  lim as (select max(total_lag) as t from tot where total_lag <= (select avg(total_lag) from tot))"""
+    q["lag_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, tot.format(where="")) + """
+select topic, consumer_group, total_lag from tot where total_lag > (select t from lim)"""
+    q["topology_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES, tot.format(
+        where="where consumer_group = 'analytics' or topic = 'click'"), """al as (
+  select distinct topic as id from tot where total_lag > (select t from lim))""") + """
 select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_alert
   from nodes n left join al on al.id = n.id"""
 
@@ -336,6 +344,8 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
   from (select *, row_number() over (partition by topic, consumer_group order by ts_sec desc, cast(lag as varchar) desc) as rk
         from readings where ts_sec between {NOW_SEC} - 10080 * 60 and {NOW_SEC}) h where rk <= 360"""
 
+    q["lag_chart_topic"] = f"select * from ({q['lag_chart']}) c where topic = 'view'"
+
     def human(x: str) -> str:
         def tenths(unit: int) -> str:
             t = f"cast(floor(({x} + {unit // 20}) / {unit // 10}) as bigint)"
@@ -416,6 +426,10 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
   attempt, topic_name, payload, 'schema_validation' as error_type, err as error_message,
   'pw-dlq-replay' as producer_id, {NOW} as created_at
   from (select *, unnest(range(1, n + 1)) as attempt from chg where not pass) x"""
+    q["dlq_replay_messages"] = RV + """select id as replay_of, topic_name as topic,
+  sha256(concat_ws('|', id, '0', 'message')) as key, payload as value, 'pw-dlq-replay' as h_producer_id,
+  case topic_name when 'click' then 'sch-click-v1' when 'error' then 'sch-error-v1' when 'purchase' then 'sch-purchase-v1'
+    when 'view' then 'sch-view-v2' else '' end as h_schema_id from chg where pass"""
     q["dlq_fold"] = with_(ACTIONS) + """select * from (
   with recursive o as (select id, action, row_number() over (partition by id order by seq) as k from dlq_actions),
   f as (select distinct id, cast(0 as bigint) as k, 'pending' as st, cast(0 as bigint) as n from dlq_actions
@@ -451,6 +465,8 @@ select n.id, n.label, n.type, cast(to_json(case when tm.p is not null then map([
     # exactly those the final watermark (max event time - delay) has passed
     q["stream_route"] = V + """select topic, count(*) as n, route from routed group by topic, route"""
     q["stream_alert_state"] = q["alert_state"]
+    q["alert_topics"] = f"""select topic, bool_or(is_alert) as is_alert, count(*) filter (where is_alert) as alerting_groups
+  from ({q['alert_state']}) s group by topic"""
     q["stream_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic,
   count(*) as events, cast(count(*) as double) / 60.0 as rate
   from event_log group by date_trunc('minute', ts), topic
