@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewright.session import checkpoint_dir
+from pipewright.session import checkpoint_dir, remove_path
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,17 +21,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written to a new folder of the shared checkpoint directory and read again: cuts lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _recording:
+        _recording[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the folders that `saved` made for a table no longer read."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove_path(df.sparkSession, folder)
+
+
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded(into: list[str]) -> Iterator[None]:
+    """Notes the folders that `saved` makes meanwhile."""
+    _recording.append(into)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
+def swept(made: list[str], docs: DataFrame) -> None:
+    """Deletes the noted folders that `docs` doesn't read."""
+    if made:
+        read = docs.inputFiles()
+        gone = [p for p in made if not any(p.rpartition("/")[2] in f for f in read)]
+        made[:] = [p for p in made if p not in gone]
+        for path in gone:
+            remove_path(docs.sparkSession, path)
 
 
 def input_parts(df: DataFrame, least: int = 1) -> int:
