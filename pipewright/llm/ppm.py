@@ -24,6 +24,7 @@ probability is uniform, and base counts are zero. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,15 +149,15 @@ class Model:
         return np.bincount(owner, each, minlength=len(texts))
 
 
-_held: dict[int, Model] = {}
+_held: dict[str, Model] = {}
 
 
 def _model(counts) -> Model:
-    """Built once in a Python worker for each broadcast."""
-    key = counts.value["key"] if hasattr(counts, "value") else id(counts)
+    """Built once in a Python worker for each broadcast (key, counts)."""
+    key, found = counts.value
     if key not in _held:
         _held.clear()
-        _held[key] = Model((counts.value if hasattr(counts, "value") else counts)["counts"])
+        _held[key] = Model(found)
     return _held[key]
 
 
@@ -246,7 +247,7 @@ def _summed(n_tokens: int, n_kinds: int, n_ends: int):
 def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, folds: int = 7, fold: int = 2) -> DataFrame:
     """Unigram and PPM scores of every text, both learnt from documents that aren't held out."""
     spark, own = docs.sparkSession, documents(docs).withColumn("held", held_out("doc_id", folds, fold))
-    counts = spark.sparkContext.broadcast({"key": id(docs), "counts": train(own.where("not held"), order, nodes)})
+    counts = spark.sparkContext.broadcast((uuid.uuid4().hex, train(own.where("not held"), order, nodes)))
     rows = saved(own.mapInArrow(_postings(counts), _POSTINGS), "postings")
     words, blocks = rows.where("word is not null"), rows.where("word is null")
     c = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
