@@ -108,8 +108,7 @@ def parse_csv(spark, sf):
 def jsonschema_extended(spark, sf):
     """Tier-B keywords (additionalProperties, minProperties, pattern,
     min/maxLength, maximum, exclusiveMinimum, multipleOf, not/const,
-    dependencies) over every event payload. Checked by pytest against
-    hand-computed cases; rows-only at the driver."""
+    dependencies) over every event payload."""
     from ..functions.jsonschema import errors_column, strict_parse
     log = FX.event_log(spark, sf).withColumn("_v", strict_parse(F.col("payload")))
     out = errors_column(log, FX.EXTENDED_SCHEMA, F.col("_v"))
@@ -478,7 +477,7 @@ def metric_event_rate(spark, sf):
     return TP.event_rate(FX.event_log(spark, sf), 1)
 
 
-# -- streaming (rows-only checks) --------------------------------------------
+# -- streaming --------------------------------------------
 
 @query("stream_route")
 def stream_route(spark, sf):

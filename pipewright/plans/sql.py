@@ -32,7 +32,7 @@ EVENT_LOG = """event_log as (
     event_id as kafka_offset, cast(user_id as varchar) as msg_key,
     'producer-' || cast(user_id % 7 as varchar) as producer_id, ts,
     case when event_id % 97 = 0 then '{"order_id":'
-         when event_id % 20 = 0 then '{"bad_field":"this_should_not_be_here","amount":"not-a-number","created_at":12345}'
+         when event_id % 20 = 0 then '{"note":"no order here","amount":"twelve","seen":0}'
          when event_id % 33 = 0 then '{"order_id":"' || cast(event_id as varchar) || '","amount":-' || cast(value as varchar) || ',"currency":"USD"}'
          when event_id % 29 = 0 then '{"order_id":"' || cast(event_id as varchar) || '","amount":' || cast(value as varchar) || ',"currency":"JPY"}'
          else '{"order_id":"' || cast(event_id as varchar) || '","amount":' || cast(value as varchar) || ',"currency":"'

@@ -68,7 +68,7 @@ def _payload(ev: DataFrame) -> F.Column:
     v = F.col("value").cast("string")
     currency = (F.when(eid % 3 == 0, "USD").when(eid % 3 == 1, "EUR").otherwise("GBP"))
     return (F.when(eid % 97 == 0, F.lit('{"order_id":'))
-            .when(eid % 20 == 0, F.lit('{"bad_field":"this_should_not_be_here","amount":"not-a-number","created_at":12345}'))
+            .when(eid % 20 == 0, F.lit('{"note":"no order here","amount":"twelve","seen":0}'))
             .when(eid % 33 == 0, F.concat(F.lit('{"order_id":"'), eid.cast("string"), F.lit('","amount":-'), v, F.lit(',"currency":"USD"}')))
             .when(eid % 29 == 0, F.concat(F.lit('{"order_id":"'), eid.cast("string"), F.lit('","amount":'), v, F.lit(',"currency":"JPY"}')))
             .otherwise(F.concat(F.lit('{"order_id":"'), eid.cast("string"), F.lit('","amount":'), v,
