@@ -39,17 +39,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import by_bytes, documents, flat_bytes
+from pipewright.llm.common import apart, by_bytes, documents, flat_bytes
 
 LENGTH = 100
-GRAM = 32
+GRAM = 20
 #: Runs of one route above which its windows are routed one by one.
 HOT = 20_000
 #: Text bytes hashed, or sorted, at a time.
-HASH_BYTES, SORT_BYTES = 3 << 20, 8 << 20
+HASH_BYTES, SORT_BYTES = 3 << 20, 6 << 20
+#: Regions a task remembers, and their bytes, before it sends them.
+HELD, HELD_BYTES = 60_000, 12 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -108,6 +111,25 @@ def _routed(length: int, gram: int):
     return run
 
 
+def _packing(fields: list[str]):
+    """Texts as zstandard frames, for the way through a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                packed = pa.array([press(t.as_py().encode()) if t.is_valid else None for t in part["text"]], pa.binary())
+                yield pa.RecordBatch.from_arrays([packed if f == "_packed" else part[f] for f in fields], names=fields)
+
+    return run
+
+
+def unpacked(frame: pa.Scalar) -> bytes:
+    """The bytes of a text; null: empty."""
+    return zstandard.ZstdDecompressor().decompress(frame.as_py()) if frame.is_valid else b""
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -115,37 +137,45 @@ def _signed(x: int) -> int:
 def _sent(length: int):
     """Runs of each document with its text -> regions to sort, and marks of those equal to an earlier one."""
     edge = min(16, length)
+    names = ["route", "did", "start", "many", "region"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, HASH_BYTES):
-            seen: dict[bytes, list] = {}
-            marks: list[tuple[int, int, int]] = []
-
-            def meet(route: int, did: int, start: int, many: int, region: bytes) -> None:
-                had = seen.get(region)
-                if had is None:
-                    seen[region] = [route, did, start, many]
-                elif (did, start) != (had[1], had[2]):
-                    if (did, start) < (had[1], had[2]):
-                        marks.append((had[1], had[2], many))
-                        had[1], had[2] = did, start
-                    else:
-                        marks.append((did, start, many))
-
-            for did, part, text, found in zip(b["_did"].to_pylist(), b["_part"].to_pylist(), b["text"], b["_runs"]):
-                raw, high = text.as_buffer().to_pybytes(), part << 32
-                f = found.values
+        seen: dict[bytes, list] = {}  # region -> its earliest place so far
+        marks: list[tuple] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            rows = [(*v, r) for r, v in seen.items()] + marks
+            seen.clear()
+            marks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            for did, part, packed, found in zip(b["_did"].to_pylist(), b["_part"].to_pylist(), b["_packed"], b["_runs"]):
+                if not found.is_valid:
+                    continue
+                raw, high, f = unpacked(packed), part << 32, found.values
                 for route, start, many, hot in zip(*(f.field(k).to_pylist() for k in range(4))):
                     low = start & 0xFFFFFFFF
-                    if hot:
-                        for k in range(low, low + many):
-                            w = raw[k : k + length]
-                            meet(_signed(xxhash.xxh64_intdigest(w[:edge] + w[-edge:], route & 0xFFFFFFFF)), did, high | k, 1, w)
-                    else:
-                        meet(route, did, start, many, raw[low : low + many + length - 1])
-            rows = [(*v, r) for r, v in seen.items()] + [(start, did, start, many, None) for did, start, many in marks]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["route", "did", "start", "many", "region"])
+                    for at in range(low, low + many) if hot else (low,):
+                        n = 1 if hot else many
+                        region = raw[at : at + n + length - 1]
+                        had = seen.get(region)
+                        if had is None:
+                            to = _signed(xxhash.xxh64_intdigest(region[:edge] + region[-edge:], route & 0xFFFFFFFF)) if hot else route
+                            seen[region] = [to, did, high | at, n]
+                            size += len(region)
+                        elif (did, high | at) < (had[1], had[2]):
+                            marks.append((had[0], had[1], had[2], n, None))
+                            had[1], had[2] = did, high | at
+                        elif (did, high | at) != (had[1], had[2]):
+                            marks.append((had[0], did, high | at, n, None))
+                    if len(seen) + len(marks) > HELD or size > HELD_BYTES:
+                        yield flushed()
+                        size = 0
+        if seen or marks:
+            yield flushed()
 
     return run
 
@@ -341,52 +371,63 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return keyed, ["_did"] if unique else ["_did", "_part"]
 
 
-def marks(keyed: DataFrame, on: list[str], length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """The marked byte spans (_gone) of each document that has any."""
+def marks(keyed: DataFrame, packed: DataFrame, on: list[str], length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The marked byte spans (_gone) of each document that has any. packed: `keyed` with its texts as frames."""
     if not 8 <= gram <= length:
         raise ValueError("a gram has 8 to `length` bytes")
     texts = keyed if len(on) == 1 else keyed.dropDuplicates(on)
+    packed = packed if len(on) == 1 else packed.dropDuplicates(on)
     routed = texts.select("_did", "_part", "text").mapInArrow(_routed(length, gram), "route bigint, did bigint, start bigint, many int, own boolean")
     twice = routed.groupBy("route").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 or own").select("route", (F.col("n") > hot).alias("hot"))
     by = {"_did": F.col("did").alias("_did"), "_part": F.shiftright("start", 32).alias("_part")}
     again = routed.drop("own").join(twice, "route").groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("route", "start", "many", "hot")).alias("_runs"))
-    # all of `keyed`, so that this exchange of the texts is the one that `report` and `remove` read again
-    regions = texts.join(again, on).mapInArrow(_sent(length), "route bigint, did bigint, start bigint, many int, region binary")
+    # a left join, and all columns, so that this exchange of the texts is the one that `_with_marks` reads again
+    regions = packed.join(again, on, "left").mapInArrow(_sent(length), "route bigint, did bigint, start bigint, many int, region binary")
     marked = regions.repartition("route").sortWithinPartitions("route").mapInArrow(_marked(length), "did bigint, start bigint, stop bigint")
     return marked.groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
 
 
+def _with_marks(docs: DataFrame, columns: list[str], length: int, gram: int, hot: int) -> DataFrame:
+    """`columns`, each text as a frame (_packed), and its marks.
+
+    The texts cross one shuffle, which the joins with runs and with marks both read.
+    """
+    keyed, on = _keyed(docs)
+    fields = [*dict.fromkeys(["_did", "_part", *columns])]
+    kinds = dict(keyed.dtypes)
+    schema = ", ".join(f"`{f}` {kinds[f]}" for f in fields) + ", _packed binary"
+    packed = keyed.select(*fields, "text").mapInArrow(_packing([*fields, "_packed"]), schema)
+    return packed.join(marks(keyed, packed, on, length, gram, hot), on, "left")
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for text, gone in zip(b["text"], b["_gone"]):
-            raw = text.as_py().encode() if text.is_valid else b""
-            cut = spans(gone, len(raw))
-            out.append((len(raw), sum(z - a for a, z in cut), len(cut), hashlib.sha256(_cut(raw, cut)).hexdigest()))
-        cols = [*zip(*out)] if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for at in range(0, b.num_rows, 500):
+            part, out = b.slice(at, 500), []
+            for frame, gone in zip(part["_packed"], part["_gone"]):
+                raw = unpacked(frame)
+                cut = spans(gone, len(raw))
+                out.append((len(raw), sum(z - a for a, z in cut), len(cut), hashlib.sha256(_cut(raw, cut)).hexdigest()))
+            cols = [*zip(*out)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """What is removed from each document, and the SHA-256 of what stays."""
-    keyed, on = _keyed(documents(docs))
-    joined = keyed.join(marks(keyed, on, length, gram, hot), on, "left")
-    return joined.select("doc_id", "text", "_gone").mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    joined = _with_marks(documents(docs), ["doc_id"], length, gram, hot)
+    return joined.mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def _rewritten(fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, sizes = [], []
-            for text, gone in zip(b["text"], b["_gone"]):
-                value = text.as_py()
-                if value is not None and gone.is_valid:
-                    raw = value.encode()
-                    value = _cut(raw, spans(gone, len(raw))).decode("utf-8", "ignore")
-                texts.append(value)
-                sizes.append(None if value is None else len(value))
-            own = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array(sizes, pa.int64())} if "n_chars" in fields else {})
-            yield pa.RecordBatch.from_arrays([own[f] if f in own else b[f] for f in fields], names=fields)
+            for at in range(0, b.num_rows, 500):
+                part, texts = b.slice(at, 500), []
+                for frame, gone in zip(part["_packed"], part["_gone"]):
+                    raw = unpacked(frame)
+                    texts.append(_cut(raw, spans(gone, len(raw))).decode("utf-8", "ignore") if frame.is_valid else None)
+                own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+                yield pa.RecordBatch.from_arrays([own[f] if f in own else part[f] for f in fields], names=fields)
 
     return run
 
@@ -396,7 +437,11 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
 
     A cut inside a character leaves part of its bytes; they are dropped, so texts stay valid UTF-8.
     """
-    keyed, on = _keyed(docs)
-    joined = keyed.join(marks(keyed, on, length, gram, hot), on, "left")
-    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*docs.columns, "_gone").mapInArrow(_rewritten(docs.columns), schema)
+    return apart(docs, lambda d: _removed(d, length, gram, hot))
+
+
+def _removed(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    joined = _with_marks(docs, others, length, gram, hot)
+    schema = ", ".join(f"`{f.name}` {dict(text='string', n_chars='bigint').get(f.name, f.dataType.simpleString())}" for f in docs.schema.fields)
+    return joined.mapInArrow(_rewritten(docs.columns), schema)
