@@ -23,20 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pipewright.llm.common import documents
-from pipewright.llm.tokens import encoder
+from pipewright.llm.common import by_bytes, documents, flat_bytes
+from pipewright.llm.tokens import BATCH_BYTES, encoder
 
 RULES = ("start", "end", "majority")
 COUNTS = "doc_id bigint, section bigint, start bigint, n_chars bigint, n_tokens bigint, n_crossing bigint, doc_tokens bigint"
 
 
-def sections(text: str) -> np.ndarray:
-    """Start of each line, then the end of the text."""
-    starts, at = [0], text.find("\n") + 1
-    while 0 < at < len(text):
-        starts.append(at)
-        at = text.find("\n", at) + 1
-    return np.array([*starts, len(text)], np.int64)
+def sections(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(start character of each line over texts laid end to end, start character of each text and the end)."""
+    data, at = flat_bytes(texts)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    after = np.flatnonzero(data == 10) + 1
+    after = after[~np.isin(after, at[1:])]
+    return np.sort(before[np.concatenate([at[:-1][np.diff(at) > 0], after])]), before[at]
 
 
 def allocated(spans: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,21 +61,24 @@ def allocated(spans: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndar
 
 
 def _counted(tokenizer: str, rule: str):
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(tokenizer), [c.split()[0] for c in COUNTS.split(", ")]
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part, out = b.slice(at, 1000), []
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    if not text:
-                        out.append(([doc_id], [-1], [0], [0], [0], [0], [0]))
-                        continue
-                    spans, bounds = enc.offsets(text), sections(text)
-                    of, crossing = allocated(spans, bounds, rule)
-                    n = len(bounds) - 1
-                    out.append(([doc_id] * n, np.arange(n), bounds[:-1], np.diff(bounds), np.bincount(of, minlength=n), np.bincount(of, crossing, minlength=n).astype(np.int64), np.full(n, len(spans))))
-                columns = [pa.array([x for o in out for x in o[0]], pa.int64()), *[pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(1, 7)]] if out else [pa.array([], pa.int64())] * 7
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        enc = encoder(tokenizer)
+        for b in by_bytes(batches, BATCH_BYTES // 2):
+            spans, tokens = enc.offsets(b["text"])
+            starts, at = sections(b["text"])
+            owner = np.searchsorted(at[:-1], starts, "right") - 1  # the text of each section
+            bounds, many = np.append(starts, at[-1]), np.diff(tokens)
+            n, columns = len(starts), []
+            if n:
+                of, crossing = allocated(spans + np.repeat(at[:-1], many)[:, None], bounds, rule)
+                first = np.searchsorted(starts, at[owner])
+                columns = [np.arange(n) - first, starts - at[owner], np.diff(bounds), np.bincount(of, minlength=n), np.bincount(of[crossing], minlength=n), many[owner]]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(owner)), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
+            none = np.flatnonzero(np.diff(at) == 0)
+            zero = pa.array(np.zeros(len(none), np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(none)), pa.array(np.full(len(none), -1)), *[zero] * 5], names=names)
 
     return run
 

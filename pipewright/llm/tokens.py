@@ -45,7 +45,8 @@ class Encoder:
         self.remembered = remembered
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.spans: dict[str, np.ndarray] = {}
+        self.spans: dict[str, bytes] = {}
+        self.piece_spans: dict[str, bytes] = {}
         self.lane = None
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         if spec["model"]["type"] == "BPE" and not spec.get("post_processor"):
@@ -102,8 +103,8 @@ class Encoder:
             last, counts[i] = bounds[i], len(e.ids)
         return np.concatenate([*parts, ids[last:]]), np.concatenate([[0], np.cumsum(counts)])
 
-    def _laid(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(texts)
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(first chunk of each text and the end, code of each chunk, the distinct chunks)."""
         if self.lane == "word":
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
@@ -114,6 +115,10 @@ class Encoder:
             first, again = np.unique(codes[offsets[:-1]], return_inverse=True)
             codes[offsets[:-1]] = len(words) + again
             words = [" " + w for w in words] + [words[i] for i in first]
+        return offsets, codes, words
+
+    def _laid(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets, codes, words = self._coded(texts)
         got = self._of_chunks(words)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
         flat, begin = np.frombuffer(b"".join(got), self.dtype), np.cumsum(size) - size
@@ -122,22 +127,59 @@ class Encoder:
         where = np.repeat(begin[codes] - ends[:-1], many) + np.arange(ends[-1])
         return flat[where], ends[offsets]
 
-    def offsets(self, text: str | None) -> np.ndarray:
-        """(tokens, 2): start and end character of each token of a text, as the library gives them."""
-        if not text:
-            return np.zeros((0, 2), np.int64)
-        if self.lane != "space" or re.search(self.odd, text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+    def _spans_of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """(start, end) of each token of some distinct chunks, as little 32-bit integers."""
         if len(self.spans) > self.remembered:
             self.spans = {}
-        first, *rest = text.split(" ")
-        chunks, known = [first, *[" " + x for x in rest]], self.spans
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[c] = np.array(e.offsets, np.int32).reshape(-1, 2)
-        found = [known[c] for c in chunks]
-        at = np.cumsum([0, *map(len, chunks[:-1])])
-        return np.concatenate(found) + np.repeat(at, [len(x) for x in found])[:, None]
+        if len(self.piece_spans) > self.remembered:
+            self.piece_spans = {}
+        known, have, cut = self.spans, self.piece_spans, _PIECES[self.lane].findall
+        if new := [c for c in chunks if c not in known]:
+            parts = [cut(c) for c in new]
+            if ask := [*dict.fromkeys(p for q in parts for p in q if p not in have)]:
+                got = self.tokenizer.encode_batch([ask], is_pretokenized=True, add_special_tokens=False)[0]
+                ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(ask))) * 8
+                raw, at = np.array(got.offsets, "<i4").tobytes(), 0
+                for p, end in zip(ask, ends.tolist()):
+                    have[p] = raw[at:end]
+                    at = end
+            for c, q in zip(new, parts):
+                if len(q) == 1:
+                    known[c] = have[q[0]]
+                    continue
+                laid, at = [], 0
+                for p in q:
+                    laid.append((np.frombuffer(have[p], "<i4") + np.int32(at)).tobytes() if at else have[p])
+                    at += len(p)
+                known[c] = b"".join(laid)
+        return [known[c] for c in chunks]
+
+    def offsets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """((tokens, 2): start and end character of each token in its text, as the library gives them; where each text's begin)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        odd = np.ones(n, bool) if self.lane != "space" else pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        spans, bounds = np.zeros((0, 2), np.int64), np.zeros(n + 1, np.int64)
+        if not odd.all():
+            firsts, codes, words = self._coded(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+            got = self._spans_of_chunks(words)
+            size = np.fromiter(map(len, got), np.int64, len(got)) // 8
+            flat, begin = np.frombuffer(b"".join(got), "<i4").reshape(-1, 2), np.cumsum(size) - size
+            many = size[codes]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            length = np.fromiter(map(len, words), np.int64, len(words))[codes]
+            start = np.cumsum(length) - length
+            start -= np.repeat(start[firsts[:-1]], np.diff(firsts))  # of each chunk in its text
+            spans = flat[np.repeat(begin[codes] - ends[:-1], many) + np.arange(ends[-1])] + np.repeat(start, many)[:, None]
+            bounds = ends[firsts]
+        if not odd.any():
+            return spans, bounds
+        parts, last, counts = [], 0, np.diff(bounds)
+        at = np.flatnonzero(odd)
+        for i, e in zip(at.tolist(), self.tokenizer.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)):
+            parts += [spans[last : bounds[i]], np.array(e.offsets, np.int64).reshape(-1, 2)]
+            last, counts[i] = bounds[i], len(e.offsets)
+        return np.concatenate([*parts, spans[last:]]), np.concatenate([[0], np.cumsum(counts)])
 
 
 @lru_cache(maxsize=2)
