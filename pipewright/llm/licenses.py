@@ -79,9 +79,9 @@ def bins(klass: int, least_shingles: int) -> int:
     return n
 
 
-def _signature(hashes: Column, n: int) -> Column:
+def _signature(hashes: Column, n: Column) -> Column:
     """(bin, least hash) of each bin that has any."""
-    pairs = F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.struct(F.pmod(h, F.lit(n)).alias("bin"), h.alias("value"))))
+    pairs = F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.struct(F.pmod(h, n).alias("bin"), h.alias("value"))))
     return _let(pairs, lambda p: F.filter(p, lambda e, k: ~F.coalesce(F.get(p, k - 1).bin == e.bin, F.lit(False))))
 
 
@@ -95,11 +95,7 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     rows = [(k, v, size_class(sizes[k]), bins(size_class(sizes[k]), by[size_class(sizes[k])])) for k, v in texts.items() if sizes[k]]
     table = spark.createDataFrame(rows, "license string, text string, class int, bins int")
     table = table.withColumn("own", F.array_distinct(shingles(words(F.col("text")))))
-    found = None
-    for n in sorted({r[3] for r in rows}):
-        part = table.where(F.col("bins") == n).withColumn("signature", _signature(F.col("own"), n))
-        found = part if found is None else found.unionByName(part)
-    return found.select("license", "class", "bins", "own", "signature") if found is not None else table.withColumn("signature", F.lit(None).cast("array<struct<bin: bigint, value: bigint>>")).drop("text")
+    return table.select("license", "class", "bins", "own", _signature(F.col("own"), F.col("bins")).alias("signature"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
@@ -112,13 +108,11 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     if not kinds:
         return own.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("bigint").alias("first_word"), F.lit(0).cast("bigint").alias("n_windows"))
     held = own.where(F.arrays_overlap("hashes", F.array(*(F.lit(v) for v in values))))
-    windows = None
-    for klass, n in sorted({(t["class"], t.bins) for t in kinds}):
-        starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(klass))
-        part = held.select("doc_id", "hashes", F.explode(starts).alias("start"), F.lit(klass).alias("class"))
-        part = part.withColumn("hashes", F.expr(f"slice(hashes, start + 1, {max(1, 2 * klass - WORDS + 1)})"))
-        part = part.withColumn("band", F.explode(_signature(F.col("hashes"), n)))
-        windows = part if windows is None else windows.unionByName(part)
+    classes = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(n).alias("bins")) for c, n in sorted({(t["class"], t.bins) for t in kinds})))
+    starts = lambda c: F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), c["class"])
+    each = F.flatten(F.transform(classes, lambda c: F.transform(starts(c), lambda s: F.struct(c["class"].alias("class"), c["bins"].alias("bins"), s.alias("start")))))
+    windows = held.select("doc_id", "hashes", F.explode(each).alias("w")).select("doc_id", "w.*", F.expr(f"slice(hashes, w.start + 1, 2 * w.class - {WORDS - 1})").alias("hashes"))
+    windows = windows.withColumn("band", F.explode(_signature(F.col("hashes"), F.col("bins"))))
     bands = F.broadcast(made.select("license", "class", "own", F.explode("signature").alias("band")))  # a few for each template
     pairs = windows.join(bands, ["class", "band"])
     share = F.size(F.array_intersect("own", "hashes")) / F.size("own")
