@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import by_bytes, compact, documents, flat_bytes, held_out, saved
+from pipewright.llm.common import by_bytes, compact, documents, dropped, flat_bytes, held_out, saved
 
 ORDER, NODES = 5, 32_768
 END, SYMBOLS = 256, 257
@@ -76,11 +76,14 @@ def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple
     for o in range(order, -1, -1):
         mask = F.lit((1 << 8 * o) - 1).cast("bigint")
         if o < order:
-            grams = grams.groupBy(F.col("context").bitwiseAND(mask).alias("context"), "symbol").agg(F.sum("n").alias("n"))
+            longer = grams
+            grams = saved(longer.groupBy(F.col("context").bitwiseAND(mask).alias("context"), "symbol").agg(F.sum("n").alias("n")), "grams")
+            dropped(longer)
         kept = grams.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(nodes).select("context")
         t = grams.join(kept, "context").toArrow()
         t = t.sort_by([("context", "ascending"), ("symbol", "ascending")])
         out.append((t["context"].to_numpy(), t["symbol"].to_numpy(), t["n"].to_numpy()))
+    dropped(grams)
     return out[::-1]
 
 
@@ -215,13 +218,10 @@ def _summed(n_tokens: int, n_kinds: int, n_ends: int):
             data, ends = flat_bytes(b["postings"])
             pairs, many = np.frombuffer(data.tobytes(), "<u2").reshape(-1, 2), np.diff(ends) // 4
             row = np.repeat(np.arange(b.num_rows), many)
-            by = np.argsort(block, kind="stable")
-            for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1) if len(by) else ():
-                k = int(block[own[0]])
-                mine = np.zeros(b.num_rows, bool)
-                mine[own] = True
-                at = np.flatnonzero(mine[row])
+            by = np.argsort(block[row], kind="stable")
+            for at in np.split(by, np.flatnonzero(np.diff(block[row][by])) + 1):
                 if len(at):
+                    k = int(block[row[at[0]]])
                     tf, doc, cc = pairs[at, 1].astype(np.float64), pairs[at, 0], c[row[at]]
                     for sums, value in ((logs, tf * np.log10(cc + 1.0)), (known, tf * (cc > 0))):
                         new = np.bincount(doc, value)
