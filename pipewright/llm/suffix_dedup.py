@@ -8,7 +8,8 @@ A byte is removed if a `length`-byte string that covers it also starts earlier
    windows mostly share theirs, so a document gives one row for a run of windows
    (about one for 35 bytes): (route, doc, start, windows). Routes that occur once are
    dropped by an aggregation and a join, unless the run repeats itself.
-2. *Regions.* The runs left meet their texts. A run's region is the bytes its
+2. *Regions.* The runs left meet their texts. A text that equals one of an earlier
+   document is marked whole: all its windows start there. Of the others, a run's region is the bytes its
    windows cover. Regions equal to an earlier one of the same batch are marked
    at once and not sent; the others go to the task of their route. A
    route of over HOT runs is split: its windows go one by one, by the route and
@@ -152,9 +153,12 @@ def _sent(length: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for b in batches:
-            for did, part, packed, found in zip(b["_did"].to_pylist(), b["_part"].to_pylist(), b["_packed"], b["_runs"]):
+            for did, part, packed, found, copy in zip(b["_did"].to_pylist(), b["_part"].to_pylist(), b["_packed"], b["_runs"], b["_copy"].to_pylist()):
                 if not found.is_valid:
                     continue
+                if copy:
+                    marks.append((did, did, part << 32, zstandard.frame_content_size(packed.as_py()) - length + 1, None))
+                    continue
                 raw, high, f = unpacked(packed), part << 32, found.values
                 for route, start, many, hot in zip(*(f.field(k).to_pylist() for k in range(4))):
                     low = start & 0xFFFFFFFF
@@ -381,8 +385,12 @@ def marks(keyed: DataFrame, packed: DataFrame, on: list[str], length: int = LENG
     twice = routed.groupBy("route").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 or own").select("route", (F.col("n") > hot).alias("hot"))
     by = {"_did": F.col("did").alias("_did"), "_part": F.shiftright("start", 32).alias("_part")}
     again = routed.drop("own").join(twice, "route").groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("route", "start", "many", "hot")).alias("_runs"))
+    row = F.struct("_did", "_part")
+    named = texts.select("_did", "_part", F.sha2(F.col("text").cast("string"), 256).alias("sha"))
+    first = named.groupBy("sha").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    copies = named.join(first, "sha").where(row != F.col("first")).select(*on, F.lit(True).alias("_copy"))
     # a left join, and all columns, so that this exchange of the texts is the one that `_with_marks` reads again
-    regions = packed.join(again, on, "left").mapInArrow(_sent(length), "route bigint, did bigint, start bigint, many int, region binary")
+    regions = packed.join(again, on, "left").join(copies, on, "left").mapInArrow(_sent(length), "route bigint, did bigint, start bigint, many int, region binary")
     marked = regions.repartition("route").sortWithinPartitions("route").mapInArrow(_marked(length), "did bigint, start bigint, stop bigint")
     return marked.groupBy(*(by[k] for k in on)).agg(F.collect_list(F.struct("start", "stop")).alias("_gone"))
 
