@@ -193,16 +193,21 @@ def _postings(counts):
                 posts = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed.tobytes())])
                 known = np.bincount(codes, train[owner].astype(np.float64), minlength=len(coded.dictionary)).astype(np.int64)
                 w = len(coded.dictionary)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(known), pa.array(np.full(w, block)), posts, pa.nulls(w, pa.list_(pa.int64())), pa.nulls(w, pa.list_(pa.bool_())), pa.nulls(w, pa.list_(pa.int64())), pa.nulls(w, pa.list_(pa.float64()))], names=_POSTING)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(known), pa.array(np.full(w, block)), posts], names=_POSTING)
                 tokens = np.bincount(owner, minlength=n) + 1
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([int(tokens[train].sum())]), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([b["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([(~train).tolist()], pa.list_(pa.bool_())), pa.array([tokens], pa.list_(pa.int64())), pa.array([scores], pa.list_(pa.float64()))], names=_POSTING)
+                own = np.zeros(n, _DOCUMENT)
+                own["id"], own["null"] = b["doc_id"].fill_null(0).to_numpy(), b["doc_id"].is_null().to_numpy(zero_copy_only=False)
+                own["held"], own["tokens"], own["score"] = ~train, tokens, scores
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([int(tokens[train].sum())]), pa.array([block]), pa.array([own.tobytes()], pa.binary())], names=_POSTING)
                 block += 1
 
     return run
 
 
-_POSTING = ["word", "n", "block", "postings", "doc_ids", "held", "tokens", "scores"]
-_POSTINGS = "word string, n bigint, block bigint, postings binary, doc_ids array<bigint>, held array<boolean>, tokens array<bigint>, scores array<double>"
+_POSTING = ["word", "n", "block", "postings"]
+_POSTINGS = "word string, n bigint, block bigint, postings binary"
+#: What a block's own row (null word) holds of each of its documents.
+_DOCUMENT = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("score", "<f8")])
 
 
 def _summed(n_tokens: int, n_kinds: int, n_ends: int):
@@ -212,8 +217,12 @@ def _summed(n_tokens: int, n_kinds: int, n_ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs: dict[int, np.ndarray] = {}
         known: dict[int, np.ndarray] = {}
-        docs: dict[int, tuple] = {}
+        docs: dict[int, np.ndarray] = {}
         for b in batches:
+            own = pc.less(b["c"], 0)
+            for k, held in zip(b["block"].filter(own).to_pylist(), b["postings"].filter(own).to_pylist()):
+                docs[k] = np.frombuffer(held, _DOCUMENT)
+            b = b.filter(pc.invert(own))
             block, c = b["block"].to_numpy(), b["c"].to_numpy(zero_copy_only=False)
             data, ends = flat_bytes(b["postings"])
             pairs, many = np.frombuffer(data.tobytes(), "<u2").reshape(-1, 2), np.diff(ends) // 4
@@ -233,13 +242,11 @@ def _summed(n_tokens: int, n_kinds: int, n_ends: int):
                                 old, new = new, old
                             old[: len(new)] += new
                             sums[k] = old
-            for r in np.flatnonzero(b["doc_ids"].is_valid().to_numpy(zero_copy_only=False)):
-                docs[int(block[r])] = tuple(b[f][r].values for f in ("doc_ids", "held", "tokens", "scores"))
-        for k, (ids, held, tokens, scores) in docs.items():
-            n, count = len(ids), tokens.to_numpy()
+        for k, own in docs.items():
+            n, count = len(own), own["tokens"]
             total = [np.pad(s[k], (0, n - len(s[k]))) if k in s else np.zeros(n) for s in (logs, known)]
             base = total[0] + np.log10(n_ends + 1.0) - count * spread
-            yield pa.RecordBatch.from_arrays([ids, held, tokens, pa.array((total[1] + (n_ends > 0)).astype(np.int64)), pa.array(np.full(n, n_tokens)), pa.array(base), scores], names=[f.split()[0] for f in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(own["id"].copy(), mask=own["null"]), pa.array(own["held"]), pa.array(count.copy()), pa.array((total[1] + (n_ends > 0)).astype(np.int64)), pa.array(np.full(n, n_tokens)), pa.array(base), pa.array(own["score"].copy())], names=[f.split()[0] for f in RESULT.split(", ")])
 
     return run
 
@@ -254,6 +261,6 @@ def score(docs: DataFrame, order: int = ORDER, nodes: int = NODES, folds: int =
     kinds = c.where("c > 0").count()
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
     ends = own.where("not held").count()
-    joined = words.select("word", "block", "postings").join(c, "word").select("block", "c", "postings", F.lit(None).cast("array<bigint>").alias("doc_ids"), F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast("array<bigint>").alias("tokens"), F.lit(None).cast("array<double>").alias("scores"))
-    whole = joined.unionByName(blocks.select("block", F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("binary").alias("postings"), "doc_ids", "held", "tokens", "scores"))
+    joined = words.select("word", "block", "postings").join(c, "word").select("block", "c", "postings")
+    whole = joined.unionByName(blocks.select("block", F.lit(-1).cast("bigint").alias("c"), "postings"))
     return whole.repartition("block").mapInArrow(_summed(tokens, kinds + (ends > 0), ends), RESULT)
