@@ -167,6 +167,26 @@ def test_trie_scores_like_dictionaries(spark, order):
     assert np.allclose(got, [slow_ppm(train, t, order) for t in probe], atol=1e-3)
 
 
+@pytest.mark.parametrize("order", [0, 2, 3, 5])
+def test_score_keeps_every_context(spark, monkeypatch, order):
+    """More contexts than the 32,768 an order once kept, each seen once or twice."""
+    monkeypatch.setattr(ppm, "BLOCK_DOCS", 7)
+    rng = random.Random(12)
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(3000)) for _ in range(16)]
+    rows = [(i, t) for i, t in enumerate(rare)] + [(100, rare[0][:900] + rare[1][:50]), (None, rare[2][7:90]), (101, None), (102, ""), (102, "Zebra 日"), (103, rare[3])]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [t for i, t in rows if not held(i)]
+    assert order < 5 or len({t[k : k + 5] for t in train for k in range(len(t or "") - 4)}) > 32_768
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in ppm.score(df, order).collect())
+    want = sorted((str(i), slow_ppm(train, t, order)) for i, t in rows) if order < 5 else None
+    if want is None:
+        model = ppm.Model(ppm.train(spark.createDataFrame([(1, t) for t in train], "doc_id bigint, text string"), order))
+        want = sorted(zip((str(i) for i, _ in rows), model.score(pa.array([t for _, t in rows], pa.string()))))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5, atol=1e-3)
+
+
 def test_trie_probabilities_add_up(spark):
     model = ppm.Model(ppm.train(docs(spark), 3, nodes=50))
     p = 10.0 ** model.logp.astype(np.float64)
