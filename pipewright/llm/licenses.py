@@ -2,9 +2,10 @@
 
 Texts and templates are lowered (A-Z), punctuation counts as space, and five
 consecutive words make a shingle (a text of fewer words is one shingle),
-hashed to 64 bits. A template belongs to the size class of the least power of two that is
-not less than its words. For class c a text is cut to windows of 2c words,
-one each c words, so every stretch of a template's length lies whole in one.
+hashed to 64 bits. A match may be longer than its template, as words put between cost only the
+shingles they cut. A template belongs to the size class of the least power of two that is
+not less than twice its words. For class c a text is cut to windows of 2c words,
+one each c words, so every stretch of up to twice a template's words lies whole in one.
 
 A window's signature is the least hash in each of `bins(...)` bins of the
 hashes (one-permutation MinHash), each bin a band of one row. A template of s shingles
@@ -68,7 +69,7 @@ def _let(value: Column, body) -> Column:
 
 
 def size_class(n_words: int) -> int:
-    return max(8, 1 << (n_words - 1).bit_length())
+    return max(8, 1 << (2 * n_words - 1).bit_length())
 
 
 def bins(klass: int, least_shingles: int) -> int:

@@ -233,6 +233,23 @@ def test_licenses_like_brute_force(spark):
     assert got == brute_licenses(rows, licenses.TEMPLATES)
 
 
+def test_licenses_like_a_window_at_every_word(spark):
+    """Words put into a template, at every place of the windows: whatever a window of twice its words holds is found."""
+    rows, want = [], set()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    plain = lambda t: re.sub("[^a-z0-9 ]", " ", t.lower()).split()
+    for k in ("Apache-2.0", "GPL"):
+        w = plain(licenses.TEMPLATES[k])
+        for more in (10, 15):
+            for start in range(64):
+                text = [f"before{i}" for i in range(start)] + w[:15] + [f"put{i}" for i in range(more)] + w[15:] + ["after"] * 40
+                rows.append((len(rows), " ".join(text)))
+                if max(len(shingles(w) & shingles(text[a : a + 2 * len(w)])) for a in range(len(text))) >= 0.8 * len(shingles(w)):
+                    want.add((rows[-1][0], k))
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert len(want) == len(rows) and want <= got
+
+
 def test_licenses_of_odd_tables(spark):
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(docs(spark), {}).count() == 0
