@@ -2,8 +2,8 @@
 
 Not here, and tested against brute force instead: packing, token-id output and
 token counts (byte-pair merges), the quality classifier and the quality rules
-(models trained by the query), LM scoring (its trie's score), SimHash (XXH64)
-and the pipeline.
+(models trained by the query), LM scoring (its trie's score), SimHash (XXH64),
+toxicity (compressed lengths) and the pipeline.
 """
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,4 +42,42 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(c.n_hit, 0)
   coalesce(c.n_hit, 0) > 0 as contaminated
 from d left join covered c using (doc_id) left join items i using (doc_id)"""
 
-QUERIES = {"op4_suffix_array_dedup": SUFFIX_DEDUP, "op7_benchmark_decontamination": DECONTAMINATION}
+_WHOLE = """coalesce(len(embedding) = 64 and not list_contains(list_transform(embedding, lambda c: c is null or isnan(c) or isinf(c)), true), false)"""
+_INTEGERS = "list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint))"
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    near = """select vec_id, x, min(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {k} + c) as m
+    from v, c{r} group by vec_id, x"""
+    steps = [
+        f"v as materialized (select vec_id, {_INTEGERS} as x from embeddings where {_WHOLE})",
+        f"c0 as materialized (select row_number() over (order by h) - 1 as c, x as y from (select sha256('2:' || vec_id) as h, x from v order by h limit {k}))",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} as materialized ({near.format(k=k, r=r)})",
+            f"""m{r} as (select c, list(cast(floor(t / n) as bigint) order by i) as y from (select m % {k} as c, i, cast(sum(x[i]) as double) as t, count(*) as n
+    from a{r}, unnest(range(1, 65)) as u(i) group by all) group by c)""",
+            f"c{r + 1} as materialized (select c{r}.c, coalesce(m{r}.y, c{r}.y) as y from c{r} left join m{r} using (c))",
+        ]
+    return f"""with {", ".join(steps)}, a as ({near.format(k=k, r=rounds)}),
+f as (select vec_id, cast(m % {k} as int) as cluster, cast(m // {k} as bigint) as distance from a)
+select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+  cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(y, ',')) as centroid_sha256
+from f join c{rounds} on cluster = c"""
+
+
+HARD_NEGATIVES = f"""
+with e as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_INTEGERS} as x
+  from embeddings where label is not null and {_WHOLE}),
+s as materialized (select a.vec_id as anchor_id, e.vec_id as id, e.label = a.label as same,
+    cast(list_sum(list_transform(list_zip(a.x, e.x), lambda p: p[1] * p[2])) as bigint) as score
+  from e a, e where a.vec_id % 50 = 0 and e.vec_id <> a.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank,
+    id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
+QUERIES = {"op4_suffix_array_dedup": SUFFIX_DEDUP, "op7_benchmark_decontamination": DECONTAMINATION, "op12_centroid_clustering": _clustering(), "op13_hard_negative_mining": HARD_NEGATIVES}
