@@ -3,7 +3,8 @@
 File format. One folder with three Parquet tables, all written by Spark:
 
 - ``dictionary``: one row (dict_hash, dictionary): a zstandard dictionary trained
-  on serialized id arrays of a bounded sample of documents;
+  on the serialized id arrays of a bounded sample of whole documents, cut into pieces
+  (empty if they make under 16 pieces or zstandard finds too little in them);
 - ``blocks``: one row for each block of consecutive documents of a shard: shard,
   block, dict_hash, payload (the documents' zstandard frames laid end to end)
   and, beside it, the offset index: for each document its doc_id, the place of
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from pipewright.llm.common import by_bytes, documents, input_parts, sampled
 from pipewright.llm.tokens import BATCH_BYTES, encoder
 
-#: Documents the dictionary is trained on, and the ids taken of each (bounds of the fit).
-SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1_000, 2_000, 64 << 10
+#: Documents the dictionary is trained on (the bound of the fit), and the ids in a piece of them.
+SAMPLE_DOCS, PIECE_IDS, DICT_BYTES = 1_000, 2_000, 64 << 10
 BLOCK_BYTES = 1 << 20
 BLOCKS = "shard int, block int, dict_hash string, width int, payload binary, doc_ids array<bigint>, at array<int>, sizes array<int>, counts array<bigint>, starts array<bigint>"
 
@@ -49,7 +50,7 @@ def _sampled(tokenizer: str, end_id: int):
         enc, samples = encoder(tokenizer), []
         for b in by_bytes(batches, BATCH_BYTES):
             ids, at = enc.encode(b["text"])
-            samples += [ids[a : min(z, a + SAMPLE_IDS)].tobytes() for a, z in zip(at, at[1:]) if z > a]
+            samples += [ids[p : min(z, p + PIECE_IDS)].tobytes() for a, z in zip(at.tolist(), at[1:].tolist()) for p in range(a, z, PIECE_IDS)]
         trained = b""
         if len(samples) >= 16:
             try:

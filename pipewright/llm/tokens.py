@@ -2,8 +2,10 @@
 
 A byte-level or word-level BPE never merges across the boundaries its
 pre-tokenizer cuts, so the ids of a text are the ids of its pieces laid end to
-end. `Encoder` cuts a batch of texts at spaces with Arrow, asks the library
-once for each piece it hasn't met and lays the answers end to end with numpy.
+end. `Encoder` cuts a batch of texts at spaces with Arrow, cuts the distinct
+chunks into pieces, asks the library once for each piece it doesn't remember and
+lays the answers end to end with numpy. What is remembered are Arrow strings and
+flat arrays; when there are too many, the half used last stays.
 A text with characters or spacing for which this cut isn't known to be the
 tokenizer's own goes to the library whole, so every text gets the library's
 ids.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,17 +26,60 @@ import pyarrow.compute as pc
 #: Characters whose class (letter, digit, space, other) every regex engine agrees on.
 _SAFE = r"\n\x20-\x7e¡-©«-±´¶-¸»¿-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces of a chunk: fixed patterns of the two published vocabularies, over safe characters.
+#: Pieces of a chunk without line ends: fixed patterns of the two published vocabularies, over safe characters.
 _PIECES = {
-    "space": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
-    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+", re.IGNORECASE),
+    "space": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+",
+    "word": rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+",
 }
-#: Pieces and chunks remembered by one Python worker (about 150 bytes each).
-REMEMBERED = 500_000
+#: Line ends keep the last of them apart if a word follows, which takes a look ahead.
+_LINES = re.compile(_PIECES["space"] + r"|\s+(?!\S)|\s+")
+#: Stands between pieces the library is asked for at once: no piece holds its token.
+_BETWEEN = {"space": "\n", "word": " 7 "}
+_ASKED = 2_000
+#: Pieces remembered by one Python worker (about 50 bytes each).
+REMEMBERED = 1_000_000
 #: Text bytes encoded at a time.
 BATCH_BYTES = 12 << 20
 
 
+class Memory:
+    """Answers for pieces: rows of numbers laid end to end."""
+
+    def __init__(self, ask: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], empty: np.ndarray, most: int):
+        self.ask, self.most, self.now = ask, most, 0
+        self.pieces = pa.array([], pa.large_string())
+        self.flat, self.size, self.used = empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(answers for distinct pieces laid end to end, rows of each)."""
+        self.now += 1
+        at = pc.index_in(pieces, value_set=self.pieces)
+        if at.null_count:
+            new = pieces.filter(pc.is_null(at))
+            flat, size = self.ask(new.to_pylist())
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        at = np.asarray(at).astype(np.int64)
+        self.used[at] = self.now
+        answer = gathered(self.flat, np.cumsum(self.size) - self.size, self.size, at)
+        if len(self.pieces) > self.most:
+            late = np.sort(np.argsort(-self.used, kind="stable")[: max(self.most // 2, 1)])
+            self.flat = gathered(self.flat, np.cumsum(self.size) - self.size, self.size, late)[0]
+            self.pieces, self.size, self.used = self.pieces.take(pa.array(late)), self.size[late], self.used[late]
+        return answer
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs number `at` of `flat` laid end to end, the size of each)."""
+    many = size[at]
+    ends = np.cumsum(many)
+    where = np.repeat(begin[at] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[where], many
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,11 +88,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.remembered = remembered
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] = {}
-        self.piece_spans: dict[str, bytes] = {}
+        self.ids = Memory(self._ask, np.zeros(0, self.dtype), remembered)
+        self.spans = Memory(self._ask_spans, np.zeros((0, 2), "<i4"), remembered)
         self.lane = None
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         if spec["model"]["type"] == "BPE" and not spec.get("post_processor"):
@@ -57,32 +100,41 @@ class Encoder:
         special = "".join("|" + re.escape(t["content"]) for t in spec.get("added_tokens") or [])
         # in the byte-level lane a space must be followed by a word
         self.odd = f"[^{_SAFE}]{special}" + ("| [ \\n]| $" if self.lane == "space" else "")
+        self.between = self.tokenizer.encode(_BETWEEN[self.lane], add_special_tokens=False).ids if self.lane else []
+
+    def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of some pieces: many to a text, told apart by the token between them."""
+        mark = _BETWEEN[self.lane]
+        bare = mark.strip(" ")
+        alone = np.fromiter((bare in p for p in pieces), bool, len(pieces))
+        if len(self.between) != 1 or alone.all():
+            return self._ask_listed(pieces)
+        if alone.any():
+            return self._ask_apart(pieces, alone)
+        texts = [mark.join(pieces[i : i + _ASKED]) for i in range(0, len(pieces), _ASKED)]
+        got = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.append(g, self.between[0]) for g in got])
+        ends = np.flatnonzero(flat == self.between[0])
+        if len(ends) != len(pieces):
+            return self._ask_listed(pieces)
+        return np.delete(flat, ends).astype(self.dtype), np.diff(ends, prepend=-1) - 1
+
+    def _ask_apart(self, pieces: list[str], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that hold the mark are asked for as a list."""
+        a, many_a = self._ask_listed([p for p, x in zip(pieces, alone) if x])
+        b, many_b = self._ask([p for p, x in zip(pieces, alone) if not x])
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])] = np.arange(len(pieces))
+        size = np.concatenate([many_a, many_b])
+        return gathered(np.concatenate([a, b]), np.cumsum(size) - size, size, order)
+
+    def _ask_listed(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.tokenizer.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        return np.array(got.ids, self.dtype), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
 
-    def _ask(self, pieces: list[str]) -> None:
-        """The library's ids of pieces not met before, in one call."""
-        if not pieces:
-            return
+    def _ask_spans(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
-        ids, ends = np.array(got.ids, self.dtype), np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces)))
-        raw, at, size = ids.tobytes(), 0, self.dtype.itemsize
-        for p, end in zip(pieces, ends.tolist()):
-            self.pieces[p] = raw[at : end * size]
-            at = end * size
-
-    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each of some distinct chunks."""
-        if len(self.chunks) > self.remembered:
-            self.chunks = {}
-        if len(self.pieces) > self.remembered:
-            self.pieces = {}
-        known, cut = self.chunks, _PIECES[self.lane].findall
-        if new := [c for c in chunks if c not in known]:
-            parts = [cut(c) for c in new]
-            have = self.pieces
-            self._ask([*dict.fromkeys(p for q in parts for p in q if p not in have)])
-            for c, q in zip(new, parts):
-                known[c] = have[q[0]] if len(q) == 1 else b"".join([have[p] for p in q])
-        return [known[c] for c in chunks]
+        return np.array(got.offsets, "<i4").reshape(-1, 2), np.bincount(np.array(got.word_ids, np.int64), minlength=len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, where each text's begin and the last ends); null: empty."""
@@ -103,56 +155,57 @@ class Encoder:
             last, counts[i] = bounds[i], len(e.ids)
         return np.concatenate([*parts, ids[last:]]), np.concatenate([[0], np.cumsum(counts)])
 
-    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(first chunk of each text and the end, code of each chunk, the distinct chunks)."""
         if self.lane == "word":
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         coded = pc.dictionary_encode(lists.flatten())
-        codes, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy().copy(), coded.dictionary
         if self.lane == "space":  # all but the first chunk of a text begin with the space before them
             first, again = np.unique(codes[offsets[:-1]], return_inverse=True)
             codes[offsets[:-1]] = len(words) + again
-            words = [" " + w for w in words] + [words[i] for i in first]
+            words = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string())), words.take(pa.array(first))])
         return offsets, codes, words
 
+    def _cut(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces of all chunks, first piece of each chunk, number of its pieces)."""
+        first, many = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        lines = pc.match_substring(chunks, "\n").to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring_regex(chunks.filter(pa.array(~lines)), f"({_PIECES[self.lane]})", "\\1\x01")
+        lists = pc.split_pattern(marked, "\x01")  # an empty one ends each
+        at = np.asarray(lists.offsets).astype(np.int64)
+        real = np.ones(at[-1], bool)
+        real[at[1:] - 1] = False
+        pieces = lists.values.filter(pa.array(real))
+        first[~lines], many[~lines] = at[:-1] - np.arange(len(at) - 1), np.diff(at) - 1
+        if lines.any():
+            parts = [_LINES.findall(c) for c in chunks.filter(pa.array(lines)).to_pylist()]
+            many[lines] = np.fromiter(map(len, parts), np.int64, len(parts))
+            first[lines] = len(pieces) + np.cumsum(many[lines]) - many[lines]
+            pieces = pa.concat_arrays([pieces, pa.array([p for q in parts for p in q], pa.large_string())])
+        return pieces, first, many
+
+    def _answered(self, memory: Memory, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(answers for the pieces of distinct chunks laid end to end, where each chunk's begin, rows of each)."""
+        pieces, first, many = self._cut(chunks)
+        coded = pc.dictionary_encode(pieces)
+        flat, size = memory.of(coded.dictionary)
+        flat, size = gathered(flat, np.cumsum(size) - size, size, coded.indices.to_numpy().astype(np.int64))
+        if flat.ndim == 2:  # places in a piece become places in its chunk
+            length = pc.utf8_length(pieces).to_numpy().astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(length)])
+            start = before[:-1] - np.repeat(before[first], many)[np.argsort(np.repeat(first, many), kind="stable")] if len(pieces) else before[:0]
+            flat = flat + np.repeat(start, size)[:, None].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return flat, ends[first], ends[first + many] - ends[first]
+
     def _laid(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, codes, words = self._coded(texts)
-        got = self._of_chunks(words)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        flat, begin = np.frombuffer(b"".join(got), self.dtype), np.cumsum(size) - size
-        many = size[codes]
-        ends = np.concatenate([[0], np.cumsum(many)])
-        where = np.repeat(begin[codes] - ends[:-1], many) + np.arange(ends[-1])
-        return flat[where], ends[offsets]
-
-    def _spans_of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """(start, end) of each token of some distinct chunks, as little 32-bit integers."""
-        if len(self.spans) > self.remembered:
-            self.spans = {}
-        if len(self.piece_spans) > self.remembered:
-            self.piece_spans = {}
-        known, have, cut = self.spans, self.piece_spans, _PIECES[self.lane].findall
-        if new := [c for c in chunks if c not in known]:
-            parts = [cut(c) for c in new]
-            if ask := [*dict.fromkeys(p for q in parts for p in q if p not in have)]:
-                got = self.tokenizer.encode_batch([ask], is_pretokenized=True, add_special_tokens=False)[0]
-                ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(ask))) * 8
-                raw, at = np.array(got.offsets, "<i4").tobytes(), 0
-                for p, end in zip(ask, ends.tolist()):
-                    have[p] = raw[at:end]
-                    at = end
-            for c, q in zip(new, parts):
-                if len(q) == 1:
-                    known[c] = have[q[0]]
-                    continue
-                laid, at = [], 0
-                for p in q:
-                    laid.append((np.frombuffer(have[p], "<i4") + np.int32(at)).tobytes() if at else have[p])
-                    at += len(p)
-                known[c] = b"".join(laid)
-        return [known[c] for c in chunks]
+        flat, begin, size = self._answered(self.ids, words)
+        ids, many = gathered(flat, begin, size, codes)
+        return ids, np.concatenate([[0], np.cumsum(many)])[offsets]
 
     def offsets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """((tokens, 2): start and end character of each token in its text, as the library gives them; where each text's begin)."""
@@ -162,15 +215,13 @@ class Encoder:
         spans, bounds = np.zeros((0, 2), np.int64), np.zeros(n + 1, np.int64)
         if not odd.all():
             firsts, codes, words = self._coded(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
-            got = self._spans_of_chunks(words)
-            size = np.fromiter(map(len, got), np.int64, len(got)) // 8
-            flat, begin = np.frombuffer(b"".join(got), "<i4").reshape(-1, 2), np.cumsum(size) - size
-            many = size[codes]
-            ends = np.concatenate([[0], np.cumsum(many)])
-            length = np.fromiter(map(len, words), np.int64, len(words))[codes]
+            flat, begin, size = self._answered(self.spans, words)
+            length = pc.utf8_length(words).to_numpy().astype(np.int64)[codes]
             start = np.cumsum(length) - length
             start -= np.repeat(start[firsts[:-1]], np.diff(firsts))  # of each chunk in its text
-            spans = flat[np.repeat(begin[codes] - ends[:-1], many) + np.arange(ends[-1])] + np.repeat(start, many)[:, None]
+            spans, many = gathered(flat, begin, size, codes)
+            spans = spans + np.repeat(start, many)[:, None]
+            ends = np.concatenate([[0], np.cumsum(many)])
             bounds = ends[firsts]
         if not odd.any():
             return spans, bounds

@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 from collections import defaultdict
 
@@ -138,3 +139,18 @@ def test_token_counts(spark, rule):
 def test_token_counts_rule_is_checked(spark):
     with pytest.raises(ValueError):
         token_counts.count(docs(spark), BYTE, "half")
+
+
+def test_ids_and_spans_of_random_texts_with_a_small_memory():
+    rng = random.Random(3)
+    bits = ["a", "b", "It's", "we'll", "I'M", "'s", "''", "don't", "7", "42 7", "0", "x7y", "word", "Über", "ñandú", "!", "...", ",", "(x)", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "é", "<|endoftext|>", "日本", "–", "7 7", "\n7", "'", "re", "'re", "a'b"]
+    for path in (BYTE, WORD):
+        enc = Encoder(path, remembered=40)
+        for _ in range(40):
+            some = [None if rng.random() < 0.03 else (" " if rng.random() < 0.6 else "").join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+            (ids, at), (spans, first) = enc.encode(pa.array(some)), enc.offsets(pa.array(some))
+            assert len(enc.ids.pieces) <= 40
+            for i, t in enumerate(some):
+                want = enc.tokenizer.encode(t or "", add_special_tokens=False)
+                assert ids[at[i] : at[i + 1]].tolist() == want.ids
+                assert [tuple(x) for x in spans[first[i] : first[i + 1]].tolist()] == want.offsets
