@@ -298,13 +298,16 @@ select t.id, t.name, t.description, cast(coalesce(m.partitions, t.partitions) as
     committed_offset := committed_offset, lag := lag)))) as varchar) as partitions_json
   from plag group by topic, consumer_group"""
     # alerts over the greatest total that isn't over the mean: some series are over it, one is on it
-    tot = """tot as (select topic, consumer_group, cast(sum(lag) as bigint) as total_lag from plag {where}
-    group by topic, consumer_group),
-  lim as (select max(total_lag) as t from tot where total_lag <= (select avg(total_lag) from tot))"""
-    q["lag_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, tot.format(where="")) + """
+    tot = """tot as (select topic, consumer_group, cast(sum(lag) as bigint) as total_lag from plag
+    group by topic, consumer_group)"""
+    q["lag_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, tot, """lim as (
+  select max(total_lag) as t from tot where total_lag <= (select avg(total_lag) from tot))""") + """
 select topic, consumer_group, total_lag from tot where total_lag > (select t from lim)"""
-    q["topology_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES, tot.format(
-        where="where consumer_group = 'analytics' or topic = 'click'"), """al as (
+    # a topic's worst series against the topics' worst series
+    q["topology_alerts"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG, _NODES, tot, """worst as (
+  select topic, max(total_lag) as w from tot group by topic),
+  lim as (select max(w) as t from worst where w <= (select avg(w) from worst)),
+  al as (
   select distinct topic as id from tot where total_lag > (select t from lim))""") + """
 select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_alert
   from nodes n left join al on al.id = n.id"""
