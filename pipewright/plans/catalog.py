@@ -499,6 +499,24 @@ def stream_alert_state(spark, sf):
     return jobs.stream_alert_state_result(spark, sf, READING_ALERT)
 
 
+@query("stream_expiry")
+def stream_expiry(spark, sf):
+    from ..streaming import jobs
+    return jobs.stream_expiry_result(spark, sf)
+
+
+@query("stream_alert_transitions")
+def stream_alert_transitions(spark, sf):
+    from ..streaming import jobs
+    return jobs.stream_transitions_result(spark, sf, READING_ALERT)
+
+
+@query("stream_alert_topics")
+def stream_alert_topics(spark, sf):
+    from ..streaming import jobs
+    return jobs.alerting_topics(jobs.stream_transitions_result(spark, sf, READING_ALERT))
+
+
 @query("stream_event_rate")
 def stream_event_rate(spark, sf):
     from ..streaming import jobs

