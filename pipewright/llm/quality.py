@@ -1,7 +1,6 @@
 """Importance resampling: target and raw n-gram models, sampled by Gumbel top-k.
 
-A text's lower-cased words are cut to their first PREFIX characters; the
-n-grams of orders 1 and 2 over these are hashed to BUCKETS buckets an order.
+The n-grams of orders 1 and 2 over a text's lower-cased whole words are hashed to BUCKETS buckets an order.
 For each order two generative models are counted: the raw one over every document,
 the target one over a bounded sample of documents labelled quality 1 and
 toxic 0 (`fit_rows`, those of least id hash). An n-gram's log ratio is
@@ -12,14 +11,15 @@ target sample; its weight is the least over the orders, as a document must be
 likely under each.
 
 Gumbel top-k draws without replacement: key = weight / temperature + a Gumbel
-variate from a hash of doc_id, and the k documents of largest key are kept, k
+variate from a hash of doc_id (of the text where that is null), and the k documents of largest key are kept, k
 being the target's share of the labelled documents times all documents. The k-th key
 is found by counting keys, digit by digit; documents tied with it are kept.
 
 Null and empty texts have no n-gram and the least weight. Documents that
 repeat a doc_id are judged one by one. A document with several labels is
 target if all say so; null labels say nothing. Without any target document
-all are kept. An empty table gives no rows.
+all are kept. An empty table gives no rows. Other columns keep their names and values,
+but for _weight, _key and _kept, which `resampled` gives itself.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipewright.llm.common import apart, by_bytes, documents, sampled, saved
 
-BUCKETS, ORDERS, PREFIX = 1 << 16, 2, 4
+BUCKETS, ORDERS = 1 << 18, 2
+#: Counts are sent and added up in parts of so many buckets.
+_PART = 1 << 13
 FIT_ROWS = 50_000
 TEMPERATURE, SEED = 0.05, 7
 #: Keys are multiples of 2**-20 between plus and minus 2**11.
@@ -50,7 +53,7 @@ def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     real = pc.greater(pc.binary_length(words), 0)
     words, owner = words.filter(real), owner[real.to_numpy(zero_copy_only=False)]
     starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    coded = pc.dictionary_encode(pc.utf8_slice_codeunits(words, 0, PREFIX))
+    coded = pc.dictionary_encode(words)
     known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     hashes = known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
     pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]
@@ -70,12 +73,35 @@ def _counted(ids: np.ndarray):
             for o, g in enumerate(grams):
                 raw[o] += np.bincount(g[g >= 0], minlength=BUCKETS)
                 target[o] += np.bincount(g[(g >= 0) & word[: len(g)]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw.ravel()[at]), pa.array(target.ravel()[at])], names=["bucket", "raw", "target"])
+        both = np.stack([raw.ravel(), target.ravel()], axis=1)
+        parts = [k for k in range(0, len(both), _PART) if both[k : k + _PART].any()]
+        yield _parts([k // _PART for k in parts], [both[k : k + _PART] for k in parts])
 
     return run
 
 
+def _parts(numbers: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([zstandard.compress(np.ascontiguousarray(c.T).tobytes(), 1) for c in counts], pa.binary())], names=["part", "counts"])
+
+
+def _opened(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(counts), np.int64).reshape(2, -1).T
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted by number -> the sum of each."""
+    now, total = None, None
+    for b in batches:
+        for part, counts in zip(b["part"].to_pylist(), b["counts"]):
+            if part != now:
+                if now is not None:
+                    yield _parts([now], [total])
+                now, total = part, 0
+            total = total + _opened(counts.as_py())
+    if now is not None:
+        yield _parts([now], [total])
+
+
 def _scored(ids: np.ndarray, ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, _BATCH):
@@ -103,10 +129,11 @@ def weighted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     share = judged.agg(F.avg(F.col("good").cast("int"))).first()[0]
     sample = sampled(judged.where("good"), F.xxhash64("doc_id"), fit_rows).select("doc_id").collect()
     ids = np.array([r.doc_id for r in sample], np.int64)
-    counted = documents(docs).mapInArrow(_counted(ids), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(ORDERS * BUCKETS), np.zeros(ORDERS * BUCKETS)
-    for r in counted.collect():  # ORDERS * BUCKETS rows at most
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    counted = documents(docs).mapInArrow(_counted(ids), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    both = np.zeros((ORDERS * BUCKETS, 2), np.int64)
+    for r in counted.mapInArrow(_added, "part int, counts binary").collect():  # ORDERS * BUCKETS / _PART rows at most
+        both[r.part * _PART : (r.part + 1) * _PART] = _opened(bytes(r.counts))
+    raw, target = both.astype(float).T
     raw, target = raw.reshape(ORDERS, -1), target.reshape(ORDERS, -1)
     expected = raw / np.maximum(raw.sum(1, keepdims=True), 1) * target.sum(1, keepdims=True)
     ratios = np.log((target + 1) / (expected + 1))
@@ -116,10 +143,20 @@ def weighted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tu
     return scored.withColumn("_weight", F.least(*parts)).drop("_one", "_two", "_sampled"), (1.0 if not len(ids) else float(share))
 
 
+OWN = ["_weight", "_key", "_kept"]
+
+
 def resampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """All columns of `docs` with _weight, _key and _kept."""
+    names = docs.columns
+    aside = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)]
+    judged = _resampled(docs.toDF(*aside), labels, fit_rows, temperature, seed)
+    return judged.select(*[F.col(a).alias(c) for a, c in zip(aside, names) if c not in OWN], *OWN)
+
+
+def _resampled(docs: DataFrame, labels: DataFrame, fit_rows: int, temperature: float, seed: int) -> DataFrame:
     scored, share = weighted(docs, labels, fit_rows)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint")), 11) + 0.5) * 2.0**-53
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.when(F.col("doc_id").isNull(), F.col("text"))), 11) + 0.5) * 2.0**-53
     key = F.coalesce(F.col("_weight"), F.lit(-1e6)) / temperature - F.log(-F.log(uniform))
     scored = scored.withColumn("_key", F.round(F.greatest(F.least(key, F.lit(2047.0)), F.lit(-2047.0)) * 2**20).cast("bigint"))
     left = round(share * scored.count())

@@ -3,11 +3,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from cases import docs, empty, same
 from pipewright.llm import decontaminate, licenses, ppm, quality, rules
@@ -47,6 +50,33 @@ def test_draw_keeps_what_is_like_the_target(spark):
     assert quality.drawn(df, lab).columns == df.columns
 
 
+def test_keys_and_draw_by_hand(spark):
+    """Weights from the query, the rest worked out here: Gumbel variates, keys, the k-th key, ties."""
+    df, lab = _corpus(spark, 500)
+    got = quality.resampled(df, lab).collect()
+    keys = {}
+    for r in got:
+        start = xxhash.xxh64_intdigest(struct.pack("<i", quality.SEED), 42)
+        uniform = ((xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), start) >> 11) + 0.5) / 2**53
+        key = r._weight / quality.TEMPERATURE - math.log(-math.log(uniform))
+        keys[r.doc_id] = math.floor(max(min(key, 2047.0), -2047.0) * 2**20 + 0.5) / 2**20
+    assert all(abs(r._key - keys[r.doc_id]) <= 2**-19 for r in got)
+    k = round(len(got) * 200 / 250)
+    cut = sorted((r._key for r in got), reverse=True)[k - 1]
+    assert {r.doc_id for r in got if r._kept} == {r.doc_id for r in got if r._key >= cut}
+
+
+def test_draw_with_clashing_columns(spark):
+    lab = labels(spark, [(i, 1, 0) for i in range(1, 12)] + [(12, 0, 0)])
+    df = docs(spark, repeat=True)
+    for c in ("_one", "_two", "_sampled", "_weight", "_key", "_kept", "part", "counts"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = quality.resampled(df, lab)
+    assert {r._one for r in got.collect()} == {"mine"} and dict(got.dtypes)["_kept"] == "boolean"
+    kept = quality.drawn(df, lab)
+    assert kept.columns == df.columns and {r._kept for r in kept.collect()} == {"mine"}
+
+
 def test_draw_of_odd_tables(spark):
     lab = labels(spark, [(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 0), (16, 0, 1)])
     got = quality.resampled(docs(spark, repeat=True), lab).collect()
@@ -62,7 +92,7 @@ def test_ngrams_like_a_loop():
     w = [(t or "").lower().split() for t in some]
     assert np.diff(starts).tolist() == [len(x) for x in w]
     one, two = (lambda k: grams[0][k]), grams[1]
-    flat = [x[:4] for y in w for x in y]
+    flat = [x for y in w for x in y]
     assert all((one(i) == one(j)) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
     assert (two == -1).tolist() == [False, False, True, True, False, False][: len(two)]
 
