@@ -591,8 +591,26 @@ def _matches(pattern: str):
     return lambda k: k.rlike(pattern)
 
 
+#: Patterns that ``parse_without_java`` has met.
+_later: list[str] | None = None
+
+
+def parse_without_java(text: Any) -> list[str]:
+    """Checks a schema where there is no Java at hand (in a task): its patterns, not checked yet."""
+    global _later
+    _later = []
+    try:
+        parse_schema(text)
+        return sorted(set(_later))
+    finally:
+        _later = None
+
+
 def _check_regex(p: str, where: str) -> None:
-    """Patterns run as Java's, so Java says whether they compile."""
+    """Patterns run as Java's, so Java says whether they compile (or the caller asks it later)."""
+    if _later is not None:
+        _later.append(p)
+        return
     spark = SparkSession.getActiveSession()
     if spark is None:
         raise SchemaCompileError(f"{where}: patterns are checked by a running session")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import jsonschema as JS
 from ..functions.scalars import join_errors, stable_id, ts_literal
+from ..sources import commits
 from .route import Validator
 from .skew import ordinal_within
 
@@ -107,7 +108,7 @@ def discard_transitions(dlq: DataFrame, ids: DataFrame, now, seq: int = 0) -> Da
     """DLQ-4 as append-only transition records: one per requested id that
     exists (any status), nothing for unknown ids."""
     hit = dlq.join(ids.select("id").distinct(), "id", "left_semi")
-    return hit.select("id", F.lit(int(seq)).cast("bigint").alias("seq"),
+    return hit.select("id", F.lit(int(seq)).cast("bigint").alias("seq"), "topic_name", F.col("status").alias("from_status"),
                       F.lit(M.STATUS_DISCARDED).alias("status"), "retry_count", "error_message",
                       "last_retry_at", ts_literal(now).alias("updated_at"))
 
@@ -184,7 +185,7 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
     att = att.withColumn("_n", n_run.cast("int"))
     new_retry = (F.col("retry_count") + F.col("_n")).cast("int")
     changes = att.select(
-        "id", F.lit(True).alias("_chg"),
+        "id", "topic_name", F.lit(True).alias("_chg"),
         F.when(F.col("_pass"), F.lit(M.STATUS_RETRIED))
         .when(new_retry >= M.MAX_RETRIES, F.lit(M.STATUS_DISCARDED))
         .otherwise(F.lit(M.STATUS_PENDING)).alias("_status"),
@@ -192,11 +193,12 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
         F.when(~F.col("_pass"), F.col("_err")).alias("_msg"),
         F.col("error_message").alias("_old_msg"))
     trans = changes.select(
-        "id", F.lit(int(seq)).cast("bigint").alias("seq"), F.col("_status").alias("status"),
+        "id", F.lit(int(seq)).cast("bigint").alias("seq"), "topic_name", F.lit(M.STATUS_PENDING).alias("from_status"),
+        F.col("_status").alias("status"),
         F.col("_retry").alias("retry_count"),
         F.coalesce(F.col("_msg"), F.col("_old_msg")).alias("error_message"),
         nowc.alias("last_retry_at"), nowc.alias("updated_at"))
-    changes = changes.drop("_old_msg")
+    changes = changes.drop("_old_msg", "topic_name")
     st = dlq.join(changes, "id", "left")
     chg = F.col("_chg").isNotNull()
     state = st.withColumns({
@@ -231,6 +233,26 @@ def retry(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now,
             "messages": messages}
 
 
+def retry_claimed(dlq: DataFrame, requests: DataFrame, schemas: DataFrame, now, root: str, batch: str,
+                  seq: int = 0, failed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """DLQ-1 as a lock: ``retry`` for the events that ``batch`` is the first to claim.
+
+    Pending events it names are claimed in the claims table at ``root`` with
+    their retry count as epoch; one that an earlier batch holds is not pending for this
+    one ("cannot retry"), so of overlapping batches exactly one replays
+    an event. A batch that runs again, also after a crash, owns the same events.
+    """
+    named = requests.select("id").distinct()
+    pending = dlq.where(F.col("status") == M.STATUS_PENDING).join(named, "id", "left_semi")
+    own = commits.claim(dlq.sparkSession, root, batch, pending.select("id", F.col("retry_count").alias("epoch")))
+    mine = own.select("id", F.col("epoch").cast("int").alias("retry_count"), F.lit(True).alias("_own"))
+    lost = (F.col("status") == M.STATUS_PENDING) & F.col("_own").isNull()
+    seen = dlq.join(mine, ["id", "retry_count"], "left").withColumn(
+        "status", F.when(lost, F.lit(M.STATUS_RETRYING)).otherwise(F.col("status"))).select(*dlq.columns)
+    out = retry(seen, requests, schemas, now, seq, failed)
+    return out | {"state": current_state(dlq, out["transitions"]), "owned": own}
+
+
 def fold(actions: DataFrame) -> DataFrame:
     """DLQ-9: fold an ordered action log (id, seq, action in retry_ok,
     retry_fail, discard) from ``pending, 0`` into the current state.
@@ -275,11 +297,55 @@ TRACKED = ["status", "retry_count", "error_message", "last_retry_at", "updated_a
 
 def transitions(before: DataFrame, after: DataFrame, seq: int) -> DataFrame:
     """The rows of ``after`` whose tracked fields differ from ``before``, as
-    append-only transition records (id, seq, tracked fields)."""
+    append-only transition records (id, seq, topic, the status before, tracked fields)."""
     b = before.select("id", *[F.col(c).alias(f"_b_{c}") for c in TRACKED])
-    j = after.select("id", *TRACKED).join(b, "id", "left")
+    j = after.select("id", "topic_name", *TRACKED).join(b, "id", "left")
     changed = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in TRACKED])
-    return j.filter(changed).select("id", F.lit(int(seq)).cast("bigint").alias("seq"), *TRACKED)
+    return j.filter(changed).select("id", F.lit(int(seq)).cast("bigint").alias("seq"), "topic_name",
+                                    F.col("_b_status").alias("from_status"), *TRACKED)
+
+
+# -- AGG-5 / DOC-3 kept up to date ------------------------------------------------
+
+COUNTS = ["topic_name", "status"]
+
+
+def status_counts(dlq: DataFrame) -> DataFrame:
+    """Events by topic and status: the snapshot that changes are added to."""
+    return dlq.groupBy(*COUNTS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_changes(new: DataFrame | None = None, transitions: DataFrame | None = None) -> DataFrame:
+    """What a batch changes in the counts, from the batch alone: one more for each new
+    row; for each transition one less where it was and one more where it is."""
+    parts = []
+    if new is not None:
+        parts.append(new.select(*COUNTS, F.lit(1).alias("d")))
+    if transitions is not None:
+        moves = F.array(F.struct(F.col("from_status").alias("status"), F.lit(-1).alias("d")), F.struct("status", F.lit(1).alias("d")))
+        parts.append(transitions.select("topic_name", F.explode(moves).alias("m")).select("topic_name", "m.status", "m.d"))
+    if not parts:
+        raise ValueError("a batch has new rows, transitions or both")
+    return reduce(DataFrame.unionByName, parts).where("status is not null").groupBy(*COUNTS).agg(F.sum("d").alias("n"))
+
+
+def apply_changes(counts: DataFrame, *changes: DataFrame) -> DataFrame:
+    """The counts after some batches, in any order."""
+    every = reduce(DataFrame.unionByName, changes, counts)
+    return every.groupBy(*COUNTS).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def stats_of_counts(counts: DataFrame, topic: str = "") -> DataFrame:
+    """AGG-5 (as ``stats``) from kept counts."""
+    of = counts.filter(F.col("topic_name") == topic) if topic else counts
+    wide = of.agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).cast("bigint").alias(s) for s in M.STATUSES])
+    return wide.withColumn("total", reduce(lambda a, b: a + b, [F.col(s) for s in M.STATUSES]))
+
+
+def depth_of_counts(counts: DataFrame) -> DataFrame:
+    """DOC-3 (as ``depth``) from kept counts."""
+    waiting = F.col("status").isin(M.STATUS_PENDING, M.STATUS_RETRYING)
+    return counts.groupBy("topic_name").agg(F.coalesce(F.sum(F.when(waiting, F.col("n"))), F.lit(0)).cast("bigint").alias("depth"))
 
 
 def current_state(log: DataFrame, trans: DataFrame) -> DataFrame:

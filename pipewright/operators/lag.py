@@ -240,6 +240,27 @@ def lag_p95(readings: DataFrame, exact: bool = True, q: float = 0.95) -> DataFra
     return picked.select(*SERIES, (lo * (F.lit(1.0) - d) + hi * d).alias("lag_p95"))
 
 
+#: KLL size, and the normalised rank error a sketch of that size keeps (99 % of the time).
+SKETCH_K, SKETCH_ERROR = 400, 0.01
+
+
+def day_sketches(readings: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """DOC-4, kept per day: one mergeable quantile sketch for each series and day.
+
+    A partial aggregation: a hot series sends a sketch for each task, not its
+    rows. Later days only add rows to this table."""
+    return readings.groupBy(*SERIES, _day(F.col("ts_sec")).alias("dt")).agg(
+        F.kll_sketch_agg_bigint("lag", F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def p95_from_sketches(sketches: DataFrame, first, last, q: float = 0.95) -> DataFrame:
+    """DOC-4 over any range of days, both ends inclusive: merged sketches, no reading
+    touched. The value's rank is within SKETCH_ERROR of q."""
+    merged = sketches.where(F.col("dt").between(F.lit(first), F.lit(last))).groupBy(*SERIES).agg(
+        F.kll_merge_agg_bigint("sketch").alias("_s"), F.sum("n").alias("n_sketched"))
+    return merged.select(*SERIES, F.kll_sketch_get_quantile_bigint("_s", F.lit(float(q))).alias("lag_p95"), "n_sketched")
+
+
 # -- STR-6: a date-partitioned readings store ----------------------------------
 
 def _day(ts_sec: Column) -> Column:

@@ -9,16 +9,20 @@ makes a snapshot current all at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import model as M
 from ..functions import jsonschema as JS
 from ..functions.scalars import ts_literal
+from ..sources import commits
+from ..sources.storage import cut_lineage
 from .skew import ordinal_within
 
-MAX_DISTINCT_REQUEST_SCHEMAS = 100_000
-
-
 def active_schema(schemas: DataFrame, topic: str | None = None) -> DataFrame:
     """FLT-2: the active schema of each topic (or of one topic; empty when
     the topic has none -- not an error)."""
@@ -34,14 +38,34 @@ def schema_history(schemas: DataFrame, topic: str | None = None) -> DataFrame:
     return out.orderBy("topic_name", F.desc("version"))
 
 
+def _compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        errors, patterns = [], []
+        for text in b["schema_json"]:
+            try:
+                patterns.append(JS.parse_without_java(text))
+                errors.append(None)
+            except JS.SchemaCompileError as e:
+                patterns.append([])
+                errors.append(str(e))
+        yield pd.DataFrame({"error": errors, "patterns": patterns})
+
+
 def check_requests(requests: DataFrame) -> None:
-    """Compile every distinct schema document of a registration batch on the
-    driver; any failure rejects the whole batch (all or nothing)."""
-    docs = requests.select("schema_json").distinct().limit(MAX_DISTINCT_REQUEST_SCHEMAS + 1).collect()
-    if len(docs) > MAX_DISTINCT_REQUEST_SCHEMAS:
-        raise ValueError("too many distinct schema documents in one registration batch")
-    for (text,) in docs:
-        JS.parse_schema(text)
+    """Compile every distinct schema document of a registration batch, in the
+    tasks that hold them, and their patterns by Java's own compiler; any
+    failure rejects the whole batch (all or nothing)."""
+    docs = requests.select("schema_json").distinct()
+    checked = cut_lineage(docs.mapInPandas(_compiled, "error string, patterns array<string>"))
+    if bad := checked.where("error is not null").orderBy("error").limit(1).collect():
+        raise JS.SchemaCompileError(bad[0].error)
+    patterns = checked.select(F.explode("patterns").alias("p")).distinct()
+    try:
+        patterns.agg(F.count_if(F.regexp_like(F.lit(""), F.col("p")))).collect()
+    except Exception as e:  # Spark wraps what Java's compiler says in more than one way
+        if said := re.search(r"PatternSyntaxException: (.*)|INVALID_PARAMETER_VALUE.PATTERN", str(e)):
+            raise JS.SchemaCompileError(f"invalid pattern: {said[1] or str(e).splitlines()[0]}") from e
+        raise
 
 
 def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> DataFrame:
@@ -72,6 +96,23 @@ def register(schemas: DataFrame, requests: DataFrame, check: bool = True) -> Dat
     return old.unionByName(new_rows)
 
 
+def register_at(spark: SparkSession, root: str, requests: DataFrame, now) -> int:
+    """RTE-4 + SNK-5 under several writers: the documents are checked, then the registry
+    (``schemas``) and the topics table change in one commit, or neither does.
+
+    A registration that another one got ahead of is done again on top of it:
+    no version is lost and (topic, version) stays unique. Returns the commit's version.
+    """
+    check_requests(requests)
+
+    def change(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        schemas = tables.get("schemas", spark.createDataFrame([], M.SCHEMAS))
+        topics = tables.get("topics", spark.createDataFrame([], M.TOPICS))
+        return {"schemas": register(schemas, requests, check=False), "topics": upsert_topics(topics, requests, now)}
+
+    return commits.update_tables(spark, root, change)
+
+
 def upsert_topics(topics: DataFrame, names: DataFrame, now) -> DataFrame:
     """SNK-5: insert unknown topic names (1 partition, factor 1), bump
     ``updated_at`` of known ones; a full outer join plus coalesce."""

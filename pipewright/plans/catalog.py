@@ -7,6 +7,7 @@ match the oracle SQL in ``sql.py`` one to one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ from ..operators import lag as L
 from ..operators import registry as REG
 from ..operators import route as R
 from ..operators import topology as TP
-from ..session import configure
+from ..session import checkpoint_dir, configure
+from ..sources import commits, dlq_store, offset_log
 from ..sources import fixtures as FX
+from ..sources.storage import cut_lineage
 
 NOW = M.FIXED_NOW
 RET_NOW = M.RETENTION_NOW
@@ -44,6 +47,11 @@ def query(name: str):
     return deco
 
 
+def _root(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes and reads."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/pw-{name}/{uuid.uuid4().hex}"
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)
 
@@ -119,8 +127,8 @@ def jsonschema_extended(spark, sf):
 
 # -- registry -----------------------------------------------------------------
 
-def _registered(spark, sf):
-    return REG.register(FX.schemas(spark), FX.schema_requests(spark, sf))
+def _registered(spark, sf, log=None):
+    return REG.register(FX.schemas(spark), FX.schema_requests(spark, sf, log))
 
 
 _SCHEMA_COLS = ["id", "topic_name", "version", "schema_json", "is_active", "created_at"]
@@ -131,6 +139,24 @@ def register_schemas(spark, sf):
     return _registered(spark, sf).select(*_SCHEMA_COLS)
 
 
+@query("register_concurrent")
+def register_concurrent(spark, sf):
+    """Two writers: while the first one's registration is being written, the second commits its own."""
+    root, log = _root(spark, "registry"), FX.log_summary(spark, sf)
+    req = FX.schema_requests(spark, sf, log)
+    commits.update_tables(spark, root, lambda _: {"schemas": FX.schemas(spark), "topics": FX.topics(spark, sf, log)})
+    odd = F.dayofmonth("requested_at") % 2 == 1
+    first, second, got_ahead = req.where(~odd), req.where(odd), []
+
+    def change(tables):
+        if not got_ahead:
+            got_ahead.append(REG.register_at(spark, root, second, NOW))
+        return {"schemas": REG.register(tables["schemas"], first), "topics": REG.upsert_topics(tables["topics"], first, NOW)}
+
+    commits.update_tables(spark, root, change)
+    return commits.current(spark, root)[1]["schemas"].select(*_SCHEMA_COLS)
+
+
 @query("active_schema")
 def active_schema(spark, sf):
     return REG.active_schema(_registered(spark, sf)).select(*_SCHEMA_COLS)
@@ -143,12 +169,14 @@ def schema_history(spark, sf):
 
 @query("schema_orphans")
 def schema_orphans(spark, sf):
-    return REG.orphans(_registered(spark, sf), FX.topics(spark, sf)).select(*_SCHEMA_COLS)
+    log = FX.log_summary(spark, sf)
+    return REG.orphans(_registered(spark, sf, log), FX.topics(spark, sf, log)).select(*_SCHEMA_COLS)
 
 
 @query("topic_upsert")
 def topic_upsert(spark, sf):
-    return REG.upsert_topics(FX.topics(spark, sf), FX.schema_requests(spark, sf), NOW) \
+    log = FX.log_summary(spark, sf)
+    return REG.upsert_topics(FX.topics(spark, sf, log), FX.schema_requests(spark, sf, log), NOW) \
         .select("id", "name", "description", "partitions", "replication_factor", "created_at", "updated_at")
 
 
@@ -161,32 +189,35 @@ def schema_as_of(spark, sf):
 
 # -- topics and offsets -------------------------------------------------------
 
-def _topic_meta(spark, sf):
-    managed = _registered(spark, sf).select(F.col("topic_name").alias("name")).distinct()
-    return TP.topic_metadata(FX.topic_partitions(spark, sf), managed)
+def _topic_meta(spark, sf, log):
+    managed = _registered(spark, sf, log).select(F.col("topic_name").alias("name")).distinct()
+    return TP.topic_metadata(FX.topic_partitions(spark, sf, log), managed)
 
 
 @query("topic_metadata")
 def topic_metadata(spark, sf):
-    return _topic_meta(spark, sf)
+    return _topic_meta(spark, sf, FX.log_summary(spark, sf))
 
 
 @query("topic_list")
 def topic_list(spark, sf):
-    return TP.topic_list(_topic_meta(spark, sf), FX.topics(spark, sf))
+    log = FX.log_summary(spark, sf)
+    return TP.topic_list(_topic_meta(spark, sf, log), FX.topics(spark, sf, log))
 
 
 @query("topic_by_name")
 def topic_by_name(spark, sf):
-    return TP.topic_by_name(_topic_meta(spark, sf), "click")
+    return TP.topic_by_name(_topic_meta(spark, sf, FX.log_summary(spark, sf)), "click")
 
 
-def _latest(spark, sf):
-    return L.latest_offsets(FX.topic_partitions(spark, sf), FX.event_log(spark, sf))
+def _latest(spark, sf, log=None):
+    log = FX.log_summary(spark, sf) if log is None else log
+    return L.latest_offsets(FX.topic_partitions(spark, sf, log), log)
 
 
-def _plag(spark, sf):
-    return L.partition_lag(_latest(spark, sf), L.committed_offsets(FX.committed_offsets(spark, sf)))
+def _plag(spark, sf, log=None):
+    log = FX.log_summary(spark, sf) if log is None else log
+    return L.partition_lag(_latest(spark, sf, log), L.committed_offsets(FX.committed_offsets(spark, sf, log)))
 
 
 @query("latest_offsets")
@@ -194,6 +225,16 @@ def latest_offsets(spark, sf):
     return _latest(spark, sf)
 
 
+@query("unread_messages")
+def unread_messages(spark, sf):
+    """SRC-9 from committed offsets, over an indexed log."""
+    root, log = _root(spark, "offsets"), FX.event_log(spark, sf)
+    offset_log.append(log, root, 0)
+    index = offset_log.index(spark, root).withColumn("kafka_offset", F.col("high"))
+    u = offset_log.unread(spark, root, L.committed_offsets(FX.committed_offsets(spark, sf, index)), FX.poll_grid(spark, sf, index))
+    return u.select("consumer_group", "topic", "partition_id", "kafka_offset", "msg_key", "payload")
+
+
 @query("topic_latest_offsets")
 def topic_latest_offsets(spark, sf):
     """SRC-3; the nested list is compared as its JSON text."""
@@ -203,7 +244,7 @@ def topic_latest_offsets(spark, sf):
 
 @query("committed_offsets")
 def committed_offsets(spark, sf):
-    return L.committed_offsets(FX.committed_offsets(spark, sf)).select(
+    return L.committed_offsets(FX.committed_offsets(spark, sf, FX.log_summary(spark, sf))).select(
         "consumer_group", "topic", "partition_id", "committed_offset")
 
 
@@ -245,12 +286,12 @@ def alert_topics(spark, sf):
 
 @query("topology_alerts")
 def topology_alerts(spark, sf):
-    totals = L.lag_total(_plag(spark, sf))
+    log = FX.log_summary(spark, sf)
+    totals = L.lag_total(_plag(spark, sf, log))
     # over the topics' greatest totals, so that some topics alert and some don't
     worst = totals.groupBy("topic").agg(F.max("total_lag").alias("total_lag"))
     alerts = L.lag_alerts(totals, _series_threshold(worst))
-    nodes = TP.nodes(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
-    return TP.with_alerts(nodes, alerts)
+    return TP.with_alerts(TP.nodes(log, FX.committed_offsets(spark, sf, log)), alerts)
 
 
 # -- lag readings -------------------------------------------------------------
@@ -350,6 +391,18 @@ def metric_lag_p95(spark, sf):
     return L.lag_p95(_readings(spark, sf), exact=True)
 
 
+@query("metric_lag_p95_sketch")
+def metric_lag_p95_sketch(spark, sf):
+    """DOC-4 for a range of days from one sketch a series and day: is the value's rank as near as promised?"""
+    r = _readings(spark, sf)
+    est = L.p95_from_sketches(L.day_sketches(r), first=RET_NOW.date(), last=NOW.date())
+    inside = r.where(L._day(F.col("ts_sec")).between(F.lit(RET_NOW.date()), F.lit(NOW.date()))).join(est, L.SERIES)
+    g = inside.groupBy(*L.SERIES).agg(F.count("*").alias("n"), F.count_if(F.col("lag") < F.col("lag_p95")).alias("under"),
+                                      F.count_if(F.col("lag") <= F.col("lag_p95")).alias("upto"), F.first("n_sketched").alias("n_sketched"))
+    near = (F.col("under") / F.col("n") <= 0.95 + L.SKETCH_ERROR) & (F.col("upto") / F.col("n") >= 0.95 - L.SKETCH_ERROR)
+    return g.select(*L.SERIES, "n", "n_sketched", near.alias("within_bound"))
+
+
 # -- DLQ ----------------------------------------------------------------------
 
 def _dlq(spark, sf):
@@ -371,6 +424,29 @@ def dlq_by_id(spark, sf):
     return D.by_id(_dlq(spark, sf), "dlq-40")
 
 
+@query("dlq_by_id_store")
+def dlq_by_id_store(spark, sf):
+    """SRC-6 over the store with id buckets."""
+    root = _root(spark, "dlq-store")
+    dlq_store.append(_dlq(spark, sf), root, 0)
+    return dlq_store.by_id(spark, root, "dlq-40").select(*[f.name for f in M.DLQ_EVENTS])
+
+
+@query("dlq_stats_incremental")
+def dlq_stats_incremental(spark, sf):
+    """AGG-5 from a snapshot of counts and three batches: new rows, retries, discards."""
+    d = _dlq(spark, sf)
+    cut = S.ts_literal(STORE_CUT)
+    counts = D.status_counts(d.where(F.col("created_at") < cut))
+    once = d.select(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint").alias("pos"), "id")
+    retried = cut_lineage(_retry(spark, sf, once)["transitions"])
+    late = D.current_state(d, retried)
+    gone = D.discard_transitions(late, late.where(F.col("error_type") == M.ERROR_PUBLISH).select("id"), NOW, 1)
+    for change in (D.count_changes(new=d.where(F.col("created_at") >= cut)), D.count_changes(transitions=retried), D.count_changes(transitions=gone)):
+        counts = D.apply_changes(counts, change)
+    return D.stats_of_counts(counts)
+
+
 @query("dlq_stats")
 def dlq_stats(spark, sf):
     return D.stats(_dlq(spark, sf))
@@ -418,6 +494,14 @@ def dlq_retry_batch(spark, sf):
     return _retry(spark, sf)["results"]
 
 
+@query("dlq_retry_overlapping")
+def dlq_retry_overlapping(spark, sf):
+    """Two batches that name the same events: the one that claims an event first replays it."""
+    root, d, req = _root(spark, "claims"), _dlq(spark, sf), FX.retry_requests(spark, sf)
+    out = [D.retry_claimed(d, req, FX.schemas(spark), NOW, root, b)["results"].withColumn("batch", F.lit(b)) for b in ("one", "two")]
+    return out[0].unionByName(out[1])
+
+
 @query("dlq_retry_one")
 def dlq_retry_one(spark, sf):
     d = _dlq(spark, sf)
@@ -454,12 +538,14 @@ def metric_replay_success(spark, sf):
 
 @query("topology_nodes")
 def topology_nodes(spark, sf):
-    return TP.nodes(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
+    log = FX.log_summary(spark, sf)
+    return TP.nodes(log, FX.committed_offsets(spark, sf, log))
 
 
 @query("topology_edges")
 def topology_edges(spark, sf):
-    return TP.edges(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
+    log = FX.log_summary(spark, sf)
+    return TP.edges(log, FX.committed_offsets(spark, sf, log))
 
 
 @query("topology_event_rate")
@@ -469,8 +555,9 @@ def topology_event_rate(spark, sf):
 
 @query("topology_metadata")
 def topology_metadata(spark, sf):
-    nodes = TP.nodes(FX.event_log(spark, sf), FX.committed_offsets(spark, sf))
-    m = TP.node_metadata(nodes, _topic_meta(spark, sf), L.lag_total(_plag(spark, sf)))
+    log = FX.log_summary(spark, sf)
+    nodes = TP.nodes(log, FX.committed_offsets(spark, sf, log))
+    m = TP.node_metadata(nodes, _topic_meta(spark, sf, log), L.lag_total(_plag(spark, sf, log)))
     return m.select("id", "label", "type", F.to_json("metadata").alias("metadata_json"))
 
 
@@ -487,6 +574,12 @@ def stream_route(spark, sf):
     return jobs.stream_route_result(spark, sf)
 
 
+@query("stream_route_committed")
+def stream_route_committed(spark, sf):
+    from ..streaming import jobs
+    return jobs.stream_route_committed_result(spark, sf)
+
+
 @query("stream_lag")
 def stream_lag(spark, sf):
     from ..streaming import jobs

@@ -255,6 +255,9 @@ def oracle() -> dict[str, str]:
     # registry
     R = with_(EVENT_LOG, SCHEMAS, REQUESTS, REGISTERED, TOPICS)
     q["register_schemas"] = R + "select id, topic_name, version, schema_json, is_active, created_at from registered"
+    # the writer of the odd days was first, the other's versions follow
+    late = REGISTERED.replace("order by r.seq", "order by 1 - day(r.requested_at) % 2, r.seq")
+    q["register_concurrent"] = with_(SCHEMAS, REQUESTS, late) + "select id, topic_name, version, schema_json, is_active, created_at from registered"
     q["active_schema"] = R + "select id, topic_name, version, schema_json, is_active, created_at from registered where is_active"
     q["schema_history"] = R + "select id, topic_name, version, schema_json, is_active, created_at from registered where topic_name = 'view'"
     q["schema_orphans"] = R + """select id, topic_name, version, schema_json, is_active, created_at from registered
@@ -287,6 +290,12 @@ select t.id, t.name, t.description, cast(coalesce(m.partitions, t.partitions) as
     O = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED, LATEST, PLAG)
     q["latest_offsets"] = O + "select topic, partition_id, latest_offset from latest"
     q["committed_offsets"] = O + "select consumer_group, topic, partition_id, committed_offset from committed"
+    q["unread_messages"] = with_(EVENT_LOG, TOPIC_PARTITIONS, COMMITTED) + """select g.consumer_group, e.topic, e.partition_id,
+  e.kafka_offset, e.msg_key, e.payload
+  from event_log e join topic_partitions tp on tp.topic = e.topic and tp.partition_id = e.partition_id
+  cross join (values ('analytics'), ('billing')) g(consumer_group)
+  left join committed c on c.consumer_group = g.consumer_group and c.topic = e.topic and c.partition_id = e.partition_id
+  where e.kafka_offset >= coalesce(c.committed_offset, 0)"""
     q["partition_lag"] = O + "select topic, consumer_group, partition_id, latest_offset, committed_offset, lag from plag"
     q["lag_total"] = O + "select topic, consumer_group, cast(sum(lag) as bigint) as total_lag from plag group by topic, consumer_group"
     q["topic_latest_offsets"] = O + """select topic, cast(to_json(list_sort(list(struct_pack(
@@ -365,6 +374,10 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
     q["alert_state"] = L + """select topic, consumer_group, arg_max(lag > 2500, struct_pack(a := ts_sec, b := lag)) as is_alert
   from readings group by topic, consumer_group"""
     q["metric_lag_p95"] = L + "select topic, consumer_group, quantile_cont(lag, 0.95) as lag_p95 from readings group by topic, consumer_group"
+    # a sketch's value must have a rank near 0.95 in every series, over all readings of the days
+    q["metric_lag_p95_sketch"] = L + """select topic, consumer_group, count(*) as n, cast(count(*) as bigint) as n_sketched, true as within_bound
+  from readings where cast(make_timestamp(ts_sec * 1000000) as date) between DATE '2024-01-16' and DATE '2024-01-31'
+  group by topic, consumer_group"""
 
     # DLQ
     D = with_(DLQ)
@@ -373,6 +386,7 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
     q["dlq_list"] = D + f"select {cols} from dlq where status = 'pending' order by created_at desc, id limit 50 offset 10"
     q["dlq_page"] = D + f"select {cols} from dlq where status = 'pending' order by created_at desc, id limit 20 offset 40"
     q["dlq_by_id"] = D + f"select {cols} from dlq where id = 'dlq-40'"
+    q["dlq_by_id_store"] = q["dlq_by_id"]
     q["dlq_stats"] = D + """select count(*) filter (where status = 'pending') as pending,
   count(*) filter (where status = 'retrying') as retrying, count(*) filter (where status = 'retried') as retried,
   count(*) filter (where status = 'discarded') as discarded,
@@ -412,6 +426,12 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
          then 'cannot retry: event ' || a.id || ' is not in pending status — cannot retry'
        when v.pass then 'event replayed successfully'
        else 'replay failed: ' || v.err end as message
+  from att a left join verd v on v.id = a.id"""
+    # of two batches with the same requests, all that could run ran in the first
+    q["dlq_retry_overlapping"] = RV + f"""select 'one' as batch, x.* from ({q["dlq_retry_batch"].removeprefix(RV)}) x
+  union all select 'two', a.pos, a.id, false,
+  case when v.id is null then 'event not found: fetching DLQ event ' || a.id || ': sql: no rows in result set'
+       else 'cannot retry: event ' || a.id || ' is not in pending status — cannot retry' end
   from att a left join verd v on v.id = a.id"""
     q["dlq_retry_one"] = with_(DLQ, validation_cte(
         "dlq", "payload", "topic_name",
@@ -425,6 +445,13 @@ select n.id, n.label, n.type, (n.type = 'topic' and al.id is not null) as is_ale
   case when d.status = 'pending' then {NOW} else d.last_retry_at end as last_retry_at,
   case when d.status = 'pending' then {NOW} else d.updated_at end as updated_at
   from dlq d join verd v on v.id = d.id"""
+    # every event once retried, then the publish errors discarded
+    q["dlq_stats_incremental"] = f"""with one as ({q["dlq_retry_one"]}),
+  now_ as (select case when d.event_id % 29 = 0 then 'discarded' else one.status end as status
+    from events d join one on one.id = 'dlq-' || cast(d.event_id as varchar))
+select count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'retrying') as retrying,
+  count(*) filter (where status = 'retried') as retried, count(*) filter (where status = 'discarded') as discarded,
+  count(*) as total from now_"""
     q["dlq_replay_rows"] = RV + f"""select sha256(concat_ws('|', id, cast(attempt as varchar), 'replay')) as id, id as replay_of,
   attempt, topic_name, payload, 'schema_validation' as error_type, err as error_message,
   'pw-dlq-replay' as producer_id, {NOW} as created_at
@@ -467,6 +494,7 @@ select n.id, n.label, n.type, cast(to_json(case when tm.p is not null then map([
     # streams: one trigger over the staged input, so the emitted windows are
     # exactly those the final watermark (max event time - delay) has passed
     q["stream_route"] = V + """select topic, count(*) as n, route from routed group by topic, route"""
+    q["stream_route_committed"] = q["stream_route"]
     q["stream_alert_state"] = q["alert_state"]
     q["alert_topics"] = f"""select topic, bool_or(is_alert) as is_alert, count(*) filter (where is_alert) as alerting_groups
   from ({q['alert_state']}) s group by topic"""

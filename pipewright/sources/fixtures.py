@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as M
+from .storage import cut_lineage
 from .tables import read_table
 
 # Fixed schema documents used by the fixtures: FULL is the documented example
@@ -90,7 +91,17 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the log: a row for each (topic, partition, producer, day)
+    with its greatest offset, first and last time. It stands for the log
+    wherever only these matter, and is written once to the checkpoint folder, so what
+    is derived from it doesn't read the log again. Bounded by metadata and days."""
+    log = event_log(spark, sf_dir)
+    return cut_lineage(log.groupBy("topic", "partition_id", "producer_id", F.to_date("ts").alias("day")).agg(
+        F.max("kafka_offset").alias("kafka_offset"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+def committed_offsets(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """two consumer groups' commits (next offset to read).
 
     analytics: behind by 500 x partition id, no commit on partition 3;
@@ -98,7 +109,7 @@ def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     every other partition committed at 0. ``seq`` is the commit order: each
     group first committed further on and was then rewound to these.
     """
-    latest = (event_log(spark, sf_dir).groupBy("topic", "partition_id")
+    latest = ((event_log(spark, sf_dir) if log is None else log).groupBy("topic", "partition_id")
               .agg((F.max("kafka_offset") + 1).alias("next_offset")))
     analytics = (latest.filter(F.col("partition_id") != 3)
                  .select(F.lit("analytics").alias("consumer_group"), "topic", "partition_id",
@@ -166,24 +177,23 @@ def schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, M.SCHEMAS)
 
 
-def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topics(spark: SparkSession, sf_dir: str, summary: DataFrame | None = None) -> DataFrame:
     """the topics table, derived from the event log (one row per topic)."""
-    return (event_log(spark, sf_dir).groupBy("topic")
-            .agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+    return ((log_summary(spark, sf_dir) if summary is None else summary).groupBy("topic")
+            .agg(F.min("first_ts").alias("created_at"), F.max("last_ts").alias("updated_at"))
             .select(F.col("topic").alias("id"), F.col("topic").alias("name"),
                     F.lit(None).cast("string").alias("description"),
                     F.lit(1).alias("partitions"), F.lit(1).alias("replication_factor"),
                     "created_at", "updated_at"))
 
 
-def schema_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_requests(spark: SparkSession, sf_dir: str, summary: DataFrame | None = None) -> DataFrame:
     """Bulk registration requests: one per (topic, day) of traffic, plus the
     unmanaged topic ``brand-new`` on its first day; even days send FULL,
     odd days LENIENT, so versions keep rising and the last one wins."""
-    ev = events(spark, sf_dir)
-    days = ev.select(F.col("event_type").alias("topic_name"),
-                     F.to_date("ts").alias("day")).distinct()
-    extra = ev.select(F.lit("brand-new").alias("topic_name"), F.min(F.to_date("ts")).alias("day"))
+    log = log_summary(spark, sf_dir) if summary is None else summary
+    days = log.select(F.col("topic").alias("topic_name"), "day").distinct()
+    extra = log.agg(F.min("day").alias("day")).select(F.lit("brand-new").alias("topic_name"), "day")
     req = days.unionByName(extra)
     return req.select(
         "topic_name",
@@ -194,9 +204,9 @@ def schema_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def topic_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_partitions(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """partitions seen in the log, plus an empty partition 4 on click."""
-    seen = event_log(spark, sf_dir).select("topic", "partition_id").distinct()
+    seen = (event_log(spark, sf_dir) if log is None else log).select("topic", "partition_id").distinct()
     empty = seen.filter(F.col("topic") == "click").select(
         "topic", F.lit(4).cast("int").alias("partition_id")).distinct()
     both = seen.unionByName(empty)
@@ -254,10 +264,10 @@ def poll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s.value").cast("bigint").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 
 
-def poll_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def poll_grid(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
     """the polled partitions (an empty one too) of both groups."""
     groups = F.explode(F.array(F.lit("analytics"), F.lit("billing")))
-    return topic_partitions(spark, sf_dir).select("topic", "partition_id", groups.alias("consumer_group"))
+    return topic_partitions(spark, sf_dir, log).select("topic", "partition_id", groups.alias("consumer_group"))
 
 
 def user_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

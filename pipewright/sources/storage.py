@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 POINTER = "_CURRENT"
 
 
-def _jvm_path(spark: SparkSession, path: str):
+def jvm_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,7 +32,7 @@ def _jvm_path(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The version the pointer names, or None before the first write."""
-    jvm, fs, p = _jvm_path(spark, f"{root}/{POINTER}")
+    jvm, fs, p = jvm_path(spark, f"{root}/{POINTER}")
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -45,7 +45,7 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def _current_folder(spark: SparkSession, root: str, version: int | None) -> str | None:
-    jvm, fs, p = _jvm_path(spark, f"{root}/{POINTER}{'' if version is None else f'.{version}'}")
+    jvm, fs, p = jvm_path(spark, f"{root}/{POINTER}{'' if version is None else f'.{version}'}")
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -61,7 +61,8 @@ def write_snapshot(df: DataFrame, root: str) -> int:
 
     Each write has a folder of its own, ``v=N/<unique name>``, and the pointer
     names it, so a failed write leaves the previous version current and the
-    next attempt isn't in its way. One writer per table is assumed.
+    next attempt isn't in its way. For one writer per table; several use
+    ``commits.update_table``.
     """
     spark = df.sparkSession
     cur = current_version(spark, root)
@@ -74,7 +75,7 @@ def write_snapshot(df: DataFrame, root: str) -> int:
 
 
 def _point(spark: SparkSession, path: str, scratch: str, folder: str) -> None:
-    jvm, fs, final = _jvm_path(spark, path)
+    jvm, fs, final = jvm_path(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(scratch)
     out = fs.create(tmp, True)
     try:

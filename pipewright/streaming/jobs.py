@@ -21,6 +21,7 @@ from .. import model as M
 from ..functions.scalars import ts_literal
 from ..operators import route as R
 from ..session import checkpoint_dir, configure
+from ..sources import commits
 from ..sources import fixtures as FX
 from ..sources.tables import read_event_stream
 from . import live
@@ -83,6 +84,59 @@ def route_stream(stream: DataFrame, schemas_reader, now, topic_out: str, dlq_out
     return w.start()
 
 
+#: Columns of the committed topic log.
+MESSAGES = "topic string, key string, value string, headers map<string,string>"
+
+
+def route_stream_committed(stream: DataFrame, schemas_reader, now, root: str, checkpoint: str,
+                           trigger: dict | None = None, writer: str = "route", between=None):
+    """STR-1 with SNK-1 and SNK-2 as one commit: a batch's messages (table
+    ``topics``) and rejected events (``dlq``) become visible together.
+
+    A batch that dies between its two writes has committed nothing, and one that
+    runs again after its commit commits nothing more, so each event is in exactly
+    one of the tables exactly once. Read them with ``commits.read_table``.
+    ``between`` is called with the batch id after the first write (tests).
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        at = now() if callable(now) else now
+        reg = schemas_reader()
+        routed = R.route(batch, None, at, validator=reg) if isinstance(reg, R.Validator) else R.route(batch, reg, at)
+
+        def write(folder) -> None:
+            failed: list[Exception] = []
+
+            def topics(df: DataFrame) -> None:
+                try:
+                    df.write.parquet(folder("topics"))
+                    if between:
+                        between(batch_id)
+                except Exception as e:
+                    failed.append(e)
+                    raise
+
+            R.publish(routed, at, topics, lambda df: df.write.parquet(folder("dlq")))
+            if failed:  # nothing is half published here: the batch runs again
+                raise failed[0]
+
+        commits.publish_batch(batch.sparkSession, root, writer, batch_id, write)
+
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_route_committed_result(spark: SparkSession, sf: str) -> DataFrame:
+    configure(spark)
+    wd = _workdir(spark, "route-committed")
+    src = _stage(FX.event_log(spark, sf), os.path.join(wd, "in"), rows_per_file=50_000)
+    stream = read_event_stream(spark, src, M.EVENT_LOG, max_files_per_trigger=16)
+    out = os.path.join(wd, "out")
+    route_stream_committed(stream, lambda: FX.schemas(spark), M.FIXED_NOW, out, os.path.join(wd, "ckpt")).awaitTermination()
+    pub = commits.read_table(spark, out, "topics", MESSAGES).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    dlq = commits.read_table(spark, out, "dlq", M.DLQ_EVENTS).groupBy(F.col("topic_name").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    return pub.withColumn("route", F.lit(R.ROUTE_PUBLISHED)).unionByName(dlq.withColumn("route", F.lit(R.ROUTE_DLQ)))
+
+
 def stream_route_result(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     wd = _workdir(spark, "route")
