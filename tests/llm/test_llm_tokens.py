@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cases import docs, empty, texts
@@ -154,3 +155,70 @@ def test_ids_and_spans_of_random_texts_with_a_small_memory():
                 want = enc.tokenizer.encode(t or "", add_special_tokens=False)
                 assert ids[at[i] : at[i + 1]].tolist() == want.ids
                 assert [tuple(x) for x in spans[first[i] : first[i + 1]].tolist()] == want.offsets
+
+
+def slow_sections(enc, text, given, rule):
+    """(section, characters, tokens, crossing) of each interval and of the rest, token by token."""
+    text = text or ""
+    at, end = [], 0
+    for s, a, z in sorted(given, key=lambda g: (g[1], g[2], g[0])):
+        a = min(max(a, end), len(text))
+        z = min(max(z, a), len(text))
+        at.append((s, a, z))
+        end = z
+    owner = {}
+    for s, a, z in at:
+        owner |= {i: (s, a) for i in range(a, z)}
+    gap, last = -1, None
+    for i in range(len(text)):  # each part between intervals is a place of its own
+        if i not in owner:
+            gap = i if last != "gap" else gap
+            owner[i] = (-1, gap)
+            last = "gap"
+        else:
+            last = "in"
+        if i + 1 < len(text) and any(a == z == i + 1 for _, a, z in at):
+            last = "in"
+    tokens, crossing = defaultdict(int), defaultdict(int)
+    for a, z in enc.tokenizer.encode(text, add_special_tokens=False).offsets:
+        places = [owner[i] for i in range(a, max(z, a + 1))]
+        kinds = list(dict.fromkeys(places))
+        to = {"start": places[0], "end": places[-1], "majority": max(kinds, key=lambda k: (places.count(k), -places.index(k)))}[rule]
+        tokens[to] += 1
+        crossing[to] += len(kinds) > 1
+    rows = [(s, z - a, tokens[s, a] if z > a else 0, crossing[s, a] if z > a else 0) for s, a, z in at]
+    rest = [k for k in set(owner.values()) if k[0] == -1]
+    if rest or not given:
+        rows.append((-1, sum(v[0] == -1 for v in owner.values()), sum(tokens[k] for k in rest), sum(crossing[k] for k in rest)))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_counts_of_given_sections(spark, rule):
+    rng = random.Random(11)
+    some = [(i, t) for i, t in texts() if i not in (14,)]
+    given = {}
+    for i, t in some:
+        n = len(t or "")
+        given.setdefault(i, [(k, *sorted((rng.randint(0, n + 5), rng.randint(0, n + 5)))) for k in range(rng.randint(0, 4))])
+    rows = [(i, s, a, z) for i, own in given.items() if i is not None for s, a, z in own] + [(12345, 0, 0, 9)]
+    table = spark.createDataFrame(rows, "doc_id bigint, section bigint, start bigint, stop bigint")
+    got = defaultdict(list)
+    for r in token_counts.count(docs(spark, some), BYTE, rule, table).where("doc_id is not null").collect():
+        got[r.doc_id].append((r.section, r.n_chars, r.n_tokens, r.n_crossing))
+    for i, t in some:
+        if i is not None:
+            assert sorted(got[i]) == slow_sections(ENC[BYTE], t, given[i], rule), (i, given[i])
+
+
+def test_counts_of_fields(spark):
+    df = docs(spark, [(1, "The body text, it's here"), (2, None), (3, "")]).withColumn("title", F.when(F.col("doc_id") == 1, F.lit("A title")))
+    for rule in token_counts.RULES:
+        got = {(r.doc_id, r.field): (r.n_chars, r.n_tokens) for r in token_counts.count_fields(df, BYTE, ["title", "text"], rule, " ").collect()}
+        whole = ENC[BYTE].tokenizer.encode("A title The body text, it's here", add_special_tokens=False)
+        assert sum(n for (i, _), (_, n) in got.items() if i == 1) == len(whole.ids)
+        assert got[1, "title"] == (7, 2) and got[1, "text"][0] == 24 and got[1, None][0] == 1
+        assert got[2, "title"] == got[2, "text"] == (0, 0)
+    with pytest.raises(ValueError):
+        token_counts.count_fields(df, BYTE, [])
+    assert token_counts.count_fields(empty(spark), BYTE, ["text"]).count() == 0
