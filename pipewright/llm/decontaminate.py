@@ -12,8 +12,9 @@ confirms. Every word inside an occurrence is hit.
 
 The benchmark is a test set, small beside the corpus, but it isn't taken to
 be: its words are counted, and tables are built for blocks of items of at most
-`block_words` words. Each block is one pass over the rows within one job, so
-no task holds more tables than that.
+`block_words` words. Each block is one pass over the rows; between two blocks the rows
+and their hits are written to the shared folder, so neither the driver nor a
+task holds more than one block and its tables.
 
 Null and empty texts have no words and are clean. Rows that repeat a doc_id
 are judged one by one; items that repeat an item_id count once. Null item ids
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipewright.llm.common import apart
+from pipewright.llm.common import apart, dropped, saved
 
 WIDTH = 10
 #: Benchmark words whose tables are sent to the tasks at once (about 300 bytes each).
@@ -121,7 +122,7 @@ def _searched(items: list[tuple[object, str | None]], width: int):
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in blocks of about `block_words` words; one block is in memory at a time."""
+    """Items in blocks of about `block_words` words, which pass the driver one at a time."""
     item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     sized = item.withColumn("_n", F.size(F.split("text", " ")))
     total = sized.agg(F.sum("_n")).first()[0] or 0
@@ -135,7 +136,13 @@ def searched(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_wo
     """All columns of `docs` with _n_words, _hits (null: none) and _items."""
     docs = docs.withColumns({"_n_words": F.lit(None).cast("bigint"), "_hits": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for block in blocks(benchmark, block_words):
+    reading = None
+    for n, block in enumerate(blocks(benchmark, block_words)):
+        if n:  # one block's tables go before the next one's are made
+            docs = saved(docs, "hits")
+            if reading is not None:
+                dropped(reading)
+            reading = docs
         docs = docs.mapInArrow(_searched(block, width), schema)
     return docs
 

@@ -10,9 +10,10 @@ one each c words, so every stretch of up to twice a template's words lies whole
 A window's signature is the least hash in each of `bins(...)` bins of the
 hashes (one-permutation MinHash), each bin a band of one row. A template of s shingles
 that a window holds to 0.8 shares ceil(0.8 s) of them, and each is the least of
-its bin but for (window shingles) / (2 bins) at most, so the chance that no band collides is at
-most that ratio to the power of the shared shingles; `bins` makes it MISS or less for every template of a
-class. Bands that collide retrieve (window, template) pairs, and exact
+its bin, in window and template alike, but for a chance of (hashes of either) / (2 bins) at most: 2c of the
+window and the fifth of the template's that it may lack. So the chance that no band collides is about
+that ratio to the power of the shared shingles (bins are taken as independent); `bins` makes it MISS or less
+for every template of a class. Bands that collide retrieve (window, template) pairs, and exact
 containment, shared shingles over the template's, must be 0.8 or more.
 
 Bands are a few for each template, so documents are first asked whether they hold
@@ -75,7 +76,8 @@ def size_class(n_words: int) -> int:
 def bins(klass: int, least_shingles: int) -> int:
     """The fewest bins, a power of two, at which a window misses a template with a chance of MISS at most."""
     shared, n = math.ceil(CONTAINED * least_shingles), 16
-    while (2 * klass / (2 * n)) ** shared > MISS:
+    union = 2 * klass + (1 - CONTAINED) * klass  # a window's hashes, and the template's that it doesn't hold
+    while (union / (2 * n)) ** shared > MISS:
         n *= 2
     return n
 

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cases import docs, empty, same
+from pipewright.llm.common import recorded
 from pipewright.llm import decontaminate, licenses, ppm, quality, rules
 
 ASCII_LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -99,6 +101,20 @@ def test_ngrams_like_a_loop():
 
 # decontamination
 
+def test_blocks_of_a_benchmark_leave_no_table_behind(spark):
+    rows = [(i, f"start {i} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(12)] + [(None, "w3x0 w3x1"), (20, None)]
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(4, 18))) for k in range(0, 12, 2)]
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in items], "item_id string, text string")
+    made = []
+    with recorded(made):
+        got = decontaminate.report(docs(spark, rows), bench, block_words=20)
+    want = decontaminate.report(docs(spark, rows), bench)
+    same([tuple(r) for r in got.collect()], [tuple(r) for r in want.collect()])
+    assert len(made) > 1
+    kept = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(kept) == 1
+
+
 def brute_hits(rows, items, width=10):
     find = lambda t: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOW))
     patterns = {}
@@ -280,6 +296,25 @@ def test_licenses_like_a_window_at_every_word(spark):
     assert len(want) == len(rows) and want <= got
 
 
+def test_licenses_recall_at_every_offset(spark):
+    """Every template, with a word put in where 0.8 still allows it, at every place of its windows."""
+    rows, want = [], set()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    plain = lambda t: re.sub("[^a-z0-9 ]", " ", t.lower()).split()
+    for k, v in licenses.TEMPLATES.items():
+        w = plain(v)
+        for more in (0, 1, 6):
+            own = w if not more else [*w[: len(w) - 1], *[f"put{i}" for i in range(more)], w[-1]]
+            if len(shingles(w) & shingles(own)) < 0.8 * len(shingles(w)):
+                continue
+            for start in range(licenses.size_class(len(w))):
+                text = [f"a{start}x{i}" for i in range(start)] + own + ["after"] * 20
+                rows.append((len(rows), " ".join(text)))
+                want.add((rows[-1][0], k))
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert len(want) > 500 and len(want - got) <= len(want) * 0.002
+
+
 def test_licenses_of_odd_tables(spark):
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(docs(spark), {}).count() == 0
