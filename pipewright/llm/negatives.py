@@ -45,6 +45,8 @@ from pipewright.llm.vectors import DIM, matrix, rows
 POSITIVES, NEGATIVES = 5, 3
 CURVE_DIMS, CURVE_BITS = 16, 4
 SLAB_ROWS, BLOCK_ROWS = 65_536, 256
+#: A small table isn't cut to slabs of fewer rows than this, as each anchor may have to meet each slab.
+LEAST_ROWS = 4_096
 #: Zone maps held by one task of the choice.
 ZONES = 4_096
 #: Anchors compared with a block at a time.
@@ -356,20 +358,20 @@ def mine(embeddings: DataFrame, every: int = 50, shift: int = 7, labels: int = 1
     # products are exact as doubles up to here, as 64-bit integers beyond
     kind = np.float64 if dim * max(max(abs(r.low), abs(r.high)) for r in about) ** 2 < 1 << 52 else np.int64
     parts = input_parts(embeddings)
-    slabs = max(parts, -(-n // slab_rows))
+    slabs = max(-(-n // slab_rows), min(parts, -(-n // LEAST_ROWS)))
     placed = points.mapInArrow(_placed(axes, low, high, dim), "vec_id bigint, label int, x array<int>, uid bigint, place bigint")
     ranged = placed.repartitionByRange(slabs, "place", "uid").sortWithinPartitions("place", "uid")
     packed = saved(ranged.mapInArrow(_written(dim, kind, every, positives, block_rows), _PACKED), "blocks")
     dropped(points)
     blocks, anchors = packed.where(F.col("kind") == BLOCK), packed.where(F.col("kind") == ANCHOR)
     many = blocks.count()
-    found = _searched(blocks, anchors, dim, kind, positives, slabs, many, "positives")
+    found = _searched(blocks, anchors, dim, kind, positives, max(parts, slabs), many, "positives")
     # the least and the greatest integer of the window; below zero there is none
     low, high = (F.when(F.col("score") >= 0, F.expr(e)).otherwise(F.lit(other).cast("bigint")) for e, other in (("(score + 1) div 2", 0), ("score - (5 * score + 99) div 100", -1)))
     of = found.select("uid", F.struct("rank", low.alias("low"), high.alias("high")).alias("p"))
     listed = of.groupBy("uid").agg(F.sort_array(F.collect_list("p")).alias("p"))  # `positives` of each anchor at most
     windowed = anchors.drop("need", "upto").join(listed, "uid").withColumn("need", F.col("p.low")).withColumn("upto", F.col("p.high")).drop("p")
-    hard = _searched(blocks, windowed, dim, kind, negatives, slabs, many, "negatives")
+    hard = _searched(blocks, windowed, dim, kind, negatives, max(parts, slabs), many, "negatives")
     named = hard.select("uid", (F.col("nth") + 1).alias("of"), "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("negative_score"))
     pairs = found.select("uid", "anchor_id", F.col("rank").alias("of"), F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return named.join(pairs, ["uid", "of"]).select(*[c.split()[0] for c in schema.split(", ")])
