@@ -222,9 +222,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _kept(docs: DataFrame, width: int) -> DataFrame:
-    prints = saved(with_fingerprint(docs, width), "prints")
-    of = components(prints.select(F.col("doc_id").cast("bigint").alias("doc_id"), FINGERPRINT))
-    stay = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(FINGERPRINT).alias("_of"))
-    stay = stay.select(F.col("component_id").alias("_stays"), "_of")
-    kept = prints.join(stay, (F.col(FINGERPRINT) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_stays")))
-    return kept.dropDuplicates([FINGERPRINT, "doc_id"])
+    # rows are settled by number alone, so the texts cross one shuffle
+    prints = saved(with_fingerprint(docs, width).withColumn("_row", F.monotonically_increasing_id()), "prints")
+    rows = components(prints.select(F.col("doc_id").cast("bigint").alias("doc_id"), FINGERPRINT, "_row"))
+    least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(F.struct(FINGERPRINT, "_row"))["_row"].alias("_row"))
+    return prints.join(least.select("_row"), "_row", "left_semi").drop("_row")
