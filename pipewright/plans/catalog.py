@@ -125,6 +125,13 @@ def jsonschema_extended(spark, sf):
                       F.when(F.col("_v").isNotNull(), F.array_join("errors", "; ")).alias("error_message"))
 
 
+@query("jsonschema_keywords")
+def jsonschema_keywords(spark, sf):
+    """JS-6, JS-8 to JS-11: a document of array, object, combinator and reference keywords for each topic."""
+    r = R.route(FX.keyword_events(spark, sf), FX.keyword_schemas(spark), NOW)
+    return r.select("event_id", "topic", "is_valid", F.col("route").alias("route"))
+
+
 # -- registry -----------------------------------------------------------------
 
 def _registered(spark, sf, log=None):
@@ -542,6 +549,13 @@ def topology_nodes(spark, sf):
     return TP.nodes(log, FX.committed_offsets(spark, sf, log))
 
 
+@query("topology_config_nodes")
+def topology_config_nodes(spark, sf):
+    """TOP-1 in its configuration form, for the topics of the log."""
+    topics = [r.topic for r in FX.log_summary(spark, sf).select("topic").distinct().collect()]  # names, as configured
+    return TP.nodes_from_config(spark, topics, "analytics").withColumn("type_text", S.node_type_text(F.col("type")))
+
+
 @query("topology_edges")
 def topology_edges(spark, sf):
     log = FX.log_summary(spark, sf)

@@ -531,6 +531,25 @@ select topic, consumer_group, first_write, last_write, make_timestamp((last_writ
     q["stream_alert_transitions"] = q["alert_transitions"]
     q["stream_alert_topics"] = f"""select topic, cast(count(*) as bigint) as alerting_groups
   from ({q["alert_state"]}) a where is_alert group by topic"""
+    q["topology_config_nodes"] = """with t as (select distinct event_type as topic from events)
+select 'producer-' || topic as id, topic || '-producer' as label, 'producer' as type, 'producer' as type_text from t
+union all select topic, topic, 'topic', 'topic' from t
+union all select 'cg-analytics', 'analytics', 'consumer_group', 'consumer group'"""
+    # what each topic's document says of lists, objects and amounts, restated
+    q["jsonschema_keywords"] = """with k as (select event_id, event_type as topic, value as amount, event_id % 4 as n,
+    event_id % 5 as a, event_id % 3 as b, event_id % 2 as c, event_id % 3 as kind,
+    case event_id % 3 when 0 then 'USD' when 1 then 'EUR' else 'GBP' end as currency from events),
+  l as (select *, list_slice([a, b, c], 1, n) as tags from k),
+  v as (select event_id, topic, case topic
+    when 'click' then n between 1 and 2 and len(list_filter(tags, lambda x: x < 1)) = 0
+      and len(list_distinct(tags)) = n and list_contains(tags, 1)
+    when 'view' then kind = 0 and event_id % 7 <> 0
+    when 'purchase' then amount >= 0 and (amount <= 100) <> (amount >= 50)
+      and case when currency = 'USD' then amount < 400 else amount >= 10 or currency = 'GBP' end
+    when 'error' then amount >= 5 and len(list_filter(tags, lambda x: x > 3)) = 0
+    when 'signup' then n <= 2 and (n < 2 or b >= 1)
+    else true end as is_valid from l)
+select event_id, topic, is_valid, case when is_valid then 'published' else 'dlq' end as route from v"""
     q["metric_event_rate"] = with_(EVENT_LOG) + """select date_trunc('minute', ts) as window_start, topic, count(*) as events,
   cast(count(*) as double) / 60.0 as rate from event_log group by date_trunc('minute', ts), topic"""
     return q

@@ -42,6 +42,25 @@ EXTENDED_SCHEMA = {
     "dependencies": {"currency": ["amount"]},
 }
 
+# One document per topic for the keywords of arrays, objects, combinators and
+# references (the F11 payloads).
+KEYWORD_SCHEMAS = {
+    "click": {"properties": {"tags": {"type": "array", "items": {"type": "integer", "minimum": 1}, "minItems": 1,
+                                      "maxItems": 2, "uniqueItems": True, "contains": {"const": 1}}}},
+    "view": {"properties": {"attrs": {"patternProperties": {"^x_": {"type": "integer"}},
+                                      "propertyNames": {"pattern": "^[a-z_]+$"}, "maxProperties": 3}}},
+    "purchase": {"allOf": [{"properties": {"amount": {"minimum": 0}}}],
+                 "oneOf": [{"properties": {"amount": {"maximum": 100}}}, {"properties": {"amount": {"minimum": 50}}}],
+                 "if": {"properties": {"currency": {"const": "USD"}}},
+                 "then": {"properties": {"amount": {"exclusiveMaximum": 400}}},
+                 "else": {"anyOf": [{"properties": {"amount": {"minimum": 10}}}, {"properties": {"currency": {"const": "GBP"}}}]}},
+    "error": {"definitions": {"money": {"type": "number", "minimum": 5}, "small": {"maximum": 3},
+                              "priced": {"properties": {"amount": {"$ref": "#/definitions/money"}}}},
+              "allOf": [{"$ref": "#/definitions/priced"}],
+              "properties": {"tags": {"items": {"$ref": "#/definitions/small"}}}},
+    "signup": {"properties": {"tags": {"items": [{"type": "integer"}, {"minimum": 1}], "additionalItems": False}}},
+}
+
 FULL_JSON = json.dumps(FULL_SCHEMA, separators=(",", ":"))
 LENIENT_JSON = json.dumps(LENIENT_SCHEMA, separators=(",", ":"))
 EXTENDED_JSON = json.dumps(EXTENDED_SCHEMA, separators=(",", ":"))
@@ -276,3 +295,22 @@ def user_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("topic"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("consumer_group"),
         epoch_seconds(F.col("ts")).alias("ts_sec"))
+
+
+def keyword_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events whose payloads hold a list of up to three small numbers and an
+    object with keys of several kinds."""
+    eid = F.col("event_id")
+    tags = F.slice(F.array(eid % 5, eid % 3, eid % 2), F.lit(1), (eid % 4).cast("int"))
+    attrs = (F.when(eid % 3 == 0, F.lit('"x_a":1,"y":"s"')).when(eid % 3 == 1, F.lit('"x_a":"bad","y":"s"'))
+             .otherwise(F.lit('"x_a":1,"Y2":"s"')))
+    more = F.when(eid % 7 == 0, F.lit(',"w":0,"v":0')).otherwise(F.lit(""))
+    payload = F.concat(F.lit('{"tags":['), F.array_join(tags.cast("array<string>"), ","), F.lit('],"attrs":{'), attrs, more,
+                       F.lit('},"amount":'), F.col("value").cast("string"), F.lit(',"currency":"'),
+                       F.when(eid % 3 == 0, "USD").when(eid % 3 == 1, "EUR").otherwise("GBP"), F.lit('"}'))
+    return events(spark, sf_dir).select("event_id", F.col("event_type").alias("topic"), F.lit("p").alias("producer_id"), payload.alias("payload"))
+
+
+def keyword_schemas(spark: SparkSession) -> DataFrame:
+    rows = [(f"sch-{t}-v1", t, 1, json.dumps(doc, separators=(",", ":")), True, D0) for t, doc in KEYWORD_SCHEMAS.items()]
+    return spark.createDataFrame(rows, M.SCHEMAS)
