@@ -90,6 +90,10 @@ def test_stream_alert_state_equals_batch(spark):
     assert _rows(s, ["topic", "consumer_group", "is_alert"]) == _rows(b, ["topic", "consumer_group", "is_alert"])
 
 
+class _Broken(RuntimeError):
+    pass
+
+
 def _fails(_df):
     raise _Broken("down")
 
