@@ -1,9 +1,9 @@
 """Stateful streams: live lag polls, expiry of silent series, alert transitions.
 
-Each keeps arbitrary keyed state (`transformWithStateInPandas`) and acts by the
-watermark, so results come out once, in time order and also for keys that no new row
-arrives for. Rows are combined inside each Arrow batch before the shuffle, so
-a key with a third of all rows sends few. State lives in RocksDB stores
+Polls and alerts keep arbitrary keyed state (`transformWithStateInPandas`), expiry keeps session
+windows; all act by the watermark, so results come out once, in time order and also for keys that
+no new row arrives for. Rows of polls and expiry are combined inside each Arrow batch or partition before the
+shuffle, so a key with a third of all rows sends few. State lives in RocksDB stores
 checkpointed to the shared folder; a restarted query goes on from there.
 
 A stream's last results wait for the watermark. A heartbeat row (`kind`
@@ -25,24 +25,29 @@ from .. import model as M
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Sessions are merged inside each partition before the shuffle, so a hot series sends few rows.
+MERGED_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 #: Kinds of rows in a poll's input.
 OFFSET, COMMIT, HEARTBEAT = 0, 1, 2
 POLL_INPUT = "kind int, topic string, partition_id int, consumer_group string, value bigint, ts timestamp, seq bigint"
 _POLLED = "poll timestamp, topic string, consumer_group string, partition_id int, latest_offset bigint, committed_offset bigint, lag bigint"
-_EXPIRED = "topic string, consumer_group string, first_write bigint, last_write bigint, expired_at timestamp"
 _RUNS = "topic string, consumer_group string, ends timestamp, ts_sec bigint, total_lag bigint, is_alert boolean"
 _TRANSITIONS = "topic string, consumer_group string, ts_sec bigint, total_lag bigint, is_alert boolean, transition string"
 
 
 @contextmanager
 def stateful(spark: SparkSession):
-    """The session's state store while a query that needs keyed state is started."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    """The session's state store, and sessions merged early, while a query that needs keyed state is started."""
+    wanted = {PROVIDER: ROCKSDB, MERGED_EARLY: "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _ms(column: str) -> F.Column:
@@ -160,77 +165,24 @@ def live_totals(polled: DataFrame) -> DataFrame:
 
 # -- STR-6 / LAG-6: a series unwritten for its TTL ----------------------------
 
-def _spans(rows: list[tuple[int, int]], ttl: int) -> list[tuple[int, int]]:
-    """Stretches (first, last write) joined wherever less than the TTL lies between them; in any order."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(rows):
-        if out and first - out[-1][1] < ttl:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
-
-
-def _written(ttl: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.sort_values(["topic", "consumer_group", "ts_sec"])
-            gap = b.groupby(["topic", "consumer_group"], dropna=False)["ts_sec"].diff()
-            b["_run"] = (gap.isna() | (gap >= ttl)).cumsum()
-            got = b.groupby(["_run"], sort=False).agg(topic=("topic", "first"), consumer_group=("consumer_group", "first"), first_write=("ts_sec", "min"), last_write=("ts_sec", "max"))
-            got["at"] = pd.to_datetime(got["last_write"], unit="s")
-            yield got[["topic", "consumer_group", "first_write", "last_write", "at"]]
-
-    return run
-
-
-class _Expiry(StatefulProcessor):
-    """Key (topic, group): the stretches of writes that haven't expired."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", "first bigint, last bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(z)) for r in rows for a, z in zip(r["first_write"], r["last_write"])]
-        if key[0] is None:  # a heartbeat
-            return iter([])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        spans = _spans([*(tuple(s) for s in self.spans.get()), *new], self.ttl)
-        self.spans.put(spans)
-        self.handle.registerTimer((spans[0][1] + self.ttl) * 1000)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, spans = timerValues.getCurrentWatermarkInMs(), [tuple(s) for s in self.spans.get()]
-        gone = [s for s in spans if (s[1] + self.ttl) * 1000 <= upto]
-        left = spans[len(gone):]
-        if left:
-            self.spans.put(left)
-            self.handle.registerTimer((left[0][1] + self.ttl) * 1000)
-        else:
-            self.spans.clear()
-        if gone:
-            yield pd.DataFrame({"topic": key[0], "consumer_group": key[1], "first_write": [a for a, _ in gone], "last_write": [z for _, z in gone], "expired_at": _stamp([(z + self.ttl) * 1000 for _, z in gone])})
-
-    def close(self) -> None:
-        pass
-
-
 def expiry_stream(readings: DataFrame, ttl_seconds: int, delay: str) -> DataFrame:
     """LAG-6 / STR-6 in the stream: one row each time a series has not been written for the TTL.
 
     ``readings``: topic, consumer_group, ts_sec (a null topic is a heartbeat).
-    Each write starts the TTL again; ``expired_at`` is the last write plus the TTL. A write after that
-    starts the series anew. State is a stretch of writes for each series.
+    Each write starts the TTL again; ``expired_at`` is the last write plus the TTL. A write at that
+    time or after starts the series anew. These are session windows, so state is a stretch of
+    writes for each series, and nothing runs in Python for a row or a series. A write that comes after
+    the watermark still counts while its own TTL hasn't passed.
     """
-    few = readings.select("topic", "consumer_group", "ts_sec").mapInPandas(_written(ttl_seconds), "topic string, consumer_group string, first_write bigint, last_write bigint, at timestamp")
-    keyed = few.withWatermark("at", delay).groupBy("topic", "consumer_group")
-    return keyed.transformWithStateInPandas(_Expiry(int(ttl_seconds)), _EXPIRED, "Append", "EventTime")
+    ttl = int(ttl_seconds)
+    timed = readings.select("topic", "consumer_group", F.timestamp_seconds("ts_sec").alias("at")).withWatermark("at", delay)
+    # sessions join where one starts as the other ends: the gap is a microsecond less than the TTL
+    window = F.session_window("at", f"{ttl * 1_000_000 - 1} microseconds").alias("w")
+    spans = timed.groupBy("topic", "consumer_group", window).agg(F.count("topic").alias("writes"))
+    # heartbeats go by their count: a condition on the topic would be pushed below the watermark
+    gone = spans.where("writes > 0").withColumn("expired_at", F.timestamp_micros(F.unix_micros("w.end") + 1))
+    return gone.select("topic", "consumer_group", F.unix_seconds("w.start").alias("first_write"),
+                       (F.unix_seconds("expired_at") - ttl).alias("last_write"), "expired_at")
 
 
 # -- STR-4 / WIN-6: alerts raised and cleared ---------------------------------

@@ -186,6 +186,54 @@ def test_expiry_stream_equals_batch_expiry(spark, files):
         assert live_now == batch
 
 
+def _expired(spark, parts, ttl, delay="1 second", src=None):
+    """Rows of the stream over these parts, a file a batch, and the query's plan."""
+    src, out = src or _dir(spark, "in"), _dir(spark, "out")
+    _files(spark, parts, READ, src)
+    gone = live.expiry_stream(spark.readStream.schema(READ).option("maxFilesPerTrigger", 1).parquet(src), ttl, delay)
+    _run(gone, out, out + "-ckpt")
+    rows = spark.read.parquet(out).withColumn("at", F.unix_seconds("expired_at")).collect()
+    return sorted(((r.topic, r.consumer_group, r.first_write, r.last_write, r.at) for r in rows), key=str), gone
+
+
+def test_expiry_runs_no_python_for_a_series(spark):
+    """A call of Python for each series took the time: 2.7 million of them are to pass in one run."""
+    got, gone = _expired(spark, [[("a", "g", START)], [(None, None, START + 9 * HOUR)]], HOUR)
+    plan = gone._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "Pandas" not in plan and "TransformWithState" not in plan
+    assert got == [("a", "g", START, START, START + HOUR)]
+
+
+def test_expiry_at_the_second_of_the_ttl(spark):
+    """A write a second before the TTL keeps the series, one at the TTL starts it anew; gone at the TTL, not before."""
+    ttl, beat = HOUR, START + 10 * HOUR
+    rows = [("a", "keeps", START), ("a", "keeps", START + ttl - 1), ("a", "anew", START), ("a", "anew", START + ttl),
+            ("a", "due", beat - ttl), ("a", "alive", beat - ttl + 1), ("a", None, START), (None, "x", START), ("a", "none", None)]
+    got, _ = _expired(spark, [rows, [(None, None, beat + 1)]], ttl)
+    assert got == sorted([("a", "keeps", START, START + ttl - 1, START + 2 * ttl - 1), ("a", "anew", START, START, START + ttl),
+                          ("a", "anew", START + ttl, START + ttl, START + 2 * ttl), ("a", "due", beat - ttl, beat - ttl, beat),
+                          ("a", None, START, START, START + ttl)], key=str)
+
+
+def test_expiry_counts_a_late_write_while_its_series_lives(spark):
+    beats = [[(None, None, START + h * HOUR)] for h in (2, 2, 9)]
+    parts = [[("a", "g", START)], *beats[:2], [("a", "g", START + HOUR)], beats[2]]
+    got, _ = _expired(spark, parts, 3 * HOUR)
+    assert got == [("a", "g", START, START + HOUR, START + 4 * HOUR)]
+
+
+def test_expiry_of_a_hot_series_crosses_the_shuffle_merged(spark):
+    src, out = _dir(spark, "in"), _dir(spark, "out")
+    spark.range(0, 20_000, 1, 4).selectExpr("'a' as topic", "'hot' as consumer_group", f"{START} + id as ts_sec").write.parquet(src)
+    with live.stateful(spark):
+        q = live.expiry_stream(spark.readStream.schema(READ).parquet(src), HOUR, "1 second").writeStream.format("parquet") \
+            .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    plan = q._jsq.streamingQuery().lastExecution().executedPlan().toString()
+    assert plan.count("MergingSessions") == 2  # before the shuffle and after it
+    assert q.recentProgress[0].stateOperators[0].numRowsTotal == 1
+
+
 # -- alerts
 
 TOTALS = "topic string, consumer_group string, ts_sec bigint, total_lag bigint"
